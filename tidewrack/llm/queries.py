@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import line_templates, shared_spans, tokenize
+from tidewrack.llm import leaks, line_templates, shared_spans, tokenize
 from tidewrack.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_ids(table(spark, sf_dir, "documents"))
 
 
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold four tenths or more of a held-out item in one stretch."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+@query
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each item that leaked, the number of documents and the largest share of it that stands in one."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.countDistinct("doc").alias("n_docs"), F.max("share").alias("max_share"))
+
+
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a run of at least 200 characters in common."""
