@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import leaks, line_templates, shared_spans, tokenize
+from tidewrack.llm import leaks, line_templates, residue, shared_spans, stories, tokenize
 from tidewrack.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def query(fn):
     return fn
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ``incoming`` whose story is older, with the row that brought it first."""
+    return stories.repeated_stories(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and summaries of ``articles`` that are residue or hold an unfilled slot."""
+    return residue.residue(table(spark, sf_dir, "articles")).select("ingest_seq", "field").distinct()
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``articles.summary`` that their source repeats."""
