@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import leaks, line_templates, residue, shared_spans, stories, tokenize
+from tidewrack.llm import leaks, line_templates, residue, sentences, shared_spans, stories, tokenize
 from tidewrack.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,20 @@ def p6_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.strip_lines(table(spark, sf_dir, "articles").select("ingest_seq", "source", "summary"))
 
 
+def _boundaries(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, DataFrame, str]], sentences.BoundaryModel]:
+    """The tables with sentences, and a boundary model fitted to both."""
+    tables = [("articles", table(spark, sf_dir, "articles"), "ingest_seq"), ("summaries", table(spark, sf_dir, "summaries"), "summary_id")]
+    return tables, sentences.BoundaryModel().fit([t for _, df, key in tables for t in sentences.fit(df, key, "summary")])
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence of each summary of ``articles`` and ``summaries`` starts."""
+    tables, model = _boundaries(spark, sf_dir)
+    a, b = (sentences.sentences(df, model, key, "summary").select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"), "start_pos") for name, df, key in tables)
+    return a.unionByName(b)
+
+
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level vocabulary."""
