@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import leaks, line_templates, residue, sentences, shared_spans, stories, tokenize
+from tidewrack.llm import leaks, line_templates, residue, sentences, shared_spans, stories, tokenize, truncated
 from tidewrack.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.repeated_stories(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming"))
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose summary is cut off."""
+    return truncated.truncated(table(spark, sf_dir, "articles")).distinct()
+
+
+@query
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each source's summaries are cut off."""
+    return truncated.rates(table(spark, sf_dir, "articles"))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and summaries of ``articles`` that are residue or hold an unfilled slot."""

@@ -30,6 +30,8 @@ EXEMPLARS: dict[str, list[str]] = {
         "we are having trouble loading this content. try again in a few minutes.", "service temporarily unavailable (error 9)",
         "session expired. sign in again to keep reading.", "please sign in to continue.", "something went wrong. please try again later.",
         "one moment, checking your browser", "checking your connection before you enter the site. this may take 5 seconds.", "just a moment, verifying you are human",
+        "system busy, please try again later (error 9)", "system ausgelastet, bitte später erneut versuchen", "système occupé, réessayez plus tard", "sistema ocupado, inténtelo más tarde",
+        "系统繁忙，请稍后再试（错误9）", "システムが混み合っています。後でもう一度お試しください", "ระบบไม่ว่าง กรุณาลองใหม่ภายหลัง", "hệ thống bận, vui lòng thử lại sau",
         "too many requests", "this site cannot be reached", "connection timed out",
         "ไม่พบหน้าเว็บ", "ไม่พบหน้าที่คุณต้องการ", "หน้านี้ถูกลบหรือย้ายไปแล้ว", "ข้อผิดพลาด 404", "กรุณารอสักครู่", "ขออภัย ระบบขัดข้องชั่วคราว (รหัส 9)",
         "คุณไม่มีสิทธิ์เข้าถึงเนื้อหานี้", "การเข้าถึงถูกปฏิเสธ", "เซสชันหมดอายุ กรุณาเข้าสู่ระบบอีกครั้ง",

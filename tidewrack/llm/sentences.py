@@ -23,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import HAN, KANA, THAI, latin_digits, map_rows, per_partition
+from tidewrack.llm.common import HAN, KANA, THAI, chosen, latin_digits, map_rows, per_partition
 
 #: Texts that the model is fitted to, of each table; rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 10_000, 5
@@ -323,8 +323,7 @@ def _logit(p: float) -> float:
 
 def fit(df: DataFrame, row_id: str, text: str, sample: int = SAMPLE) -> list[str]:
     """At most ``sample`` texts to fit a model to, the same at each call."""
-    rows = df.where(F.length(F.trim(text)) > 0).select(text, F.xxhash64(F.lit(7), F.col(row_id)).alias("h")).orderBy("h").limit(sample).collect()
-    return [r[0] for r in rows]
+    return [r[0] for r in chosen(df.where(F.length(F.trim(text)) > 0), row_id, sample).select(text).collect()]
 
 
 def _split(shared):
