@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import leaks, line_templates, residue, sentences, shared_spans, stories, tokenize, truncated
+from tidewrack.llm import languages, leaks, line_templates, residue, sentences, shared_spans, stories, tokenize, truncated
 from tidewrack.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,28 @@ def query(fn):
     return fn
 
 
+def _language_field(spark: SparkSession, sf_dir: str) -> languages.LanguageField:
+    return languages.LanguageField().fit(languages.sample(table(spark, sf_dir, "summaries"), "summary_id", "summary", "language"))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in several languages, and summaries whose label doesn't name their language."""
+    field = _language_field(spark, sf_dir)
+    a = languages.mislabelled(table(spark, sf_dir, "summaries"), field, "summary_id", "summary", "language")
+    b = languages.mislabelled(table(spark, sf_dir, "articles"), field, "ingest_seq", "summary")
+    a, b = (df.select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"), "lang") for name, key, df in (("summaries", "summary_id", a), ("articles", "ingest_seq", b)))
+    return a.unionByName(b).distinct()
+
+
+@query
+def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of every text with their language and a confidence."""
+    field = _language_field(spark, sf_dir)
+    a, b = (languages.passages(table(spark, sf_dir, name), field, key, "summary").select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"), "start_pos", "end_pos", "lang", "confidence") for name, key in (("summaries", "summary_id"), ("articles", "ingest_seq")))
+    return a.unionByName(b)
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of ``incoming`` whose story is older, with the row that brought it first."""
