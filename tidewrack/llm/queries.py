@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import languages, leaks, line_templates, residue, sentences, shared_spans, stories, tokenize, truncated
+from tidewrack.llm import languages, leaks, line_templates, residue, sentences, shared_spans, stories, subjects, tokenize, truncated
 from tidewrack.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,22 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated.rates(table(spark, sf_dir, "articles"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf_dir, "articles"), table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "subject_labels"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects each article reports on."""
+    return _subjects(spark, sf_dir).select("ingest_seq", "subject").distinct()
+
+
+@query
+def p4_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection's make-up: articles for each subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.countDistinct("ingest_seq").alias("n_articles"))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and summaries of ``articles`` that are residue or hold an unfilled slot."""
