@@ -1,10 +1,486 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins. Each runs over its whole tables; limits are those of the feature (pages, tickers, caps)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewrack.functions import text, urls
+from tidewrack.functions import tokens as tok
+from tidewrack.operators import classify, collect, dedupe, extract, feed, lookup
+from tidewrack.runtime import scratch, table
+from tidewrack.schema import CATEGORIES, SENTIMENTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+OUTLET, HOSTS = "Tallmere Ledger", ["img.tuldoly1.example", "img.sumevcon5.example"]
+#: Labels and icons of the categories for the reader's page (a starter table; any may be passed).
+LABELS = [(k, c, c.capitalize(), i) for k, (c, i) in enumerate(zip(CATEGORIES, "P E T H N S R A W".split()))]
+CLOCK = "timestamp'2025-07-01 12:00:00'"
+
+_PROXY_SQL = f"""CASE WHEN coalesce(image_url, '') <> '' AND (lower(coalesce(source, '')) = '{OUTLET.lower()}' OR coalesce(regexp_extract(image_url, '^[a-z]+://([^/?#]+)', 1) IN ({", ".join(f"'{h}'" for h in HOSTS)}), false))
+  THEN '/api/image?url=' || url_encode(image_url) ELSE image_url END"""
+_MATCH_SQL = "contains(lower(coalesce(title, '')), 'plan') OR contains(lower(coalesce(summary, '')), 'plan')"
+
+
+# --- feed ---
+
+
+@query(f"""SELECT ingest_seq, title, source, category, fetched_at, {_PROXY_SQL} AS image_url FROM articles
+WHERE lower(coalesce(source, '')) = 'tallmere ledger' AND ({_MATCH_SQL}) ORDER BY coalesce(fetched_at, '') DESC, ingest_seq LIMIT 20 OFFSET 20""")
+def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second page of one source's articles with a keyword, images by way of the proxy."""
+    rows = feed.page(table(spark, sf_dir, "articles"), 2, 20, source=" tallmere ledger ", q=" PLAN ")
+    return rows.select("ingest_seq", "title", "source", "category", "fetched_at", urls.proxied(F.col("image_url"), F.col("source"), [OUTLET], HOSTS).alias("image_url"))
+
+
+@query(f"""WITH t AS (SELECT count(*) AS total FROM articles WHERE {_MATCH_SQL}), p AS (SELECT total, greatest(1, CAST(ceil(total / 20) AS BIGINT)) AS total_pages FROM t)
+SELECT CAST(n AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size, total, total_pages, n < total_pages AS has_next, n > 1 AS has_prev FROM p, (VALUES (1), (3), (99999)) v(n)""")
+def feed_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page metadata of the first, the third and a page past the end."""
+    a = table(spark, sf_dir, "articles")
+    return feed.meta(a, 0, q="plan").unionByName(feed.meta(a, 3, q="plan")).unionByName(feed.meta(a, 99999, q="plan"))
+
+
+@query("SELECT ingest_seq FROM articles WHERE lower(coalesce(source, '')) = 'delta wire'")
+def category_filter_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown category is no filter."""
+    return feed.matching(table(spark, sf_dir, "articles"), source="Delta Wire", category="nope").select("ingest_seq")
+
+
+@query("SELECT ingest_seq FROM articles WHERE contains(lower(coalesce(title, '')), '%') OR contains(lower(coalesce(summary, '')), '%')")
+def keyword_is_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword's wildcards are plain characters."""
+    return feed.matching(table(spark, sf_dir, "articles"), q="%").select("ingest_seq")
+
+
+@query("SELECT ingest_seq FROM articles WHERE category = 'sports'")
+def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.matching(table(spark, sf_dir, "articles"), category="sports").select("ingest_seq")
+
+
+@query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM articles GROUP BY 1")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.source_counts(table(spark, sf_dir, "articles"))
+
+
+_CATEGORY_VALUES = ", ".join(f"('{c}')" for c in CATEGORIES)
+
+
+@query(f"SELECT c AS category, count(a.category) AS n FROM (VALUES {_CATEGORY_VALUES}) v(c) LEFT JOIN articles a ON a.category = c GROUP BY c UNION ALL SELECT 'all', count(*) FROM articles")
+def category_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.category_counts(table(spark, sf_dir, "articles"))
+
+
+@query("""WITH c AS (SELECT coalesce(source, 'unknown') AS source, greatest(1, CAST(ceil(count(*) / 20) AS BIGINT)) AS pages FROM articles GROUP BY 1),
+p AS (SELECT source, pages, unnest(generate_series(CAST(1 AS BIGINT), pages)) AS page FROM c WHERE pages > 1),
+w AS (SELECT *, greatest(1, page - 2) AS first FROM p), x AS (SELECT *, least(pages, first + 4) AS last FROM w)
+SELECT source, page, first, last, first > 1 AS before, last < pages AS after FROM x""")
+def page_button_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.button_windows(feed.source_counts(table(spark, sf_dir, "articles")))
+
+
+@query("""WITH t AS (SELECT title, row_number() OVER (ORDER BY coalesce(fetched_at, '') DESC, ingest_seq) AS pos FROM articles ORDER BY pos LIMIT 15)
+SELECT pos, title FROM t UNION ALL SELECT pos + (SELECT count(*) FROM t), title FROM t""")
+def ticker_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.ticker(table(spark, sf_dir, "articles"))
+
+
+_TITLED = r"regexp_replace(coalesce(title, ''), '[\s\p{Z}]+', '', 'g') <> ''"
+
+
+@query(f"SELECT ingest_seq, source, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ingest_seq) AS pos FROM articles) WHERE pos <= 10 AND {_TITLED}")
+def per_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of each source, blank titles left out afterwards."""
+    return feed.per_source_cap(table(spark, sf_dir, "articles")).select("ingest_seq", "source", "pos")
+
+
+@query(f"SELECT ingest_seq, source, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ingest_seq) AS pos FROM articles WHERE {_TITLED}) WHERE pos <= 10")
+def per_source_cap_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten with a title of each source."""
+    return feed.per_source_cap(table(spark, sf_dir, "articles"), after=True).select("ingest_seq", "source", "pos")
+
+
+# --- lookups ---
+
+
+@query("SELECT i.ingest_seq, i.url IN (SELECT url FROM articles WHERE url IS NOT NULL) IS TRUE AS is_new FROM incoming i")
+def new_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rows flagged by whether their address is in a set."""
+    return lookup.flagged(table(spark, sf_dir, "incoming"), table(spark, sf_dir, "articles")).select("ingest_seq", "is_new")
+
+
+@query("SELECT a.ingest_seq, coalesce(s.color, '#1a3a6b') AS color FROM articles a LEFT JOIN (SELECT name, color FROM sources WHERE source_ord < 31) s ON a.source = s.name")
+def source_color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour of each article's source; one registered source is left out so the default is met."""
+    return lookup.with_color(table(spark, sf_dir, "articles"), table(spark, sf_dir, "sources").where("source_ord < 31")).select("ingest_seq", "color")
+
+
+_LABEL_VALUES = ", ".join(f"({k}, '{c}', '{label}', '{i}')" for k, c, label, i in LABELS)
+
+
+@query(f"SELECT a.ingest_seq, coalesce(l.label, '{LABELS[0][2]}') AS label, coalesce(l.icon, '{LABELS[0][3]}') AS icon FROM articles a LEFT JOIN (VALUES {_LABEL_VALUES}) l(ord, category, label, icon) ON a.category = l.category")
+def category_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.with_label(table(spark, sf_dir, "articles"), spark.createDataFrame(LABELS, "ord int, category string, label string, icon string")).select("ingest_seq", "label", "icon")
+
+
+@query("SELECT ingest_seq, CASE category WHEN 'economics' THEN 'economy' WHEN 'politics' THEN 'politics' WHEN 'social' THEN 'society' ELSE 'society' END AS category FROM articles")
+def model_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles").select("ingest_seq", lookup.from_model_label(F.col("category")).alias("category"))
+
+
+# --- dedupe, append ---
+
+
+@query("SELECT ingest_seq FROM incoming WHERE url <> '' AND url NOT IN (SELECT url FROM articles WHERE url IS NOT NULL)")
+def unseen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.unseen(table(spark, sf_dir, "incoming"), table(spark, sf_dir, "articles")).select("ingest_seq")
+
+
+@query("""SELECT ingest_seq FROM (SELECT *, rank() OVER (PARTITION BY url ORDER BY source_ord) AS r FROM incoming
+WHERE url <> '' AND url NOT IN (SELECT url FROM articles WHERE url IS NOT NULL)) WHERE r = 1""")
+def dedupe_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh rows: unseen ones of the first source for each address, its own repeats included."""
+    return dedupe.fresh(table(spark, sf_dir, "incoming"), table(spark, sf_dir, "articles")).select("ingest_seq")
+
+
+@query("SELECT ingest_seq, url, title FROM articles UNION ALL SELECT ingest_seq, url, title FROM incoming")
+def append_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.appended(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming").drop("batch_no")).select("ingest_seq", "url", "title")
+
+
+@query("SELECT url FROM articles UNION SELECT url FROM incoming WHERE url <> ''")
+def seen_set_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.remembered(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming"))
+
+
+@query("SELECT batch_no AS batch, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY batch_no) AS BIGINT) AS total FROM incoming GROUP BY batch_no")
+def cumulative_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.batch_totals(table(spark, sf_dir, "incoming"))
+
+
+# --- classification ---
+
+_CUES_SQL = """cues AS (SELECT a.ingest_seq, min(c.cue_ord) AS cue_ord FROM articles a JOIN url_cues c ON contains(lower(coalesce(a.url, '')), c.cue) GROUP BY 1)"""
+_WORDS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}]+(?:[-''’][\p{{L}}\p{{M}}\p{{N}}]+)*')"
+_TEXT_SQL = "coalesce(title, '') || ' ' || coalesce(title, '') || ' ' || coalesce(title, '') || ' ' || coalesce(summary, '')"
+_RULE_VALUES = ", ".join(f"('{c}', {k}, {[*parts]})" for c, k, parts in classify.RULES)
+_SCORES_SQL = f"""docs AS (SELECT ingest_seq, url, {_TEXT_SQL} AS text, {_WORDS_SQL.format(_TEXT_SQL)} AS tokens FROM articles),
+lens AS (SELECT DISTINCT len(tokens) AS n FROM lexicon),
+grams AS (SELECT ingest_seq, unnest(list_transform(range(1, greatest(len(tokens) - n + 2, 1)), lambda i: array_to_string(tokens[i : i + n - 1], ' '))) AS gram FROM docs, lens),
+hits AS (SELECT g.ingest_seq, l.category, sum(l.weight) AS score FROM grams g JOIN lexicon l ON g.gram = array_to_string(l.tokens, ' ') GROUP BY 1, 2),
+bonus AS (SELECT d.ingest_seq, r.category, count(*) * 5.0 AS score FROM docs d JOIN (VALUES {_RULE_VALUES}) r(category, rule_id, parts) ON list_has_all(d.tokens, r.parts) GROUP BY 1, 2),
+scores AS (SELECT ingest_seq, category, CAST(sum(score) AS DOUBLE) AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM bonus) GROUP BY 1, 2)"""
+_ORDER_VALUES = ", ".join(f"('{c}', {k})" for k, c in enumerate(CATEGORIES))
+_TOP_SQL = f"""ranked AS (SELECT d.ingest_seq, o.category, coalesce(s.score, 0.0) AS score, row_number() OVER (PARTITION BY d.ingest_seq ORDER BY coalesce(s.score, 0.0) DESC, o.ord) AS r
+  FROM (SELECT DISTINCT ingest_seq FROM scores) d CROSS JOIN (VALUES {_ORDER_VALUES}) o(category, ord) LEFT JOIN scores s ON s.ingest_seq = d.ingest_seq AND s.category = o.category),
+top2 AS (SELECT ingest_seq, max(CASE WHEN r = 1 THEN category END) AS top1, max(CASE WHEN r = 1 THEN score END) AS score1, max(CASE WHEN r = 2 THEN category END) AS top2, max(CASE WHEN r = 2 THEN score END) AS score2 FROM ranked WHERE r <= 2 GROUP BY 1)"""
+_CLASSES_SQL = f"""{_CUES_SQL}, {_SCORES_SQL}, {_TOP_SQL},
+classes AS (SELECT d.ingest_seq,
+  CASE WHEN c.cue IS NOT NULL THEN c.category WHEN regexp_replace(d.text, '[\\s\\p{{Z}}]+', '', 'g') = '' THEN 'society'
+    WHEN t.top1 NOT IN ('economy', 'politics', 'society') AND t.score1 - t.score2 >= 5 THEN t.top1 WHEN t.score1 > 0 THEN t.top1 ELSE 'society' END AS category,
+  CASE WHEN c.cue IS NOT NULL THEN 'URL Priority (' || c.cue || ')' WHEN regexp_replace(d.text, '[\\s\\p{{Z}}]+', '', 'g') = '' THEN 'Fallback (Empty Text)'
+    WHEN t.top1 NOT IN ('economy', 'politics', 'society') AND t.score1 - t.score2 >= 5 THEN printf('Rule-based (Domain Expert: %s, score=%.1f)', t.top1, t.score1)
+    WHEN t.score1 > 0 THEN 'Rule-based (ML Low Confidence: 0.00)' ELSE 'Fallback (Default, ML conf: 0.00)' END AS method
+  FROM docs d LEFT JOIN cues q USING (ingest_seq) LEFT JOIN url_cues c ON c.cue_ord = q.cue_ord LEFT JOIN top2 t USING (ingest_seq))"""
+
+
+def _classified_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "articles"), table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "url_cues")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, lexicon, _ = _classified_tables(spark, sf_dir)
+    docs = articles.select("ingest_seq", tok.words(text.weighted_text(F.col("title"), F.col("summary"))).alias("tokens"))
+    return classify.scored(docs, lexicon, classify.rules_table(spark))
+
+
+@query(f"WITH {_CUES_SQL} SELECT a.ingest_seq, u.category, u.cue FROM articles a LEFT JOIN cues c USING (ingest_seq) LEFT JOIN url_cues u ON u.cue_ord = c.cue_ord")
+def url_cue_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, _, cues = _classified_tables(spark, sf_dir)
+    category, cue = classify.cue_column(F.col("url"), [(r["cue_ord"], r["cue"], r["category"]) for r in cues.limit(1000).collect()])
+    return articles.select("ingest_seq", category.alias("category"), cue.alias("cue"))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT ingest_seq, category, score FROM scores")
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+@query(rf"""WITH t AS (SELECT ingest_seq, {_WORDS_SQL.format("coalesce(summary, '')")} AS w FROM articles)
+SELECT ingest_seq, len(list_filter(w, lambda x: x = 'the')) AS n_the, len(list_filter(range(1, greatest(len(w), 1)), lambda i: w[i] = 'more' AND w[i + 1] = 'inspectors')) AS n_phrase FROM t""")
+def phrase_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a word and a phrase occur in each summary."""
+    own = table(spark, sf_dir, "articles").select("ingest_seq", tok.words(F.coalesce("summary", F.lit(""))).alias("w"))
+    return own.select("ingest_seq", tok.count_token(F.col("w"), "the").cast("bigint").alias("n_the"), tok.count_phrase(F.col("w"), ["more", "inspectors"]).cast("bigint").alias("n_phrase"))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT ingest_seq, category, CAST(score AS DOUBLE) AS score FROM bonus")
+def compound_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of satisfied rules alone."""
+    articles, lexicon, _ = _classified_tables(spark, sf_dir)
+    docs = articles.select("ingest_seq", tok.words(text.weighted_text(F.col("title"), F.col("summary"))).alias("tokens"))
+    return classify.scored(docs, lexicon.limit(0), classify.rules_table(spark))
+
+
+@query("SELECT category, keyword, weight, CASE WHEN length(keyword) > 4 THEN 2.0 ELSE 1.0 END::DOUBLE AS expected FROM lexicon")
+def keyword_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lexicon").select("category", "keyword", "weight", tok.keyword_weight(F.col("keyword")).cast("double").alias("expected"))
+
+
+@query(f"WITH {_SCORES_SQL}, {_TOP_SQL} SELECT * FROM top2")
+def top2_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.top_two(_scores(spark, sf_dir))
+
+
+@query(f"WITH {_CLASSES_SQL} SELECT * FROM classes")
+def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category and method of every article by cues, scores and rules, without a model."""
+    articles, lexicon, cues = _classified_tables(spark, sf_dir)
+    return classify.classify(articles, lexicon, cues)
+
+
+@query()
+def classify_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with longest-match words in scripts without spaces."""
+    articles, lexicon, cues = _classified_tables(spark, sf_dir)
+    words = [r["keyword"] for r in lexicon.select("keyword").limit(20_000).collect()]
+    return classify.classify(articles, lexicon, cues, tokenise=tok.dictionary_words(words))
+
+
+_VALID = ", ".join(f"'{c}'" for c in CATEGORIES)
+
+
+@query(f"""WITH {_CLASSES_SQL} SELECT a.ingest_seq, CASE WHEN coalesce(a.category IN ({_VALID}), false) THEN a.category ELSE c.category END AS category,
+CASE WHEN coalesce(a.category IN ({_VALID}), false) THEN a.classification_method ELSE c.method END AS classification_method, NOT coalesce(a.category IN ({_VALID}), false) AS changed
+FROM articles a JOIN classes c USING (ingest_seq)""")
+def backfill_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.backfilled(*_classified_tables(spark, sf_dir)).select("ingest_seq", "category", "classification_method", "changed")
+
+
+# --- extraction: documents rendered as pages and feeds ---
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as HTML pages: a heading, a link, an image, paragraphs of the body's lines."""
+    body = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = F.concat(F.lit("<html><body><nav><p>Menu</p></nav><h3><a href='/doc/"), F.col("doc_id").cast("string"), F.lit("'>Document "), F.col("doc_id").cast("string"), F.lit("</a></h3><img src='/img/logo.png'><img src='/img/photo-"), F.col("doc_id").cast("string"), F.lit(".jpg'><article><p>"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(head, F.replace(body, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>")).alias("html"))
+
+
+_BODY_SQL = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PAGE_SQL = f"""'<html><body><nav><p>Menu</p></nav><h3><a href=''/doc/' || doc_id || '''>Document ' || doc_id || '</a></h3><img src=''/img/logo.png''><img src=''/img/photo-' || doc_id || '.jpg''><article><p>' || replace({_BODY_SQL}, chr(10) || chr(10), '</p><p>') || '</p></article></body></html>'"""
+
+
+@query(f"SELECT doc_id, regexp_replace({_PAGE_SQL}, '<[^>]+>', '', 'g') AS plain FROM documents")
+def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("doc_id", text.strip_tags(F.col("html")).alias("plain"))
+
+
+@query(f"""SELECT doc_id, regexp_extract({_PAGE_SQL}, 'href=''([^'']+)''', 1) AS link, regexp_extract({_PAGE_SQL}, '<img[^>]+src=["'']([^"'']+)["'']', 1) AS image FROM documents""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First link and first image of each page by expressions."""
+    return _pages(spark, sf_dir).select("doc_id", F.regexp_extract("html", "href='([^']+)'", 1).alias("link"), text.first_image(F.col("html")).alias("image"))
+
+
+@query("SELECT doc_id, 0 AS pos, 'Document ' || doc_id AS title, 'https://site.example/doc/' || doc_id AS link FROM documents")
+def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of each page with the nearest link."""
+    return extract.listing_items(_pages(spark, sf_dir), "h3", "https://site.example", key="doc_id")
+
+
+@query("SELECT doc_id, 'https://site.example/img/photo-' || doc_id || '.jpg' AS page_image FROM documents")
+def hero_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's image, decoration left out."""
+    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["article"]).select("doc_id", "page_image")
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents)
+SELECT doc_id, coalesce(array_to_string(ps[1:3], '. ')[1:400], '') AS page_summary FROM p""")
+def page_paragraph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first paragraphs of each page's article."""
+    body = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.substring(F.array_join(F.slice(paragraphs, 1, 3), ". "), 1, 400), F.lit("")).alias("page_summary"))
+
+
+@query()
+def page_lead_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same read off the page's tree."""
+    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["div.detail", "article"]).select("doc_id", "page_summary")
+
+
+@query()
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's main text by density."""
+    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["article"]).select("doc_id", "page_text")
+
+
+@query("SELECT doc_id, CASE WHEN url LIKE 'http%' THEN url ELSE 'https://site.example' || url END AS url FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN url ELSE '/doc/' || doc_id END AS url FROM documents)")
+def link_absolutise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("doc_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", urls.absolute("https://site.example")(own).alias("url"))
+
+
+_FEED_TITLE = r"trim(regexp_replace(regexp_replace(replace(coalesce(title, ''), '&', '+'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]', '', 'g'), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g'))"
+
+
+@query(rf"SELECT ingest_seq, CAST(0 AS INTEGER) AS pos, {_FEED_TITLE} AS title, coalesce(url, '') AS url, 'https://img.site.example/' || ingest_seq || '.jpg' AS image_url FROM articles WHERE {_FEED_TITLE} <> ''")
+def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles rendered as feeds with junk after the end, read back."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("+")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", ""), r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
+    item = lambda tag, c: F.concat(F.lit(f"<{tag}>"), text.escape_html(c), F.lit(f"</{tag}>"))
+    picture = F.concat(F.lit("<description>&lt;p&gt;x&lt;img src='https://img.site.example/"), F.col("ingest_seq").cast("string"), F.lit(".jpg'&gt;&lt;/p&gt;</description>"))
+    xml = F.concat(F.lit("<rss><channel><item>"), item("title", plain), item("link", F.coalesce("url", F.lit(""))), picture, F.lit("</item></channel></rss>junk<"))
+    items = extract.feed_items(table(spark, sf_dir, "articles").select("ingest_seq", xml.alias("xml")), key="ingest_seq")
+    return extract.feed_articles(items.withColumnRenamed("ingest_seq", "source")).select(F.col("source").alias("ingest_seq"), "pos", "title", "url", "image_url")
+
+
+@query(r"""SELECT ingest_seq, regexp_replace(coalesce(title, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title,
+CASE WHEN coalesce(summary, '') = '' THEN '(ไม่มีเนื้อหา)' ELSE regexp_replace(summary, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS summary, '2025-07-01 12:00:00' AS fetched_at FROM incoming""")
+def article_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rows in the store's shape."""
+    own = table(spark, sf_dir, "incoming").select(
+        "ingest_seq", text.strip(F.coalesce("title", F.lit(""))).alias("title"), text.or_placeholder(F.col("summary")).alias("summary"), F.date_format(F.expr(CLOCK), "yyyy-MM-dd HH:mm:ss").alias("fetched_at")
+    )
+    return own
+
+
+# --- collect ---
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts for each document: a short cut, the text with a block notice on every seventh, the text."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), "doc_id", "text")
+    rows = F.array(
+        F.struct(F.lit(1).alias("tier"), F.when(F.col("doc_id") % 3 == 0, 503).otherwise(200).alias("status"), F.substring("text", 1, 101).alias("md")),
+        F.struct(F.lit(2).alias("tier"), F.lit(200).alias("status"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Just a moment "), F.col("text"))).otherwise(F.col("text")).alias("md")),
+        F.struct(F.lit(3).alias("tier"), F.lit(0).alias("status"), F.col("text").alias("md")),
+    )
+    return d.select("url", F.explode(rows).alias("x")).select("url", "x.*")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS url, CAST(CASE WHEN doc_id % 3 <> 0 AND length(text[1:101]) > 100 THEN 1 WHEN doc_id % 7 <> 0 AND length(text) > 100 AND NOT contains(text, 'Just a moment') AND NOT contains(text, 'Enable JavaScript') THEN 2
+WHEN coalesce(text, '') <> '' THEN 3 END AS INTEGER) AS tier FROM documents""")
+def fetch_tier_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tier whose text is accepted."""
+    return collect.first_accepted(_attempts(spark, sf_dir)).select("url", "tier")
+
+
+@query(r"""SELECT ingest_seq, CASE WHEN regexp_replace(string_split(url, '/')[-1], '[\\/*?:"<>|]', '', 'g') = '' THEN 'article' ELSE coalesce(regexp_replace(string_split(url, '/')[-1], '[\\/*?:"<>|]', '', 'g'), 'article') END AS name FROM articles""")
+def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles").select("ingest_seq", text.safe_name(F.col("url")).alias("name"))
+
+
+@query(r"""SELECT ingest_seq, nullif(regexp_extract(url, '^([A-Za-z]+)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1), '') AS authority, CASE WHEN regexp_matches(url, '^https?://') THEN url END AS accepted,
+CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]+') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/healthz' ELSE '' END AS health, coalesce(regexp_extract(image_url, '^https?://([^/?#]+)', 1) IN ('img.tuldoly1.example', 'img.sumevcon5.example'), false) AS proxyable FROM articles""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "articles").select(
+        "ingest_seq", urls.scheme(u).alias("scheme"), urls.authority(u).alias("authority"), urls.accepted_request(u).alias("accepted"), urls.health_url(u).alias("health"), urls.proxyable(F.col("image_url"), HOSTS).alias("proxyable")
+    )
+
+
+@query(f"SELECT ingest_seq, {_PROXY_SQL} AS image_url, url_encode(coalesce(title, '')) AS encoded FROM articles")
+def proxy_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles").select("ingest_seq", urls.proxied(F.col("image_url"), F.col("source"), [OUTLET], HOSTS).alias("image_url"), urls.percent_encode(F.coalesce("title", F.lit(""))).alias("encoded"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 4000 THEN text[1:4000] || chr(10) || chr(10) || '...[Content Truncated]...' ELSE text END AS prompt FROM documents")
+def truncate_for_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.for_model(F.col("text")).alias("prompt"))
+
+
+@query(r"SELECT doc_id, array_to_string(string_split_regex(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]+')[1:500], ' ') AS cropped FROM documents")
+def crop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.crop_words(F.col("text")).alias("cropped"))
+
+
+@query(f"""SELECT summary_id, CASE WHEN category NOT IN ({_VALID}) OR sentiment NOT IN ('positive', 'neutral', 'negative') THEN NULL ELSE title END AS title, NOT coalesce(category NOT IN ({_VALID}) OR sentiment NOT IN ('positive', 'neutral', 'negative'), false)
+AND bullets IS NOT NULL AND keywords IS NOT NULL AS valid FROM (SELECT * REPLACE (CASE WHEN bullets IS NULL OR keywords IS NULL THEN NULL ELSE title END AS title) FROM summaries)""")
+def strip_fences_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries written as fenced JSON answers, parsed and validated again."""
+    fields = F.struct("title", "source_url", "published_at", "language", "summary", "bullets", "category", "sentiment", "keywords")
+    raw = F.concat(F.lit("```json\n"), F.to_json(fields, {"ignoreNullFields": "false"}), F.lit("\n```"))
+    own = table(spark, sf_dir, "summaries").select("summary_id", collect.parsed_answer(raw).alias("s"))
+    return own.select("summary_id", F.col("s.title").alias("title"), F.col("s").isNotNull().alias("valid"))
+
+
+@query()
+def summarise_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through gate, model and validation, with a deterministic stand-in for the model."""
+
+    def client(prompt: str) -> str:
+        import json
+
+        return "```json\n" + json.dumps({"title": prompt[:60], "category": "world", "sentiment": "neutral", "bullets": [], "keywords": []}) + "\n```"
+
+    captures = table(spark, sf_dir, "documents").select("url", F.col("text").alias("md"), F.lit("given").alias("method"))
+    return collect.summarised(captures, client).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT summary_id, CASE WHEN contains(lower(sentiment), 'positive') THEN 'positive' WHEN contains(lower(sentiment), 'negative') THEN 'negative' ELSE 'neutral' END AS shown FROM summaries")
+def sentiment_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentiment a reader sees: by substring, in any case."""
+    low = F.lower("sentiment")
+    shown = F.when(F.contains(low, F.lit(SENTIMENTS[0])), SENTIMENTS[0]).when(F.contains(low, F.lit(SENTIMENTS[2])), SENTIMENTS[2]).otherwise(SENTIMENTS[1])
+    return table(spark, sf_dir, "summaries").select("summary_id", shown.alias("shown"))
+
+
+@query("SELECT ingest_seq, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM articles")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles").select("ingest_seq", text.escape_html(F.col("title")).alias("escaped"))
+
+
+# --- stream, ops ---
+
+
+@query("""SELECT ingest_seq FROM (SELECT *, rank() OVER (PARTITION BY batch_no, url ORDER BY source_ord) AS r, min(batch_no) OVER (PARTITION BY url) AS first_batch FROM incoming WHERE url <> '') WHERE batch_no = first_batch AND r = 1""")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``incoming`` as a stream of its twelve batches, each against the addresses seen before."""
+    from tidewrack.streaming.ingest import Ingest
+
+    path = scratch(spark, "ingest")
+    sink = Ingest(spark, path)
+    rows = table(spark, sf_dir, "incoming")
+    for r in sorted(x["batch_no"] for x in rows.select("batch_no").distinct().collect()):
+        sink.batch(rows.where(F.col("batch_no") == r), r)
+    return spark.read.schema(rows.schema).parquet(f"{path}/articles").select("ingest_seq")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS vec_id, round(max(p), 6) AS confidence FROM (SELECT vec_id, exp(x - max(x) OVER (PARTITION BY vec_id)) / sum(exp(x)) OVER (PARTITION BY vec_id) * exp(max(x) OVER (PARTITION BY vec_id)) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)) GROUP BY 1")
+def softmax_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest normalised exponential of each vector."""
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.round(F.array_max(tok.softmax(values)), 6).alias("confidence"))
+
+
+@query("SELECT count(*) AS total, '15 minutes' AS every, '2025-07-01 12:00:00' AS now, (SELECT bool_and(url IS NOT NULL) FROM sources) AS ready FROM articles")
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row about the store: rows, interval, clock, readiness of all parts."""
+    ready = table(spark, sf_dir, "sources").agg(F.bool_and(F.col("url").isNotNull()).alias("ready"))
+    total = table(spark, sf_dir, "articles").agg(F.count("*").alias("total"))
+    return total.crossJoin(F.broadcast(ready)).select("total", text.minutes_label(F.lit(15)).alias("every"), F.date_format(F.expr(CLOCK), "yyyy-MM-dd HH:mm:ss").alias("now"), "ready")
+
+
+@query("""WITH e AS (SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, hour, n, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY hour) AS BIGINT) AS total FROM e""")
+def event_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each event type by hour, and running."""
+    hour = F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("hour")
+    own = table(spark, sf_dir, "events").groupBy("event_type", hour).agg(F.count("*").alias("n"))
+    return own.withColumn("total", F.sum("n").over(Window.partitionBy("event_type").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)))
