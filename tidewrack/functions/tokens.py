@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 WORDS = r"[\p{L}\p{M}\p{N}]+(?:[-'’][\p{L}\p{M}\p{N}]+)*"
 
 
+def once(c: Column, of) -> Column:
+    """``of(c)`` with ``c`` bound to a variable, so the optimizer can't copy an expensive ``c`` into each of its uses."""
+    return F.transform(F.array(c), of)[0]
+
+
 def words(c: Column) -> Column:
     """Lower-case words of scripts with spaces; a run of another script is one token. Null gives an empty array."""
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(f"({WORDS})"), F.lit(1)), F.array().cast("array<string>"))
@@ -22,12 +27,19 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
+def grams_from(tokens: Column, n: int, starts: list[str]) -> Column:
+    """Those of the n-grams whose first token is among ``starts``; the rest are never built."""
+    at = F.filter(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.element_at(tokens, i).isin(starts))
+    some = F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>"))
+
+
 def count_token(tokens: Column, token: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == token))
 
 
 def count_phrase(tokens: Column, parts: list[str]) -> Column:
-    return F.size(F.filter(grams(tokens, len(parts)), lambda g: g == " ".join(parts)))
+    return once(tokens, lambda t: F.size(F.filter(grams(t, len(parts)), lambda g: g == " ".join(parts))))
 
 
 def has_all(tokens: Column, parts: Column) -> Column:
@@ -72,7 +84,9 @@ def dictionary_words(dictionary: list[str]):
 
 
 def softmax(values: Column) -> Column:
-    """Normalised exponentials of an array, computed from the largest value down."""
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(values, lambda x: F.exp(x - top) / total)
+    """Normalised exponentials of an array, from the largest value down; the largest value and the total are bound once, not for each element."""
+
+    def scaled(top: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top), lambda total: F.transform(values, lambda x: F.exp(x - top) / total))
+
+    return once(F.array_max(values), scaled)

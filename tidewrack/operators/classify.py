@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import strip, weighted_text
-from tidewrack.functions.tokens import grams, has_all, words
+from tidewrack.functions.tokens import grams, grams_from, has_all, once, words
 from tidewrack.runtime import bounded
 from tidewrack.schema import CATEGORIES, COMPOUND_RULE
 
 #: Points for a satisfied rule; margin that settles a category at once; categories that a margin alone never settles; confidence a model needs.
 BONUS, MARGIN, DEFERRED, TRUST = 5.0, 5.0, ("economy", "politics", "society"), 0.5
 
+#: Keywords up to which their first tokens are a literal set of the plan.
+STARTS = 5_000
+
 #: A starter set of rules: all parts must occur. Any table of the same shape may be passed instead.
 RULES = [
     ("economy", 0, ["interest", "rate"]), ("economy", 1, ["export", "orders"]), ("economy", 2, ["wage", "growth"]), ("economy", 3, ["zolltarif", "lohnwachstum"]),
@@ -42,15 +45,28 @@ def scored(docs: DataFrame, lexicon: DataFrame, rules: DataFrame, doc: str = "in
     Each occurrence of a keyword of n tokens is an n-gram that equals it, so scoring is one equi-join. The lexicon is broadcast after its
     size has been checked and joined by a shuffle beyond that.
     """
-    lex = lexicon.select("category", F.array_join("tokens", " ").alias("gram"), F.size("tokens").alias("n"), "weight")
-    lengths = [r["n"] for r in lex.select("n").distinct().orderBy("n").limit(16).collect()]
-    side = F.broadcast(lex) if bounded(lexicon) else lex
-    every = F.flatten(F.array(*[grams(F.col(tokens), n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    hits = docs.select(F.col(doc), F.explode(every).alias("gram")).join(side, "gram").groupBy(doc, "category").agg(F.sum("weight").alias("score"))
+    lex = lexicon.where(F.size("tokens") > 0).select("category", F.array_join("tokens", " ").alias("gram"), F.col("tokens")[0].alias("start"), F.size("tokens").alias("n"), "weight")
+    if bounded(lexicon, STARTS):
+        # a small lexicon's first tokens are a literal set, so only n-grams that can match are built and leave the scan
+        by_length: dict[int, set[str]] = {}
+        for r in lex.select("n", "start").distinct().collect():
+            by_length.setdefault(r["n"], set()).add(r["start"])
+        built, side = [(lambda t, n=n, own=own: grams_from(t, n, sorted(own))) for n, own in sorted(by_length.items())], F.broadcast(lex)
+    else:
+        lengths = [r["n"] for r in lex.select("n").distinct().orderBy("n").limit(16).collect()]
+        built, side = [(lambda t, n=n: grams(t, n)) for n in lengths], lex
+    every = once(F.col(tokens), lambda t: F.flatten(F.array(*[f(t) for f in built]))) if built else F.array().cast("array<string>")
+    hits = docs.select(F.col(doc), F.explode(every).alias("gram")).join(side.select("category", "gram", "weight"), "gram").groupBy(doc, "category").agg(F.sum("weight").alias("score"))
     # rules are looked up by their first part, so documents meet only rules they can satisfy
-    own = rules.select("category", F.array_distinct("tokens").alias("parts")).withColumn("gram", F.col("parts")[0])
-    own = F.broadcast(own) if bounded(rules) else own
-    bonus = docs.select(F.col(doc), F.array_distinct(tokens).alias("has"), F.explode(F.array_distinct(tokens)).alias("gram")).join(own, "gram").where(has_all(F.col("has"), F.col("parts")))
+    own = rules.where(F.size("tokens") > 0).select("category", F.array_distinct("tokens").alias("parts")).withColumn("gram", F.col("parts")[0])
+    has = docs.select(F.col(doc), F.array_distinct(tokens).alias("has"))
+    if bounded(rules, STARTS):
+        starts = sorted(r["gram"] for r in own.select("gram").distinct().collect())
+        has = has.select(doc, "has", F.explode(F.filter("has", lambda t: t.isin(starts) if starts else F.lit(False))).alias("gram"))
+        own = F.broadcast(own)
+    else:
+        has = has.select(doc, "has", F.explode("has").alias("gram"))
+    bonus = has.join(own, "gram").where(has_all(F.col("has"), F.col("parts")))
     bonus = bonus.groupBy(doc, "category").agg((F.count("*") * F.lit(BONUS)).alias("score"))
     return hits.unionByName(bonus).groupBy(doc, "category").agg(F.sum("score").alias("score"))
 
