@@ -149,8 +149,8 @@ class ExemplarIndex:
         if slots(text):
             return "slot"
         low = clean(text)
-        if source:
-            low = low.replace(clean(source), " ")
+        if source and (name := clean(source).strip()) and name in low:
+            low = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low)
         total = covered = 0.0
         for passage in _PASSAGE.split(low):
             words = tokens(passage)

@@ -154,12 +154,16 @@ class BoundaryModel:
         self.right: list[dict[str, float]] = [{}, {}]
         self.right_short: list[dict[str, float]] = [{}, {}]
         self.total = {(s, d): 1.0 for s in (0, 1) for d in "dw"}  # by event and kind of what stands to the right
-        self.chain = [[-2.5, -0.3, 0.0], [0.0, 0.0, 0.0]]
+        #: What a boundary before a gap takes from its odds, by the length since (fixed: a sentence of a word or two is rare).
+        self.chain = [-2.5, -0.3, 0.0]
         self.prior = 0.0
 
     def _odds(self, lf: str, ls: str) -> float:
         x = self.left.get(lf)
-        return x if x is not None else self.left_short.get(ls, self.prior)
+        if x is None:
+            x = self.left_short.get(ls)
+        # a full-width mark that the sample lacks ends a sentence until seen otherwise
+        return x if x is not None else 2.0 if ls[1:2] in "。！？．" and len(ls) > 1 else self.prior
 
     def _right(self, rf: str, rs: str) -> float:
         out = []
@@ -179,7 +183,7 @@ class BoundaryModel:
             e = self._right(rf, rs)
             row = []
             for prev in (0, 1):
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, o + (self.chain[0][span] if prev else 0.0)))))
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, o + (self.chain[span] if prev else 0.0)))))
                 row.append((1 - p, p * math.exp(max(-30.0, min(30.0, e)))))
             w.append(row)
         f = [(0.0, 1.0)]  # the line's start is a boundary
@@ -311,7 +315,9 @@ class BoundaryModel:
 def featured(line: str, open_gaps: list[tuple[int, int]]) -> list[tuple[str, str, str, str, int]]:
     out, last = [], 0
     for left, start in open_gaps:
-        out.append((*left_features(line, left), *right_features(line, start), _span(left - last)))
+        forms = left_features(line, left)
+        wide = len(forms[1]) > 1 and forms[1][1] in "。！？．"
+        out.append((*forms, *right_features(line, start), 2 if wide else _span(left - last)))
         last = start
     return out
 
