@@ -77,7 +77,7 @@ def test_marks_and_quotes(model):
     assert model.starts("") == [] and model.starts(" \n ") == []
     assert S.closed_spans('a "b. c" d (e') == [(2, 7), (11, 13)]
     assert len(model.starts("等了三天。没有人来。走了！")) == 3
-    assert S.gaps("「もう待てない。帰る。」と語った。次の日。") == [(17, 17)]
+    assert S.gaps("「もう待てない。帰る。」と語った。次の日。") == [(12, 12), (17, 17)]
 
 
 def test_sentences_operator(spark, model):
