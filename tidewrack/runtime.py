@@ -6,9 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a side whose size follows from the data's own rules may be broadcast after it has been counted.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 100_000
 
 
 def session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -60,3 +61,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def bounded(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``bound`` rows, seen by counting no more than one row beyond that."""
     return df.limit(bound + 1).count() <= bound
+
+
+def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed side, with a broadcast hint only if counting has shown it to have at most ``bound`` rows."""
+    return F.broadcast(df) if bounded(df, bound) else df
