@@ -14,13 +14,16 @@ and other texts count as one document; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import map_rows
-from tidewrack.runtime import cut, scratch
+from tidewrack.runtime import cut, scratch, small
 
 SPAN, WINDOW = 200, 120
 
@@ -179,20 +182,28 @@ class SpanIndex:
         self.runs: list[tuple[int, str]] = []
         self._n = 0
 
-    def _write(self, df: DataFrame, level: int) -> str:
-        out = f"{self.path}/run-{self._n:05d}-level-{level}"
+    def _write(self, df: DataFrame, level: int, buckets: int) -> str:
+        """A run as files bucketed and sorted by hash, so merging and grouping by hash need no exchange. The catalogue entry is this session's; the files are shared."""
+        name, out = f"spans_{os.urandom(6).hex()}", f"{self.path}/run-{self._n:05d}-level-{level}"
         self._n += 1
-        df.repartition("fp").sortWithinPartitions("fp").write.parquet(out)
-        self.runs.append((level, out))
-        return out
-
-    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Adds a batch and returns candidates ``(doc_a, doc_b)`` of the batch against itself and against all older runs."""
-        older = [p for _, p in self.runs]
-        new = self.spark.read.parquet(self._write(fingerprints(docs, doc_id, text, self.span, self.window), 0))
+        df.repartition(buckets, "fp").write.bucketBy(buckets, "fp").sortBy("fp").option("path", out).saveAsTable(name)
+        self.runs.append((level, name))
+        return name
+
+    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", without: DataFrame | None = None) -> DataFrame:
+        """Adds a batch and returns candidates ``(doc_a, doc_b)`` of the batch against itself and against all older runs.
+
+        ``without(doc)`` names documents that another one stands for; their windows are left out of the run.
+        """
+        older = [t for _, t in self.runs]
+        prints = fingerprints(docs, doc_id, text, self.span, self.window)
+        if without is not None:
+            prints = prints.join(small(without), "doc", "left_anti")
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        new = self.spark.table(self._write(prints, 0, buckets))
         pairs = self._within(new)
-        for p in older:
-            old = self.spark.read.parquet(p).withColumnRenamed("doc", "other")
+        for t in older:
+            old = self.spark.table(t).withColumnRenamed("doc", "other")
             pairs = pairs.unionByName(new.join(old, "fp").select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).where("doc_a < doc_b"))
         return pairs.distinct()
 
@@ -201,7 +212,7 @@ class SpanIndex:
         """Pairs of one run: only hashes of two or more documents are joined, so the rest of the run isn't paired at all."""
         many = new.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
         two = many.where("n = 2").select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"))
-        hot = new.join(many.where("n > 2").select("fp"), "fp", "left_semi")
+        hot = new.join(small(cut(many.where("n > 2").select("fp"))), "fp", "left_semi")
         rest = hot.alias("a").join(hot.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
         return two.unionByName(rest)
 
@@ -214,22 +225,26 @@ class SpanIndex:
                 return
             if len(own) >= self.FANOUT:
                 self.runs = [(l, p) for l, p in self.runs if l != level]
-                self._write(self.spark.read.parquet(*own), level + 1)
+                merged = reduce(DataFrame.unionByName, [self.spark.table(t) for t in own])
+                self._write(merged, level + 1, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
             level += 1
 
 
 def verified(pairs: DataFrame, left: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """Those of the candidate pairs whose texts have a run of ``span`` characters in common. Only texts of candidates are moved."""
-    texts = left.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")).where(F.length("t") >= span)
+    pairs = cut(pairs)
+    ids = cut(pairs.select(F.col("doc_a").alias("doc")).unionAll(pairs.select("doc_b")).distinct())
+    texts = left.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")).where(F.length("t") >= span).join(small(ids), "doc", "left_semi")
     a = pairs.join(texts.withColumnsRenamed({"doc": "doc_a", "t": "ta"}), "doc_a")
     b = a.join(texts.withColumnsRenamed({"doc": "doc_b", "t": "tb"}), "doc_b")
     return map_rows(b.select("doc_a", "doc_b", "ta", "tb"), _verify(span), "doc_a bigint, doc_b bigint").distinct()
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """``(doc, rep)``: each document with a text of at least ``span`` characters and the least id among those with the same text."""
-    named = docs.where(F.length(text) >= span).select(F.col(doc_id).cast("bigint").alias("doc"), F.sha2(text, 256).alias("name"))
-    return named.join(named.groupBy("name").agg(F.min("doc").alias("rep")), "name").select("doc", "rep").distinct()
+    """``(doc, rep)`` of documents whose text, of at least ``span`` characters, is not the only one of its kind; ``rep`` is the least id with it."""
+    named = docs.where(F.length(text) >= span).select(F.col(doc_id).cast("bigint").alias("doc"), F.unhex(F.sha2(text, 256)).alias("name")).distinct()
+    groups = named.groupBy("name").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("name", "rep")
+    return named.join(small(cut(groups)), "name").select("doc", "rep")
 
 
 def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW) -> DataFrame:
@@ -238,14 +253,16 @@ def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     Of equal texts one stands for all in the index; the pairs are then expanded to the copies, which cost no fingerprint and no check.
     """
     members = cut(copies(docs, doc_id, text, span))
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    single = own.join(members.where("doc = rep").select("doc"), "doc", "left_semi")
-    found = verified(SpanIndex(docs.sparkSession, None, span, window).append(single, "doc", "text"), single, "doc", "text", span)
-    within = members.select("rep").distinct().select(F.col("rep").alias("doc_a"), F.col("rep").alias("doc_b"))
-    a, b = (members.select(F.col("doc").alias(x), F.col("rep").alias(f"doc_{x}")) for x in "ab")
-    wide = found.unionByName(within).join(a, "doc_a").join(b, "doc_b")
-    across = wide.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).where("doc_a < doc_b")
-    return across.distinct()
+    repeats = cut(members.where("doc <> rep"))
+    found = verified(SpanIndex(docs.sparkSession, None, span, window).append(docs, doc_id, text, repeats.select("doc")), docs, doc_id, text, span)
+    # pairs of representatives, each with itself too where it has copies, and the documents each stands for
+    groups = repeats.select("rep").distinct()
+    within = groups.select(F.col("rep").alias("doc_a"), F.col("rep").alias("doc_b"))
+    stands = repeats.unionByName(groups.select(F.col("rep").alias("doc"), "rep"))
+    wide = found.unionByName(within)
+    for side, x in (("doc_a", "a"), ("doc_b", "b")):
+        wide = wide.join(stands.select(F.col("rep").alias(side), F.col("doc").alias(x)), side, "left").withColumn(x, F.coalesce(x, side))
+    return wide.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).where("doc_a < doc_b").distinct()
 
 
 def _cover(span: int):
