@@ -121,4 +121,4 @@ def test_truncated_operator(spark):
 def test_limits(spark):
     rows = [(k, "x" * 100, "A") for k in range(50)] + [(100 + k, "x" * (41 + k), "B") for k in range(50)] + [(200, "y" * 100, None)]
     got = {(r.source, r.unit, r.len) for r in T.limits(spark.createDataFrame(rows, "ingest_seq bigint, summary string, source string"), "summary", "source").collect()}
-    assert got == {("A", 1, 100), ("A", 2, 25)}
+    assert got == {("A", 3, 100), ("A", 2, 25)}

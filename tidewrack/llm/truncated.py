@@ -31,6 +31,8 @@ from tidewrack.runtime import bounded, cut
 SAMPLE, BITS, EPOCHS = 8_000, 18, 6
 #: A length is a limit of its source if at least so many rows and such a share of its rows have it; how far below a limit in bytes a text may end.
 LIMIT_ROWS, LIMIT_SHARE, SLACK = 8, 0.015, 3
+#: Share of a source's rows from which a limit is beyond chance.
+PILE = 0.05
 
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…+|�+)\s*$")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*[^\w\s]*$")
@@ -42,7 +44,7 @@ def _mask(s: str) -> str:
 
 
 def features(text: str, at_limit: int) -> list[int]:
-    """Hashed binary features of how a text ends; ``at_limit``: 0 none, 1 a limit in characters, 2 in bytes."""
+    """Hashed binary features of how a text ends; ``at_limit``: 0 none, 1 a limit in characters, 2 in bytes, 3 one in characters that many rows reach."""
     tail = text.rstrip()[-160:]
     m = _MARK.search(tail)
     # an ellipsis within quotation marks is the speaker's
@@ -73,7 +75,8 @@ def examples(texts: list[str], model: BoundaryModel, seed: int = 11) -> tuple[li
     ys: list[int] = []
 
     def add(text: str, y: int) -> None:
-        at = rnd.choice((1, 2)) if rnd.random() < (0.5 if y else 0.01) else 0
+        # a cut text has its source's limit as often as not, a whole one by chance
+        at = rnd.choice((1, 2, 3)) if y and rnd.random() < 0.5 else 0 if y else rnd.choices((0, 1, 2, 3), (0.978, 0.01, 0.01, 0.002))[0]
         xs.append(features(text, at))
         ys.append(y)
 
@@ -144,13 +147,16 @@ class HashedLogistic:
 
 
 def limits(df: DataFrame, text: str, source: str) -> DataFrame:
-    """``(source, unit, len)``: lengths at which many rows of a source end; ``unit`` is 1 for characters and 2 for bytes. At most ``2 / LIMIT_SHARE`` a source."""
+    """``(source, unit, len)``: lengths at which many rows of a source end; ``unit`` is 1 for characters (3 if over ``PILE`` of the rows do) and 2 for bytes.
+
+    There are at most ``2 / LIMIT_SHARE`` of them for a source.
+    """
     rows = df.select(F.col(source).alias("source"), F.col(text).alias("t")).where((F.col("source") != "") & (F.length("t") > 40))
     own = rows.select("source", F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.length("t").alias("len")), F.struct(F.lit(2).alias("unit"), (F.octet_length("t") / (SLACK + 1)).cast("int").alias("len")))).alias("x"))
     counts = own.groupBy("source", "x.unit", "x.len").agg(F.count("*").alias("n")).where(F.col("n") >= LIMIT_ROWS)
     totals = rows.groupBy("source").agg(F.count("*").alias("of"))
     share = F.when(F.col("unit") == 1, LIMIT_SHARE).otherwise(2 * LIMIT_SHARE)
-    return counts.join(totals, "source").where(F.col("n") >= F.col("of") * share).select("source", "unit", "len")
+    return counts.join(totals, "source").where(F.col("n") >= F.col("of") * share).select("source", F.when((F.col("unit") == 1) & (F.col("n") >= F.col("of") * PILE), 3).otherwise(F.col("unit")).alias("unit"), "len")
 
 
 def _score(shared):
@@ -166,7 +172,7 @@ def _score(shared):
                     continue
                 if piles is not None:
                     n = len(t)
-                    flag = 1 if (s, 1, n) in piles else 2 if (s, 2, len(t.encode("utf-8", "surrogatepass")) // (SLACK + 1)) in piles else 0
+                    flag = 3 if (s, 3, n) in piles else 1 if (s, 1, n) in piles else 2 if (s, 2, len(t.encode("utf-8", "surrogatepass")) // (SLACK + 1)) in piles else 0
                 p = model.probability(features(t, flag or 0))
                 if p > 0.5 and len(t) < 200 and (judge.judge(t, s) == "residue" or not residue.SLOT.sub("", t).strip(" .!")):
                     p = 0.0
@@ -191,7 +197,8 @@ def scores(df: DataFrame, row_id: str = "ingest_seq", text: str = "summary", sou
         known = {(r["source"], r["unit"], r["len"]) for r in piles.collect()}
         rows = rows.withColumn("flag", F.lit(0))
     else:
-        chars, octets = (piles.where(F.col("unit") == u).select("source", F.col("len").alias(f"len{u}"), F.lit(u).alias(f"u{u}")) for u in (1, 2))
+        chars = piles.where(F.col("unit") != 2).select("source", F.col("len").alias("len1"), F.col("unit").alias("u1"))
+        octets = piles.where(F.col("unit") == 2).select("source", F.col("len").alias("len2"), F.col("unit").alias("u2"))
         rows = rows.withColumn("len1", F.length("t")).withColumn("len2", (F.octet_length("t") / (SLACK + 1)).cast("int"))
         rows = rows.join(chars, ["source", "len1"], "left").join(octets, ["source", "len2"], "left").withColumn("flag", F.coalesce("u1", "u2", F.lit(0)))
     shared = df.sparkSession.sparkContext.broadcast((model, known))
