@@ -127,3 +127,21 @@ def test_batches_and_compaction_lose_nothing(spark, words):
         got |= {(r.doc_a, r.doc_b) for r in shared_spans.verified(pairs, df).collect()}
         index.compact()
     assert got == brute(texts, 200) and len(index.runs) < len(texts)
+
+
+def test_hot_windows_against_brute_force(spark, words, monkeypatch):
+    """A notice of 150 characters on all documents pairs none of them; longer common runs are still found, in one batch and across batches."""
+    monkeypatch.setattr(shared_spans, "HOT", 5)
+    rnd = random.Random(12)
+    notice, long = prose(words, rnd, 40)[:150], prose(words, rnd, 60)[:230]
+    texts = [prose(words, rnd, 30) + notice + prose(words, rnd, 30) + (long if k % 9 == 0 else "") for k in range(40)]
+    texts[3] = prose(words, rnd, 5) + texts[4][100:310] + prose(words, rnd, 5)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    want = brute(texts, 200)
+    assert {(r.doc_a, r.doc_b) for r in shared_spans.shared_pairs(df).collect()} == want
+    index = shared_spans.SpanIndex(spark)
+    got = {(r.doc_a, r.doc_b) for r in index.append(df.where("doc_id < 20")).collect()}
+    second = index.append(df.where("doc_id >= 20"), history=df.where("doc_id < 20"))
+    got |= {(r.doc_a, r.doc_b) for r in second.collect()}
+    assert {(r.doc_a, r.doc_b) for r in shared_spans.verified(spark.createDataFrame(sorted(got), "doc_a bigint, doc_b bigint"), df).collect()} == want
+    assert len(got) < 120

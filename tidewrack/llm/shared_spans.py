@@ -26,6 +26,8 @@ from tidewrack.llm.common import map_rows
 from tidewrack.runtime import cut, scratch, small
 
 SPAN, WINDOW = 200, 120
+#: Documents that share a window from which its surroundings are compared before documents are paired.
+HOT = 48
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -96,6 +98,25 @@ def _prints(span: int, window: int):
     return batch
 
 
+def _around(span: int, window: int):
+    """Hashes of the windows of ``span`` characters around a document's hot windows."""
+
+    def batch(ids, texts, hot):
+        who, what = [], []
+        for i, t, fps in zip(ids, texts, hot):
+            if t is not None and len(t) >= span:
+                full = window_hashes(t, span)
+                at = np.flatnonzero(np.isin(window_hashes(t, window).view(np.int64), np.array(fps, np.int64)))
+                starts = np.unique((at[:, None] - np.arange(span - window + 1)[None]).ravel())
+                got = np.unique(full[starts[(starts >= 0) & (starts < len(full))]])
+                who.append(np.full(len(got), i, np.int64))
+                what.append(got.view(np.int64))
+        none = np.empty(0, np.int64)
+        return {"fp": pa.array(np.concatenate([none, *what])), "doc": pa.array(np.concatenate([none, *who]))}
+
+    return batch
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW) -> DataFrame:
     """``(fp, doc)``: the kept window hashes of each document."""
     return map_rows(df.select(F.col(doc_id).cast("bigint"), text).where(F.length(text) >= span), _prints(span, window), "fp bigint, doc bigint")
@@ -190,10 +211,11 @@ class SpanIndex:
         self.runs.append((level, name))
         return name
 
-    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", without: DataFrame | None = None) -> DataFrame:
+    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", without: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
         """Adds a batch and returns candidates ``(doc_a, doc_b)`` of the batch against itself and against all older runs.
 
-        ``without(doc)`` names documents that another one stands for; their windows are left out of the run.
+        ``without(doc)`` names documents that another one stands for; their windows are left out of the run. ``history`` are the older documents; it is
+        read only for those with a window that over ``HOT`` documents share.
         """
         older = [t for _, t in self.runs]
         prints = fingerprints(docs, doc_id, text, self.span, self.window)
@@ -201,20 +223,41 @@ class SpanIndex:
             prints = prints.join(small(without), "doc", "left_anti")
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         new = self.spark.table(self._write(prints, 0, buckets))
-        pairs = self._within(new)
-        for t in older:
-            old = self.spark.table(t).withColumnRenamed("doc", "other")
-            pairs = pairs.unionByName(new.join(old, "fp").select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).where("doc_a < doc_b"))
+        counts = new.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        many = cut(counts.where("lo < hi"))
+        pairs = many.where("n = 2").select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"))
+        some = new.join(small(cut(many.where(F.col("n").between(3, HOT)).select("fp"))), "fp", "left_semi")
+        pairs = pairs.unionByName(some.alias("a").join(some.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")))
+        own = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t"))
+        hot = cut(many.where(F.col("n") > HOT).select("fp"))
+        if not hot.isEmpty():
+            pairs = pairs.unionByName(self._wide(own, new, hot))
+        if older:
+            old = reduce(DataFrame.unionByName, [self.spark.table(t) for t in older]).withColumnRenamed("doc", "other")
+            met = old.join(new.select("fp").distinct(), "fp", "left_semi")
+            busy = None
+            if history is not None:
+                busy = cut(met.groupBy("fp").agg(F.count("*").alias("m")).join(counts.select("fp", "n"), "fp").where(F.col("m") + F.col("n") > HOT).select("fp"))
+                busy = None if busy.isEmpty() else busy
+            plain = met if busy is None else met.join(small(busy), "fp", "left_anti")
+            pairs = pairs.unionByName(new.join(plain, "fp").select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).where("doc_a < doc_b"))
+            if busy is not None:
+                both = own.unionByName(history.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")))
+                pairs = pairs.unionByName(self._wide(both, new.unionByName(met.withColumnRenamed("other", "doc")), busy))
         return pairs.distinct()
 
-    @staticmethod
-    def _within(new: DataFrame) -> DataFrame:
-        """Pairs of one run: only hashes of two or more documents are joined, so the rest of the run isn't paired at all."""
-        many = new.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-        two = many.where("n = 2").select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"))
-        hot = new.join(small(cut(many.where("n > 2").select("fp"))), "fp", "left_semi")
-        rest = hot.alias("a").join(hot.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
-        return two.unionByName(rest)
+    def _wide(self, docs: DataFrame, prints: DataFrame, hot: DataFrame) -> DataFrame:
+        """Pairs that hot windows lead to, without pairing all their documents.
+
+        A common run of ``span`` characters around a window is one of the windows of ``span`` characters that hold it. The hashes of these stand for
+        the document instead, so documents that share no more than the short window part, and what still meets is a row of the result.
+        """
+        mine = cut(prints.join(small(hot), "fp", "left_semi").groupBy("doc").agg(F.collect_set("fp").alias("fps")))
+        wide = map_rows(docs.join(small(mine), "doc").select("doc", "t", "fps"), _around(self.span, self.window), "fp bigint, doc bigint").distinct()
+        wide = cut(wide)
+        met = wide.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+        left = wide.join(met, "fp", "left_semi")
+        return left.alias("a").join(left.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
 
     def compact(self) -> None:
         """Merges the runs of a level into one of the next level once there are ``FANOUT`` of them."""
