@@ -84,27 +84,25 @@ def unit_features(unit: str, lexicon: dict[str, str]) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & mask for f in dict.fromkeys(out)]
 
 
-def units(text: str) -> tuple[list[str], list[int], list[int], list[tuple[int, int]]]:
-    """The units of a text, where they start, the number of the sentence each is in, and the sentences' spans."""
-    words, starts, segs, spans = [], [], [], []
+def units(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+    """The units of a text, the number of units in each sentence that has any, and these sentences' spans."""
+    words: list[str] = []
+    counts: list[int] = []
+    spans: list[tuple[int, int]] = []
+    addresses = "http" in text or "www." in text or "@" in text
     at = 0
     for m in [*_BREAK.finditer(text), None]:
-        end = m.start() if m else len(text)
-        body = text[at:end]
-        if body.strip():
-            n = len(words)
-            for u in _UNIT.finditer(text, at, end):
-                w = u.group()
-                if w[:4] in ("http", "www.") or "@" in w:
-                    continue
-                words.append(w)
-                starts.append(u.start())
-                segs.append(len(spans))
-            if len(words) > n:
-                stop = m.end() if m else len(text)
-                spans.append((at + len(body) - len(body.lstrip()), at + len(text[at:stop].rstrip())))
-        at = m.end() if m else len(text)
-    return words, starts, segs, spans
+        end, stop = (m.start(), m.end()) if m else (len(text), len(text))
+        own = _UNIT.findall(text, at, end)
+        if addresses:
+            own = [w for w in own if w[:4] not in ("http", "www.") and "@" not in w]
+        if own:
+            words += own
+            counts.append(len(own))
+            piece = text[at:stop]
+            spans.append((stop - len(piece.lstrip()), at + len(piece.rstrip())))
+        at = stop
+    return words, counts, spans
 
 
 #: What the script alone tells: Thai is written in Thai letters only, Chinese and Japanese share the third kind of units.
@@ -169,11 +167,12 @@ class LanguageField:
         rnd = random.Random(seed)
         sents: list[tuple[list[str], str]] = []
         for text, lang in texts:
-            words, _, segs, _ = units(text)
-            by: dict[int, list[str]] = defaultdict(list)
-            for w, s in zip(words, segs):
-                by[s].append(w)
-            sents += [(ws, lang) for ws in by.values() if len(ws) > 1 or kind(ws[0]) != "w"]
+            words, counts, _ = units(text)
+            at = 0
+            for n in counts:
+                ws, at = words[at : at + n], at + n
+                if n > 1 or kind(ws[0]) != "w":
+                    sents.append((ws, lang))
         if not sents:
             return self
         # a word model on the labels as they are, then without the sentences it contradicts
@@ -269,7 +268,7 @@ class LanguageField:
 
 
 class Tagger:
-    """Labels batches of texts; keeps the emissions of the units it has met."""
+    """Labels batches of texts; keeps the emissions, scripts and lengths of the units it has met."""
 
     HOLD = 150_000
 
@@ -280,67 +279,67 @@ class Tagger:
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
         self.table = np.zeros((1024, LanguageField.L), np.float32)
+        self.kinds, self.sizes = np.zeros(1024, np.int8), np.zeros(1024, np.int32)
 
     def _id(self, w: str) -> int:
         k = self.ids.get(w)
         if k is None:
             k = self.ids[w] = len(self.ids) + 1
             if k >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table, self.kinds, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.kinds, self.sizes))
             self.table[k] = self.field.emissions(w)
+            self.kinds[k], self.sizes[k] = "wtc".index(kind(w)), len(w)
         return k
 
     def sentences(self, texts: list[str]) -> list[list[tuple[int, int, str, float, str, int]]]:
-        """For each text its sentences: start, end, language, confidence, kind of script and weight (words or letters)."""
+        """For each text its sentences by script: start, end, language, confidence, script and weight (words or letters)."""
         if len(self.ids) > self.HOLD:
             self._reset()
         parsed = [units(t) for t in texts]
-        ids = [np.array([self._id(w) for w in p[0]], np.int64) for p in parsed]
-        order = sorted(range(len(texts)), key=lambda k: len(ids[k]))
-        out: list[list] = [[] for _ in texts]
-        i = 0
+        known, new = self.ids, self._id
+        ids = [np.array([known.get(w) or new(w) for w in p[0]], np.int64) for p in parsed]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        offset = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.concatenate([np.empty(0, np.int64), *ids])
+        per_seg = np.array([n for p in parsed for n in p[1]], np.int64)
+        seg = np.repeat(np.arange(len(per_seg)), per_seg)
+        first = np.zeros(len(flat), np.int8)
+        first[1:] = seg[1:] != seg[:-1]
+        post = np.empty((len(flat), LanguageField.L), np.float32)
+
+        order = np.argsort(lengths, kind="stable")
+        i = int(np.searchsorted(lengths[order], 1))
         while i < len(order):
-            T = len(ids[order[i]])
-            if T == 0:
-                i += 1
-                continue
-            j = i
-            while j < len(order) and len(ids[order[j]]) <= T * 1.3 + 4 and (j - i) * len(ids[order[j]]) < 60_000:
+            j = i + 1
+            while j < len(order) and lengths[order[j]] <= lengths[order[i]] * 1.3 + 4 and (j - i) * lengths[order[j]] < 60_000:
                 j += 1
-            own = order[i : max(j, i + 1)]
-            i = max(j, i + 1)
-            T = len(ids[own[-1]])
-            B = len(own)
-            mat, gap, mask = np.zeros((B, T), np.int64), np.zeros((B, T), np.int8), np.zeros((B, T), bool)
-            for b, k in enumerate(own):
-                n = len(ids[k])
-                mat[b, :n] = ids[k]
-                mask[b, :n] = True
-                s = np.array(parsed[k][2])
-                gap[b, 1:n] = s[1:] != s[:-1]
-            post = self.field.forward_backward(self.table[mat], gap, mask)[0]
-            for b, k in enumerate(own):
-                out[k] = self._by_sentence(parsed[k], post[b, : len(ids[k])])
-        return out
-
-    @staticmethod
-    def _by_sentence(parsed, post: np.ndarray) -> list[tuple[int, int, str, float, str, int]]:
-        words, _, segs, spans = parsed
-        kinds = [kind(w) for w in words]
-        out = []
-        a = 0
-        for s, (start, end) in enumerate(spans):
-            b = a
-            while b < len(words) and segs[b] == s:
-                b += 1
-            for k in dict.fromkeys(kinds[a:b]):
-                own = [x for x in range(a, b) if kinds[x] == k]
-                weight = len(own) if k == "w" else sum(len(words[x]) for x in own)
-                size = np.array([min(len(words[x]), 12) for x in own], np.float32)
-                mean = (post[own] * size[:, None]).sum(0) / size.sum()
-                top = int(np.argmax(mean))
-                out.append((start, end, LANGS[top], float(mean[top]), k, weight))
-            a = b
+            own = order[i:j]
+            i, T = j, int(lengths[own[-1]])
+            mask = np.arange(T)[None] < lengths[own][:, None]
+            at = np.where(mask, offset[own][:, None] + np.arange(T)[None], 0)
+            mat = np.where(mask, flat[at], 0)
+            got = self.field.forward_backward(self.table[mat], np.where(mask, first[at], 0), mask)[0]
+            post[at[mask]] = got[mask]
+
+        # sums by sentence and script
+        kinds, sizes = self.kinds[flat], self.sizes[flat]
+        key, size = seg * 3 + kinds, np.minimum(sizes, 12).astype(np.float64)
+        n = 3 * len(per_seg)
+        total, weight = np.bincount(key, size, n), np.bincount(key, np.where(kinds == 0, 1, sizes), n)
+        mean = np.stack([np.bincount(key, post[:, k] * size, n) for k in range(LanguageField.L)], 1) / np.maximum(total, 1e-9)[:, None]
+        top = mean.argmax(1)
+        conf = mean[np.arange(n), top] if n else np.empty(0)
+        out: list[list] = []
+        s = 0
+        has, top, conf, weight = (total > 0).tolist(), top.tolist(), conf.tolist(), weight.astype(np.int64).tolist()
+        for _, _, spans in parsed:
+            rows = []
+            for start, end in spans:
+                for k in (3 * s, 3 * s + 1, 3 * s + 2):
+                    if has[k]:
+                        rows.append((start, end, LANGS[top[k]], conf[k], "wtc"[k - 3 * s], weight[k]))
+                s += 1
+            out.append(rows)
         return out
 
 
