@@ -70,9 +70,12 @@ def nfkc(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
+_ODD_DIGIT = re.compile(r"[^\D0-9]")
+
+
 def latin_digits(text: str) -> str:
     """All decimal digits written as 0-9."""
-    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() and c > "9" else c for c in text)
+    return _ODD_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group())), text)
 
 
 def clean(text: str) -> str:

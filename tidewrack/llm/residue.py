@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,11 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _clean_name(source: str) -> str:
+    return clean(source).strip()
+
+
 class ExemplarIndex:
     """Token -> exemplars, with weights from document frequencies ``df`` among ``n`` documents."""
 
@@ -128,28 +134,27 @@ class ExemplarIndex:
 
     def contained(self, words: list[str]) -> tuple[float, float]:
         """The weight of a passage, and the share of it that the best exemplar contains."""
-        weight = {w: self.weights.get(w, self.top) for w in set(words)}
-        total = sum(weight.values())
-        if not total:
-            return 0.0, 0.0
-        known = [w for w in weight if w in self.index]
-        if sum(weight[w] for w in known) < self.cover * total:
+        own = set(words)
+        known = [w for w in own if w in self.index]
+        total = sum(self.weights[w] for w in known) + (len(own) - len(known)) * self.top
+        # no word weighs more than an unknown one, so too few known words can't make up the share
+        if len(known) < self.cover * len(own) or not total:
             return total, 0.0
         hits: dict[int, float] = {}
         for w in known:
             for e in self.index[w]:
-                hits[e] = hits.get(e, 0.0) + weight[w]
-        best = max(hits.values(), default=0.0)
-        return total, best / total
+                hits[e] = hits.get(e, 0.0) + self.weights[w]
+        return total, max(hits.values(), default=0.0) / total
 
     def judge(self, text: str | None, source: str | None = None) -> str | None:
         """``'slot'`` or ``'residue'`` for a field to be excluded, else ``None``."""
         if not text or text == PLACEHOLDER or text.isspace():
             return None
-        if slots(text):
-            return "slot"
-        low = clean(text)
-        if source and (name := clean(source).strip()) and name in low:
+        return "slot" if slots(text) else self.judge_clean(clean(text), source)
+
+    def judge_clean(self, low: str, source: str | None = None) -> str | None:
+        """The same for a clean text without slots."""
+        if source and (name := _clean_name(source)) and name in low:
             low = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low)
         total = covered = 0.0
         for passage in _PASSAGE.split(low):
