@@ -84,3 +84,53 @@ def test_summarised(spark):
 
     caps = spark.createDataFrame([("a", "x", "m"), ("b", "", None), ("c", "bad", "m"), ("d", None, None)], "url string, md string, method string")
     assert {r.url: r.status for r in collect.summarised(caps, client).collect()} == {"a": 200, "b": 422, "c": 500, "d": 422}
+
+
+def test_retries():
+    waits, calls = [], []
+
+    def busy(url):
+        calls.append(url)
+        if len(calls) < 3:
+            raise collect.Unavailable
+        return "text"
+
+    assert collect.retrying(busy, sleep=waits.append)("u") == "text" and waits == [2.0, 4.0]
+
+    def gone(url):
+        raise OSError
+
+    for fetch, error in ((gone, OSError), (lambda u: (_ for _ in ()).throw(collect.Unavailable()), collect.Unavailable)):
+        try:
+            collect.retrying(fetch, sleep=waits.append)("u")
+        except error:
+            continue
+        raise AssertionError
+
+
+def test_collected(spark, tmp_path):
+    saved = []
+    requests = spark.createDataFrame([("https://h/a",), ("https://h/none",), ("nope",)], "url string")
+    rows = collect.collected(requests, [("one", lambda u: None if u.endswith("none") else "body")], lambda p: '{"title": "t"}', F.expr("timestamp'2025-07-01 12:00:00'"), lambda df: saved.extend(df.collect()))
+    got = {r.url: (r.path, r.status) for r in rows.collect()}
+    assert got == {"https://h/a": ("20250701_120000_a.md", 200), "https://h/none": (None, 422)}
+    assert [(r.path, r.text) for r in saved] == [("20250701_120000_a.md", "# Source URL: https://h/a\n\nbody")]
+
+
+def test_proxied_images(spark):
+    def fetch(url):
+        if url.endswith("x"):
+            raise OSError
+        return (404, b"") if url.endswith("4") else (200, b"img")
+
+    rows = spark.createDataFrame([("https://h/a",), ("https://h/4",), ("https://h/x",), ("https://other/a",), (None,), ("ftp://h/a",)], "url string")
+    assert [(r.status, r.body) for r in collect.proxied_images(rows, ["h"], fetch).collect()] == [(200, b"img"), (502, None), (502, None), (400, None), (400, None), (400, None)]
+
+
+def test_articles_from(spark):
+    lexicon = spark.createDataFrame([("sports", "goal", ["goal"], 9.0)], "category string, keyword string, tokens array<string>, weight double")
+    cues = spark.createDataFrame([(0, "/tech", "technology")], "cue_ord int, cue string, category string")
+    items = spark.createDataFrame([(1, " goal ", None, "A", "u", None), (2, "x", "y", "A", "h/tech", "i")], "ingest_seq bigint, title string, summary string, source string, url string, image_url string")
+    rows = extract.articles_from(items, lexicon, cues, F.expr("timestamp'2025-07-01 12:00:00'")).orderBy("ingest_seq").collect()
+    assert [(r.title, r.category, r.image_url, r.fetched_at) for r in rows] == [("goal", "sports", "", "2025-07-01 12:00:00"), ("x", "technology", "i", "2025-07-01 12:00:00")]
+    assert rows[0].summary and set(rows[0].asDict()) >= {"summary", "source", "url", "classification_method"}

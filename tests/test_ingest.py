@@ -44,6 +44,7 @@ def test_stream_equals_batches_and_survives_a_rerun(spark, tmp_path):
     run()
     assert sorted(r.url for r in sink.stored("url string").collect()) == ["a", "a", "b", "c"]
     assert [e["count"] for e in said] == [3, 1] and said[-1]["total"] == 4
+    assert sink.greeting("now") == {"total": 4, "updated": "now"}
     sink.batch(batch(spark, (0, "z")), 0)  # a number that was written already
     assert sink.stored("url string").count() == 4
     assert totals(spark.createDataFrame([(0, 3), (1, 1)], "batch_id bigint, n bigint")).agg(F.max("total")).first()[0] == 4

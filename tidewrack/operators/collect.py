@@ -1,7 +1,8 @@
-"""Fetch, gate, save, summarise. Whatever goes over a network is an injected callable, called in batches on the executors."""
+"""Fetch, gate, save, summarise, and the image proxy. Whatever goes over a network is an injected callable, called in batches on the executors."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import for_model, safe_name, without_fences
-from tidewrack.functions.urls import accepted_request
+from tidewrack.functions.urls import accepted_request, proxyable
 from tidewrack.schema import CATEGORIES, SENTIMENTS, SUMMARY
 
 #: Least length of a page's text in the first two tiers (it must be longer); texts that mark a block page in the second (fixed values).
@@ -98,3 +99,63 @@ def summarised(captures: DataFrame, client: Callable[[str], str]) -> DataFrame:
     out = asked.withColumn("summary", parsed_answer(F.col("_raw")))
     status = F.when(F.coalesce("md", F.lit("")) == "", 422).when(F.col("summary").isNull(), 500).otherwise(200)
     return out.select("url", "md", "method", "summary", status.alias("status"))
+
+
+class Unavailable(Exception):
+    """What a fetcher raises for an answer that may be there later (status 503)."""
+
+
+def retrying(fetch: Callable[[str], str | None], retries: int = 3, delay: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
+    """``fetch`` tried again after ``Unavailable``, each time a ``delay`` longer; any other error, and the last, is raised."""
+
+    def tried(url: str) -> str | None:
+        for n in range(retries):
+            try:
+                return fetch(url)
+            except Unavailable:
+                if n + 1 == retries:
+                    raise
+                sleep(delay * (n + 1))
+        return None
+
+    return tried
+
+
+def collected(requests: DataFrame, strategies: list[tuple[str, Callable[[str], str | None]]], client: Callable[[str], str], clock: Column, save: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The whole way of a request: address check, tiers, file, model, validation; ``(url, path, method, summary, status)``.
+
+    Files of ``captures(path, text)`` are handed to ``save`` before the model is asked, so they stand even where it fails. What was fetched is kept in
+    the shared checkpoint folder, so saving and summarising don't fetch twice.
+    """
+    from tidewrack.runtime import cut
+
+    got = cut(fetched(requests, strategies)).withColumn("path", capture_path(F.col("url"), clock))
+    if save is not None:
+        save(got.where(F.coalesce("md", F.lit("")) != "").select("path", capture_text(F.col("url"), F.col("md")).alias("text")))
+    # one path for each address: a request made twice is answered twice from the same row
+    paths = got.groupBy("url").agg(F.first("path").alias("path"))
+    return summarised(got, client).join(paths, "url").select("url", F.when(F.col("status") != 422, F.col("path")).alias("path"), "method", "summary", "status")
+
+
+def proxied_images(requests: DataFrame, hosts: list[str], fetch: Callable[[str], tuple[int, bytes | None]]) -> DataFrame:
+    """``(url, status, body)`` of image requests: 400 for an address the proxy doesn't serve, 502 where the other side fails, else 200 and the bytes.
+
+    ``fetch`` gives a status and a body; it is called only for addresses that are served.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url, served in zip(b["url"], b["_served"]):
+                status, body = 400, None
+                if served:
+                    try:
+                        status, body = fetch(url)
+                    except Exception:  # noqa: BLE001 reported as a status
+                        status, body = 502, None
+                    if status >= 400:
+                        status, body = 502, None
+                rows.append((url, status, body))
+            yield pd.DataFrame(rows, columns=["url", "status", "body"])
+
+    return requests.select("url", proxyable(F.col("url"), hosts).alias("_served")).mapInPandas(run, "url string, status int, body binary")

@@ -104,8 +104,17 @@ def feed_articles(items: DataFrame, page_image: Column | None = None) -> DataFra
     return items.where(strip(F.col("title")) != "").select(*[c for c in items.columns if c in ("source", "pos")], "title", strip(unescaped(strip_tags(F.col("description")))).alias("summary"), F.col("link").alias("url"), image.alias("image_url"))
 
 
-def built(items: DataFrame, clock: Column) -> DataFrame:
-    """Rows in the store's shape but for their category: trimmed, with the placeholder and a stamp from ``clock``."""
+def built(items: DataFrame, clock: Column, *keys: str) -> DataFrame:
+    """Rows in the store's shape but for their category, after ``keys``: trimmed, with the placeholder and a stamp from ``clock``."""
     return items.select(
-        strip(F.col("title")).alias("title"), or_placeholder(F.col("summary")).alias("summary"), "source", "url", F.coalesce("image_url", F.lit("")).alias("image_url"), F.date_format(clock, CLOCK).alias("fetched_at")
+        *keys, strip(F.col("title")).alias("title"), or_placeholder(F.col("summary")).alias("summary"), "source", "url", F.coalesce("image_url", F.lit("")).alias("image_url"), F.date_format(clock, CLOCK).alias("fetched_at")
     )
+
+
+def articles_from(items: DataFrame, lexicon: DataFrame, cues: DataFrame, clock: Column, **options) -> DataFrame:
+    """Items ``(ingest_seq, title, summary, source, url, image_url)`` as complete stored rows, each with its category and method. ``ingest_seq`` must be unique."""
+    from tidewrack.operators.classify import classify
+
+    own = items.select("ingest_seq", "title", "summary", "url")
+    stored = built(items, clock, "ingest_seq")
+    return stored.join(classify(own, lexicon, cues, **options).withColumnRenamed("method", "classification_method"), "ingest_seq")

@@ -360,6 +360,16 @@ def article_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own
 
 
+_ROWS_SQL = _CLASSES_SQL.replace("FROM articles", "FROM incoming")
+
+
+@query(f"WITH {_ROWS_SQL} SELECT i.ingest_seq, c.category, c.method AS classification_method, coalesce(i.image_url, '') AS image_url FROM incoming i JOIN classes c USING (ingest_seq)")
+def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rows as complete stored rows, each classified."""
+    _, lexicon, cues = _classified_tables(spark, sf_dir)
+    return extract.articles_from(table(spark, sf_dir, "incoming"), lexicon, cues, F.expr(CLOCK)).select("ingest_seq", "category", "classification_method", "image_url")
+
+
 # --- collect ---
 
 

@@ -41,6 +41,10 @@ class Ingest:
         if n and self.announce:
             self.announce({"batch": number, "count": n, "total": self.stored("url string").count()})
 
+    def greeting(self, clock: str) -> dict:
+        """What a client is told when it connects: the number of stored rows and the time."""
+        return {"total": self.stored("url string").count(), "updated": clock}
+
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = "15 minutes") -> StreamingQuery:
         """Runs on ``stream``; ``every`` is the fixed rate, ``None`` takes what is there and ends."""
         writer = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
