@@ -283,8 +283,9 @@ class BoundaryModel:
             general_right: dict[str, float] = {}
             for table, n_of, sure_of in ((rshort, seen_right_short, sure_short), (r, seen_right, sure)):
                 for f, n in n_of.items():
-                    k = n + 1.0
                     start = sure_of[1].get(f, 0.0)
+                    # a frequent form that all but never starts a line is no start; one that seldom does may be
+                    k = 4.0 * n + 1.0 if start < 0.03 * rate[f[0] == "d"] * n else 0.5 * n + 1.0
                     m = at_end(start, n, rate[f[0] == "d"], general_right.get(of_right[f], 0.33) if table is r else 0.33)
                     if table is rshort:
                         general_right[f] = m
