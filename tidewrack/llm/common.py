@@ -48,21 +48,9 @@ def per_partition(fn):
     return fn
 
 
-_SCRIPT_RANGES = (
-    ("thai", 0x0E00, 0x0E7F),
-    ("kana", 0x3040, 0x30FF),
-    ("kana", 0x31F0, 0x31FF),
-    ("kana", 0xFF66, 0xFF9F),
-    ("han", 0x3400, 0x4DBF),
-    ("han", 0x4E00, 0x9FFF),
-    ("han", 0xF900, 0xFAFF),
-)
-
 #: Character classes for regular expressions.
 THAI, KANA, HAN = "฀-๿", "぀-ヿㇰ-ㇿｦ-ﾟ", "㐀-䶿一-鿿豈-﫿"
 
-_SPACE = re.compile(r"\s+")
-_NOT_WORD = re.compile(r"[\W_]+")
 _THOUSANDS = re.compile(r"(?<=\d)[.,   '’](?=\d{3}(?!\d))")
 
 

@@ -35,7 +35,6 @@ LIMIT_ROWS, LIMIT_SHARE, SLACK = 8, 0.015, 3
 PILE = 0.05
 
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…+|�+)\s*$")
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*[^\w\s]*$")
 _DIGITS = re.compile(r"\d+(?:[.,  ]\d+)*")
 
 
