@@ -15,7 +15,6 @@ from tidewrack.schema import CATEGORIES, SENTIMENTS, SUMMARY
 
 #: Least length of a page's text in the first two tiers (it must be longer); texts that mark a block page in the second (fixed values).
 LEAST, BLOCKED = 100, ("Just a moment", "Enable JavaScript")
-TIERS = ("Tier 1 (HTTPX)", "Tier 2 (HTTPX + Headers)", "Tier 3 (Playwright)")
 
 
 def passes(tier: Column, status: Column, md: Column) -> Column:
