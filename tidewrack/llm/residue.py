@@ -165,8 +165,6 @@ class ExemplarIndex:
             total += weight
             if share >= self.cover:
                 covered += weight
-            elif total - covered > 40 * self.top:
-                return None  # what is left of any stored exemplar can't outweigh this much other text
         return "residue" if total and covered >= self.cover * total else None
 
 
