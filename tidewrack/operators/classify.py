@@ -29,6 +29,14 @@ def rules_table(spark) -> DataFrame:
     return spark.createDataFrame(RULES, COMPOUND_RULE)
 
 
+def cue_list(cues: DataFrame, bound: int = 1000) -> list[tuple[int, str, str]]:
+    """A site's cues, which become part of the plan; more than ``bound`` are an error."""
+    rows = cues.select("cue_ord", "cue", "category").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"over {bound} address cues")
+    return [tuple(r) for r in rows]
+
+
 def cue_column(url: Column, cues: list[tuple[int, str, str]]) -> tuple[Column, Column]:
     """Category and cue of the first cue that stands in an address, nulls if none does."""
     category, cue = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -53,7 +61,7 @@ def scored(docs: DataFrame, lexicon: DataFrame, rules: DataFrame, doc: str = "in
             by_length.setdefault(r["n"], set()).add(r["start"])
         built, side = [(lambda t, n=n, own=own: grams_from(t, n, sorted(own))) for n, own in sorted(by_length.items())], F.broadcast(lex)
     else:
-        lengths = [r["n"] for r in lex.select("n").distinct().orderBy("n").limit(16).collect()]
+        lengths = [r["n"] for r in lex.select("n").distinct().orderBy("n").collect()]  # a few: the lengths of phrases
         built, side = [(lambda t, n=n: grams(t, n)) for n in lengths], lex
     every = once(F.col(tokens), lambda t: F.flatten(F.array(*[f(t) for f in built]))) if built else F.array().cast("array<string>")
     hits = docs.select(F.col(doc), F.explode(every).alias("gram")).join(side.select("category", "gram", "weight"), "gram").groupBy(doc, "category").agg(F.sum("weight").alias("score"))
@@ -91,7 +99,7 @@ def classify(
     from tidewrack.operators.lookup import from_model_label
 
     rules = rules if rules is not None else rules_table(articles.sparkSession)
-    listed = [(r["cue_ord"], r["cue"], r["category"]) for r in cues.orderBy("cue_ord").limit(1000).collect()]
+    listed = cue_list(cues)
     cue_category, cue = cue_column(F.col("url"), listed)
     text = weighted_text(F.col("title"), F.col("summary"))
     own = articles.select(doc, cue_category.alias("cue_category"), cue.alias("cue"), text.alias("text"), (strip(text) == "").alias("blank"))

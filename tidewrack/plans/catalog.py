@@ -212,7 +212,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CUES_SQL} SELECT a.ingest_seq, u.category, u.cue FROM articles a LEFT JOIN cues c USING (ingest_seq) LEFT JOIN url_cues u ON u.cue_ord = c.cue_ord")
 def url_cue_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, _, cues = _classified_tables(spark, sf_dir)
-    category, cue = classify.cue_column(F.col("url"), [(r["cue_ord"], r["cue"], r["category"]) for r in cues.limit(1000).collect()])
+    category, cue = classify.cue_column(F.col("url"), classify.cue_list(cues))
     return articles.select("ingest_seq", category.alias("category"), cue.alias("cue"))
 
 
@@ -258,7 +258,7 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with longest-match words in scripts without spaces."""
     articles, lexicon, cues = _classified_tables(spark, sf_dir)
-    words = [r["keyword"] for r in lexicon.select("keyword").limit(20_000).collect()]
+    words = [r["keyword"] for r in lexicon.select("keyword").collect()]  # the lexicon's size is fixed
     return classify.classify(articles, lexicon, cues, tokenise=tok.dictionary_words(words))
 
 
