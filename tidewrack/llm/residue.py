@@ -157,7 +157,9 @@ class ExemplarIndex:
         if source and (name := _clean_name(source)) and name in low:
             low = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low)
         total = covered = 0.0
+        left = len(low)
         for passage in _PASSAGE.split(low):
+            left -= len(passage)
             words = tokens(passage)
             if not words:
                 continue
@@ -165,6 +167,9 @@ class ExemplarIndex:
             total += weight
             if share >= self.cover:
                 covered += weight
+            # each further token takes a character and weighs at most ``top``: once even that can't make up the share, the rest needn't be read
+            elif (1 - self.cover) * (covered + left * self.top) < self.cover * (total - covered):
+                return None
         return "residue" if total and covered >= self.cover * total else None
 
 
