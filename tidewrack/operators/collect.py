@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import for_model, safe_name, without_fences
+from tidewrack.functions.tokens import once
 from tidewrack.functions.urls import accepted_request, proxyable
 from tidewrack.schema import CATEGORIES, SENTIMENTS, SUMMARY
 
@@ -67,10 +68,12 @@ def parsed_answer(raw: Column) -> Column:
 
     Missing lists are empty; missing fields are null.
     """
-    text = without_fences(raw)
-    s = F.from_json(text, SUMMARY)
+    own = once(without_fences(raw), lambda t: F.struct(t.alias("text"), F.from_json(t, SUMMARY).alias("s"), F.json_object_keys(t).alias("keys")))
+    return once(own, lambda x: _validated(x["text"], x["s"], x["keys"]))
+
+
+def _validated(text: Column, s: Column, keys: Column) -> Column:
     listed = lambda name: F.get_json_object(text, f"$.{name}")
-    keys = F.json_object_keys(text)
     null_list = lambda name: F.coalesce(F.array_contains(keys, name), F.lit(False)) & listed(name).isNull()
     bad = keys.isNull() | null_list("bullets") | null_list("keywords") | F.coalesce(~s["category"].isin(*CATEGORIES), F.lit(False)) | F.coalesce(~s["sentiment"].isin(*SENTIMENTS), F.lit(False))
     bad = bad | (listed("bullets").isNotNull() & s["bullets"].isNull()) | (listed("keywords").isNotNull() & s["keywords"].isNull())
