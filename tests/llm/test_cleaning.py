@@ -88,3 +88,34 @@ def test_subjects(spark):
     assert sum(got.get(k) == v for k, v in want.items()) / len(want) > 0.95 and not {900, 901, 902} & set(got)
     assert B.subjects(df.limit(0), lexicon, hand).count() == 0
     assert B.subjects(df, lexicon.limit(0), hand.limit(0)).count() == 0
+
+
+def rare_phrases(spark, n):
+    """A table of ``n`` rows, the phrases of few of which are in no lexicon."""
+    frames = ["Residents counted 5 complaints about the {} since May.", "Work on the {} near Porvik stopped for 7 hours.", "Critics ignored 4 warnings about the {} again."]
+    known = ["head coach", "relay team", "boxing bout", "league table"]
+    rows = [(k, "A", f"Plan for the {known[k % 4]}", frames[k % 3].format(known[k // 3 % 4])) for k in range(48)]
+    rows += [(100 + k, "A", None, frames[k % 3].format("table tennis hall") + " " + frames[(k + 1) % 3].format(known[k % 4])) for k in range(3)]
+    rows += [(200 + k, "A", None, frames[k % 3].format("table tennis hall")) for k in range(3)]
+    df = spark.createDataFrame(rows, "ingest_seq bigint, source string, title string, summary string")
+    empty = spark.range(1_000, 1_000 + n).selectExpr("id AS ingest_seq", "'A' AS source", "'Nothing' AS title", "'' AS summary")
+    lexicon = spark.createDataFrame([("sports", p) for p in known], "category string, keyword string")
+    return df.unionByName(empty), lexicon, spark.createDataFrame([], "ingest_seq bigint, subject string")
+
+
+def test_rare_phrases_of_a_large_table(spark):
+    got = {(r.ingest_seq, r.subject) for r in B.subjects(*rare_phrases(spark, 60_000)).collect()}
+    assert got == {(k, "sports") for k in (*range(48), 100, 101, 102, 200, 201, 202)}
+
+
+def test_blocks_of_phrases_equal_one(spark, monkeypatch):
+    df, lexicon, hand = rare_phrases(spark, 5)
+    lexicon = lexicon.unionByName(spark.createDataFrame([("health", "table")], "category string, keyword string"))
+    df = df.unionByName(df.where("ingest_seq < 3"))
+    want = {(r.ingest_seq, r.subject): round(r.share, 9) for r in B.subjects(df, lexicon, hand).collect()}
+    phrases = [{"table": 0, "head coach": 1}, {"table tennis hall": 2, "league table": 3}]
+    whole, split = ([spark.sparkContext.broadcast(b) for b in x] for x in ([phrases[0] | phrases[1]], phrases))
+    edges = [B.document_phrases(df, b, "ingest_seq", "title", "summary", "source").groupBy("doc", "phrase").agg({"title": "sum", "n": "sum"}).collect() for b in (whole, split)]
+    assert edges[0] and sorted(edges[0]) == sorted(edges[1])
+    monkeypatch.setattr(B, "BLOCK", 1)
+    assert {(r.ingest_seq, r.subject): round(r.share, 9) for r in B.subjects(df, lexicon, hand).collect()} == want

@@ -1,7 +1,8 @@
 """Problem 4: the subjects of each document, by propagating labels over a graph of documents that share subject phrases.
 
 Phrases: the lexicon's keywords stand in frames, the characters around them; frames that surround several keywords surround unknown
-phrases of the same sort too, which are read off a bounded sample (``SAMPLE`` rows). All documents are then scanned for all phrases at once.
+phrases of the same sort too. Frames and phrases are counted over all documents, each task's counts first. All documents are then scanned
+for all phrases: at once, or, beyond ``BLOCK`` phrases, block by block, with the hits of a text brought together by a shuffle.
 
 Graph: documents are linked by the phrases they share, written as edges ``(doc, phrase, n)``, so two documents are similar as far as
 the weights of their common phrases go, and no pair is ever listed. Verified links are those through phrases whose documents agree on
@@ -17,19 +18,22 @@ document has no row; repeated rows are judged alike; empty lexicon or labels lea
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm import residue
-from tidewrack.llm.common import HAN, KANA, THAI, chosen, latin_digits, map_rows, nfkc, per_partition
-from tidewrack.runtime import cut, scratch
+from tidewrack.llm.common import HAN, KANA, THAI, latin_digits, map_rows, nfkc, per_partition
+from tidewrack.runtime import cut, scratch, small
 
-SAMPLE = 12_000
-#: Most phrases kept; rounds of propagation; weight of a mention in the title.
-PHRASES, ROUNDS, TITLE = 6_000, 3, 2.0
+#: Most keywords of a lexicon; rounds of propagation; weight of a mention in the title.
+KEYWORDS, ROUNDS, TITLE = 6_000, 3, 2.0
+#: Frames or phrases, about, that a task looks for at once; counts that it holds before it hands them on.
+BLOCK, FLUSH = 50_000, 200_000
 
 # The project's categories.
 SUBJECTS = "politics economy technology health environment society sports entertainment world".split()
@@ -57,22 +61,33 @@ def _joined(x: str, y: str) -> bool:
     return x.isalnum() and y.isalnum() and not _DENSE.match(x) and not _DENSE.match(y)
 
 
-def find(machine: ahocorasick.Automaton, text: str):
-    """Leftmost longest matches that don't overlap, in scripts with spaces at word boundaries only: ``(start, end, value)``."""
-    last = 0
+def matches(machine: ahocorasick.Automaton, text: str) -> list[tuple[int, int, int, int]]:
+    """All matches, in scripts with spaces at word boundaries only: sorted ``(start, -length, end, value)``."""
     hits = []
     if not len(machine):
-        return
+        return hits
     for end, (size, value) in machine.iter(text):
         a, b = end - size + 1, end + 1
         if a and _joined(text[a - 1], text[a]) or b < len(text) and _joined(text[b - 1], text[b]):
             continue
         hits.append((a, -size, b, value))
     hits.sort()
-    for a, _, b, value in hits:
-        if a >= last:
-            yield a, b, value
-            last = b
+    return hits
+
+
+def leftmost(hits: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Of sorted matches the leftmost longest that don't overlap."""
+    last = 0
+    for hit in hits:
+        if hit[0] >= last:
+            yield hit
+            last = hit[2]
+
+
+def find(machine: ahocorasick.Automaton, text: str) -> Iterator[tuple[int, int, int]]:
+    """Leftmost longest matches that don't overlap: ``(start, end, value)``."""
+    for a, _, b, value in leftmost(matches(machine, text)):
+        yield a, b, value
 
 
 def machine_of(phrases: dict[str, int]) -> ahocorasick.Automaton:
@@ -83,66 +98,140 @@ def machine_of(phrases: dict[str, int]) -> ahocorasick.Automaton:
     return m
 
 
-def induce(texts: list[str], keywords: list[str], limit: int = PHRASES) -> list[str]:
-    """Phrases that stand where keywords stand: the keywords first, then by frequency."""
-    known = {fold(k): i for i, k in enumerate(keywords) if k}
-    if not known:
-        return []
-    texts = [fold(t) for t in texts]
-    m = machine_of(known)
-    around: dict[tuple[str, str], set[int]] = defaultdict(set)
-    seen: Counter = Counter()
-    for t in texts:
-        for a, b, k in find(m, t):
-            f = _frame(t, a, b)
-            if f[0].strip() and f[1]:
-                around[f].add(k)
-                seen[f] += 1
-    # a frame's inner words are fixed, those farther off may be names, so frames are cut back to what recurs
-    short: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for (left, right), ks in around.items():
-        if _DENSE.search(left + right):
-            short[left[-3:], right[:3]] |= ks
-        else:
-            short[" ".join(left.split()[-1:]) + " ", re.match(r"[^\w\s]*\s*\S*", right).group()] |= ks
-    frames = [f for f, ks in short.items() if len(ks) >= 4 and len(f[0].strip()) > 1 and f[1]]
-    frames += [f for f, ks in around.items() if len(ks) >= 3]
-    by_left: dict[str, set[str]] = defaultdict(set)
-    for left, right in frames:
-        by_left[left].add(right)
-    lefts = ahocorasick.Automaton()
-    for left in by_left:
-        lefts.add_word(left, left)
-    if not by_left:
-        return list(known)
-    lefts.make_automaton()
-    fillers: Counter = Counter()
-    frames_of: dict[str, set[tuple[str, str]]] = defaultdict(set)
-    for t in texts:
-        for end, left in lefts.iter(t):
-            a = end + 1
-            window = t[a : a + 48].split("\n")[0]
-            for right in by_left[left]:
-                c = window.find(right)
-                if c >= 2:
-                    filler = window[:c].strip()
-                    if _good(filler):
-                        fillers[filler] += 1
-                        frames_of[filler].add((left, right))
-    new = [p for p, n in fillers.most_common() if n >= 4 and len(frames_of[p]) >= 2 and p not in known]
-    return [*known, *new[: max(0, limit - len(known))]]
+def _cut_back(left: str, right: str) -> tuple[str, str]:
+    """A frame's inner words are fixed, those farther off may be names, so frames are also counted cut back to what recurs."""
+    if _DENSE.search(left + right):
+        return left[-3:], right[:3]
+    return " ".join(left.split()[-1:]) + " ", re.match(r"[^\w\s]*\s*\S*", right).group()
+
+
+def _joint(titles, texts) -> Iterator[str]:
+    for t, s in zip(titles, texts):
+        yield fold((t or "") + "\n" + (s or ""))
+
+
+def _keyword_frames(shared):
+    """``(whole, lft, rgt, k)``: keyword ``k`` stands in the frame, which is whole or cut back."""
+
+    @per_partition
+    def make():
+        machine = machine_of(shared.value)
+        held: set[tuple[bool, str, str, int]] = set()
+
+        def drain() -> dict[str, list]:
+            out: dict[str, list] = {x: [h[j] for h in held] for j, x in enumerate(("whole", "lft", "rgt", "k"))}
+            held.clear()
+            return out
+
+        def batch(titles, texts):
+            for t in _joint(titles, texts):
+                for a, b, k in find(machine, t):
+                    left, right = _frame(t, a, b)
+                    if left.strip() and right and (True, left, right, k) not in held:
+                        held.add((True, left, right, k))
+                        left, right = _cut_back(left, right)
+                        if len(left.strip()) > 1 and right:
+                            held.add((False, left, right, k))
+            return drain() if len(held) > FLUSH else {"whole": [], "lft": [], "rgt": [], "k": []}
+
+        batch.close = drain
+        return batch
+
+    return make
+
+
+class _Frames:
+    """Finds what stands in frames: left sides by one automaton, the right sides of a left side by another where they are many."""
+
+    FEW = 6
+
+    def __init__(self, frames: list[tuple[str, str]], first: int) -> None:
+        by_left: dict[str, dict[str, int]] = {}
+        for k, (left, right) in enumerate(frames):
+            by_left.setdefault(left, {})[right] = first + k
+        self.lefts = ahocorasick.Automaton()
+        for left, rights in by_left.items():
+            self.lefts.add_word(left, (list(rights.items()), machine_of(rights) if len(rights) > self.FEW else None))
+        self.lefts.make_automaton()
+
+    def fillers(self, t: str) -> Iterator[tuple[str, int]]:
+        """``(filler, frame)`` for each left side and the first place of each of its right sides after it."""
+        if not len(self.lefts):
+            return
+        for end, (rights, machine) in self.lefts.iter(t):
+            window = t[end + 1 : end + 49].split("\n")[0]
+            bad = _BAD.search(window)
+            stop = bad.start() if bad else len(window)
+            if stop < 2:
+                continue
+            if machine is None:
+                at = {k: window.find(right) for right, k in rights}
+            else:
+                at = {}
+                for e, (size, k) in machine.iter(window):
+                    at.setdefault(k, e - size + 1)
+            for k, c in at.items():
+                if 2 <= c <= stop and _good(filler := window[:c].strip()):
+                    yield filler, k
+
+
+def _fillers(shared, known, first: int):
+    @per_partition
+    def make():
+        frames, skip = _Frames(shared.value, first), known.value
+        held: Counter = Counter()
+
+        def drain() -> dict[str, list]:
+            out = {"phrase": [p for p, _ in held], "frame": [f for _, f in held], "n": list(held.values())}
+            held.clear()
+            return out
+
+        def batch(titles, texts):
+            for t in _joint(titles, texts):
+                held.update(x for x in frames.fillers(t) if x[0] not in skip)
+            return drain() if len(held) > FLUSH else {"phrase": [], "frame": [], "n": []}
+
+        batch.close = drain
+        return batch
+
+    return make
+
+
+def _blocks(df: DataFrame) -> Iterator[list[tuple]]:
+    """The rows of a checkpointed table in blocks of about ``BLOCK``, one on the driver at a time."""
+    parts = -(-df.count() // BLOCK)
+    for k in range(parts):
+        yield sorted(tuple(r) for r in df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == k).collect())
+
+
+def induced(df: DataFrame, known: dict[str, int], title: str, text: str) -> DataFrame:
+    """``(phrase)``: what stands where keywords stand, at least 4 times and in 2 frames, counted over all rows; the keywords themselves are left out."""
+    sc = df.sparkSession.sparkContext
+    words, rows = sc.broadcast(known), df.select(title, text)
+    seen = map_rows(rows, _keyword_frames(words), "whole boolean, lft string, rgt string, k int").distinct()
+    counts = seen.groupBy("whole", "lft", "rgt").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("whole"), 3).otherwise(4))
+    found, first = [], 0
+    for block in _blocks(cut(counts.select("lft", "rgt").distinct())):
+        found.append(map_rows(rows, _fillers(sc.broadcast(block), words, first), "phrase string, frame bigint, n bigint"))
+        first += len(block)
+    if not found:
+        return df.sparkSession.createDataFrame([], "phrase string")
+    by_frame = reduce(DataFrame.unionByName, found).groupBy("phrase", "frame").agg(F.sum("n").alias("n"))
+    return cut(by_frame.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("frames")).where("n >= 4 and frames >= 2").select("phrase"))
+
+
+_BAD = re.compile(r"[0.!?,;:。！？、，\"“”«»「」()（）\[\]{}]")
 
 
 def _good(p: str) -> bool:
-    if "0" in p or re.search(r"[.!?,;:。！？、，\"“”«»「」()（）\[\]{}]", p):
-        return False
+    """Whether a stretch without any of ``_BAD`` may be a phrase."""
     return 2 <= len(p) <= 24 if _DENSE.search(p) else len(p) >= 4 and len(p.split()) <= 5
 
 
 def _edges(shared):
     @per_partition
     def make():
-        machine = machine_of({p: k for k, p in enumerate(shared.value)})
+        machine = machine_of(shared.value)
         judge = residue.ExemplarIndex()
 
         def batch(ids, titles, summaries, sources):
@@ -165,15 +254,58 @@ def _edges(shared):
     return make
 
 
+def _block_hits(shared):
+    """All matches of a block's phrases, those that overlap too; ``name`` tells rows of one id apart."""
+
+    @per_partition
+    def make():
+        machine = machine_of(shared.value)
+        judge = residue.ExemplarIndex()
+
+        def batch(ids, names, titles, summaries, sources):
+            out: dict[str, list] = {x: [] for x in ("doc", "name", "at", "a", "size", "phrase")}
+            for i, name, t, s, src in zip(ids, names, titles, summaries, sources):
+                for text, at in ((t, 0), (s, 1)):
+                    if text and judge.judge(text, src) != "residue":
+                        for a, size, _, k in matches(machine, fold(text)):
+                            for x, v in zip(out, (i, name, at, a, size, k)):
+                                out[x].append(v)
+            return out
+
+        return batch
+
+    return make
+
+
+def _settle(docs, ats, hits):
+    """The leftmost longest of a text's matches; rows stored several times have each match as often, and count as often."""
+    out: dict[str, list] = {"doc": [], "phrase": [], "title": [], "n": []}
+    for i, at, own in zip(docs, ats, hits):
+        times = Counter((h["a"], h["size"], h["a"] - h["size"], h["phrase"]) for h in own)
+        for hit in leftmost(sorted(times)):
+            out["doc"].append(i)
+            out["phrase"].append(hit[3])
+            out["title"].append(0 if at else times[hit])
+            out["n"].append(times[hit] if at else 0)
+    return out
+
+
 def _marks(prefix: str) -> list[str]:
     return [f"{prefix}{k}" for k in range(len(SUBJECTS))]
 
 
-def document_phrases(df: DataFrame, phrases: list[str], row_id: str, title: str, text: str, source: str) -> DataFrame:
-    """The graph's edges ``(doc, phrase, title, n)``: how often a document's title and text hold a phrase."""
-    shared = df.sparkSession.sparkContext.broadcast(phrases)
+def document_phrases(df: DataFrame, blocks: list, row_id: str, title: str, text: str, source: str) -> DataFrame:
+    """The graph's edges ``(doc, phrase, title, n)``: how often a document's title and text hold a phrase.
+
+    ``blocks`` are broadcasts of phrases with their numbers. The documents are scanned once for each block.
+    """
     rows = df.select(F.col(row_id).cast("bigint").alias("doc"), title, text, source)
-    return map_rows(rows, _edges(shared), "doc bigint, phrase int, title int, n int")
+    if len(blocks) == 1:
+        return map_rows(rows, _edges(blocks[0]), "doc bigint, phrase int, title int, n int")
+    named = rows.select("doc", F.xxhash64(title, text, source).alias("name"), title, text, source)
+    hits = reduce(DataFrame.unionByName, [map_rows(named, _block_hits(b), "doc bigint, name bigint, at int, a int, size int, phrase int") for b in blocks])
+    texts = hits.groupBy("doc", "name", "at").agg(F.collect_list(F.struct("a", "size", "phrase")).alias("hits"))
+    return map_rows(texts.select("doc", "at", "hits"), _settle, "doc bigint, phrase int, title int, n int")
 
 
 def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int = ROUNDS, least: float = 0.45, bear: float = 0.2) -> DataFrame:
@@ -181,7 +313,7 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
 
     ``fixed(phrase, subject)`` and ``hand(doc, subject)`` are the seeds, subjects by number. Labels go from phrases to documents, which are
     normalised, and back; a phrase whose documents agree less than ``least`` carries none. A hand label is trusted, and clamped, where the
-    document's phrases give its subject at least ``bear``, or nothing at all. Phrases are at most ``PHRASES``, so their labels are broadcast.
+    document's phrases give its subject at least ``bear``, or nothing at all.
     """
     w, p, h = _marks("w"), _marks("p"), _marks("h")
     clamp = fixed.groupBy("phrase").agg(*[F.max((F.col("subject") == k).cast("double")).alias(f"c{k}") for k in range(len(SUBJECTS))])
@@ -189,7 +321,7 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
     flags = hand.groupBy("doc").agg(*[F.max((F.col("subject") == k).cast("double")).alias(x) for k, x in enumerate(h)])
     for _ in range(rounds):
         mention = F.col("title") * TITLE + F.col("n")
-        docs = edges.join(F.broadcast(labels), "phrase").groupBy("doc").agg(*[F.sum(mention * F.col(x)).alias(p[k]) for k, x in enumerate(w)])
+        docs = edges.join(small(labels), "phrase").groupBy("doc").agg(*[F.sum(mention * F.col(x)).alias(p[k]) for k, x in enumerate(w)])
         total = sum((F.col(x) for x in p[1:]), F.col(p[0]))
         docs = docs.select("doc", *[F.when(total > 0, F.col(x) / total).otherwise(0.0).alias(x) for x in p])
         docs = docs.join(flags, "doc", "full")
@@ -201,7 +333,7 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
         shares = sums.withColumn("_n", n).where("_n > 0").select("phrase", *[(F.col(x) / F.col("_n")).alias(x) for x in p])
         cubes = sum((F.pow(F.col(x), 3) for x in p[1:]), F.pow(F.col(p[0]), 3))
         free = shares.where(F.greatest(*p) > least).select("phrase", *[(F.pow(F.col(p[k]), 3) / cubes).alias(w[k]) for k in range(len(SUBJECTS))]).join(clamp.select("phrase"), "phrase", "left_anti")
-        labels = cut(clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))]).unionByName(free).coalesce(1))
+        labels = cut(clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))]).unionByName(free))
     return labels
 
 
@@ -211,7 +343,7 @@ def decide(edges: DataFrame, labels: DataFrame, alone: float = 0.28, beside: flo
     A subject of the title counts. One of the text alone must have ``alone`` of its mentions, or ``beside`` where the title names others.
     """
     w = _marks("w")
-    both = edges.join(F.broadcast(labels), "phrase")
+    both = edges.join(small(labels), "phrase")
     sums = both.groupBy("doc").agg(*[F.sum(F.col("title") * F.col(x)).alias(f"t{k}") for k, x in enumerate(w)], *[F.sum(F.col("n") * F.col(x)).alias(f"n{k}") for k, x in enumerate(w)])
     titled = sum((F.col(f"t{k}") for k in range(1, len(SUBJECTS))), F.col("t0"))
     texted = sum((F.col(f"n{k}") for k in range(1, len(SUBJECTS))), F.col("n0"))
@@ -222,23 +354,30 @@ def decide(edges: DataFrame, labels: DataFrame, alone: float = 0.28, beside: flo
     return own.where(keep & (F.col("t") + F.col("n") > 0.5)).select("doc", "subject", ((F.col("t") * TITLE + F.col("n")) / (F.col("_t") * TITLE + F.col("_n"))).alias("share"))
 
 
-def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "ingest_seq", title: str = "title", text: str = "summary", source: str = "source", sample: int = SAMPLE) -> DataFrame:
+def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "ingest_seq", title: str = "title", text: str = "summary", source: str = "source") -> DataFrame:
     """``(<row_id>, subject, share)`` of every document with a usable title or text.
 
-    ``lexicon(category, keyword)`` may have ``PHRASES`` rows, more are an error; ``hand(<row_id>, subject)`` may have wrong labels and several rows a document.
+    ``lexicon(category, keyword)`` may have ``KEYWORDS`` rows, more are an error; ``hand(<row_id>, subject)`` may have wrong labels and several rows a document.
     """
     spark = df.sparkSession
     number = {s: k for k, s in enumerate(SUBJECTS)}
-    words = [(r["keyword"], number[r["category"]]) for r in lexicon.where(F.col("category").isin(SUBJECTS) & (F.length("keyword") > 1)).select("category", "keyword").distinct().orderBy("keyword", "category").limit(PHRASES + 1).collect()]
-    if len(words) > PHRASES:
-        raise ValueError(f"the lexicon has over {PHRASES} keywords; raise PHRASES if the driver and the workers can hold them")
-    texts = [(r[0] or "") + "\n" + (r[1] or "") for r in chosen(df, row_id, sample).select(title, text).collect()]
-    phrases = induce(texts, [k for k, _ in words])
-    at = {p: k for k, p in enumerate(phrases)}
-    fixed = spark.createDataFrame([(at[fold(k)], s) for k, s in words if fold(k) in at], "phrase int, subject int")
+    words = [(r["keyword"], number[r["category"]]) for r in lexicon.where(F.col("category").isin(SUBJECTS) & (F.length("keyword") > 1)).select("category", "keyword").distinct().orderBy("keyword", "category").limit(KEYWORDS + 1).collect()]
+    if len(words) > KEYWORDS:
+        raise ValueError(f"the lexicon has over {KEYWORDS} keywords; raise KEYWORDS if the driver and the workers can hold them")
+    at: dict[str, int] = {}
+    for k, _ in words:
+        at.setdefault(fold(k), len(at))
+    blocks, n = [at], len(at)
+    for block in _blocks(induced(df, at, title, text)) if at else ():
+        own = {p: n + k for k, (p,) in enumerate(block)}
+        n += len(own)
+        blocks.append(own)
+    # the keywords go with the first block
+    blocks = [{**blocks[0], **blocks[1]}, *blocks[2:]] if len(blocks) > 1 else blocks
+    fixed = spark.createDataFrame([(at[fold(k)], s) for k, s in words], "phrase int, subject int")
     marks = hand.select(F.col(row_id).cast("bigint").alias("doc"), *[F.col("subject")]).join(F.broadcast(spark.createDataFrame(list(number.items()), "subject string, k int")), "subject").select("doc", F.col("k").alias("subject"))
     path = scratch(spark, "subject-edges")
-    document_phrases(df, phrases, row_id, title, text, source).write.parquet(path)
+    document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source).write.parquet(path)
     edges = spark.read.parquet(path)
     labels = propagate(edges, fixed, marks)
     return decide(edges, labels).select(F.col("doc").alias(row_id), "subject", "share")
