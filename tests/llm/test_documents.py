@@ -145,3 +145,20 @@ def test_hot_windows_against_brute_force(spark, words, monkeypatch):
     got |= {(r.doc_a, r.doc_b) for r in second.collect()}
     assert {(r.doc_a, r.doc_b) for r in shared_spans.verified(spark.createDataFrame(sorted(got), "doc_a bigint, doc_b bigint"), df).collect()} == want
     assert len(got) < 120
+
+
+def test_share_of_repeated_and_nested_passages(spark, words):
+    """Every place of a shared passage counts on both sides, whichever document has the smaller id."""
+    rnd = random.Random(15)
+    p, q, long = (prose(words, rnd, 90)[:n] for n in (260, 230, 520))
+    once, twice = "1" + p + "2", "3" + p + "4" + prose(words, rnd, 40) + "5" + p + "6"
+    whole, pieces = "7" + long + "8", long[:300] + "#" + long[100:420] + "#" + long[250:] + "#" + long[200:450]
+    texts = [once, twice, once + "0", q + "9" + q, "a" + q, whole, pieces, "ab" * 150, "z" + "ab" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc: (r.n_others, r.shared_chars) for r in shared_spans.shared_share(df, shared_spans.shared_pairs(df)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        others = [u for j, u in enumerate(texts) if j != i and any(t[k : k + 200] in u for k in range(len(t) - 199))]
+        cover = {c for k in range(len(t) - 199) if any(t[k : k + 200] in u for u in others) for c in range(k, k + 200)}
+        want[i] = (len(others), len(cover))
+    assert got == want

@@ -122,38 +122,13 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span
     return map_rows(df.select(F.col(doc_id).cast("bigint"), text).where(F.length(text) >= span), _prints(span, window), "fp bigint, doc bigint")
 
 
-def common_runs(a: str, b: str, span: int) -> list[tuple[int, int, int]]:
-    """``(start in a, start in b, length)`` of the longest common runs of at least ``span`` characters, found by exact window match and extension."""
-    if len(a) < span or len(b) < span:
+def covered(own: np.ndarray, other: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """Merged intervals of a text that stand in the other one too, from the hashes of all windows of ``span`` characters of both."""
+    at = np.flatnonzero(np.isin(own, other))
+    if not len(at):
         return []
-    if a == b:
-        return [(0, 0, len(a))]
-    step = span // 2
-    out, done = [], -1
-    anchors: dict[str, list[int]] = {}
-    for j in range(0, len(b) - step + 1, step):
-        anchors.setdefault(b[j : j + step], []).append(j)
-    i = 0
-    grams = a
-    while i <= len(grams) - step:
-        hit = anchors.get(grams[i : i + step])
-        best = None
-        for j in hit or ():
-            x, y = i, j
-            while x > 0 and y > 0 and a[x - 1] == b[y - 1]:
-                x, y = x - 1, y - 1
-            e, f = i + step, j + step
-            while e < len(a) and f < len(b) and a[e] == b[f]:
-                e, f = e + 1, f + 1
-            if e - x >= span and (best is None or e - x > best[2]):
-                best = (x, y, e - x)
-        if best and best[0] + best[2] > done:
-            out.append(best)
-            done = best[0] + best[2]
-            i = max(i + 1, done - step)
-        else:
-            i += 1
-    return out
+    gaps = np.flatnonzero(np.diff(at) > span)
+    return list(zip(at[np.concatenate([[0], gaps + 1])].tolist(), (at[np.concatenate([gaps, [len(at) - 1]])] + span).tolist()))
 
 
 def shares(a: str, b: str, span: int) -> bool:
@@ -308,14 +283,26 @@ def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     return wide.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).where("doc_a < doc_b").distinct()
 
 
+#: Window hashes that a task keeps for further pairs of the same documents.
+KEPT = 4_000_000
+
+
 def _cover(span: int):
     def batch(a, b, ta, tb):
         out: dict[str, list] = {"doc": [], "start": [], "stop": []}
+        known: dict[str, np.ndarray] = {}
+        size = 0
         for i, j, x, y in zip(a, b, ta, tb):
-            for s, t, n in common_runs(x, y, span):
-                out["doc"] += [i, j]
-                out["start"] += [s, t]
-                out["stop"] += [s + n, t + n]
+            for t in {x, y} - known.keys():
+                if size > KEPT:
+                    known, size = {u: known[u] for u in (x, y) if u in known}, 0
+                known[t] = window_hashes(t, span)
+                size += len(t)
+            for doc, own, other in ((i, x, y), (j, y, x)):
+                for start, stop in covered(known[own], known[other], span):
+                    out["doc"].append(doc)
+                    out["start"].append(start)
+                    out["stop"].append(stop)
         return out
 
     return batch
@@ -324,7 +311,8 @@ def _cover(span: int):
 def shared_share(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """``(doc, n_others, shared_chars, share)`` for each document of ``pairs``: how much of it stands in other documents too.
 
-    The covered intervals are merged by a running maximum over their starts, so overlapping spans count once.
+    A character is covered if any window of ``span`` characters around it is one of the other document's, wherever and however often it stands
+    in either; windows are told apart by 64-bit hashes. The covered intervals are merged by a running maximum over their starts, so overlapping spans count once.
     """
     from pyspark.sql import Window as W
 
