@@ -58,3 +58,18 @@ def test_passages_and_empty(spark, field):
 def test_long_text(field):
     out = G.Tagger(field).sentences([(SENT["en"] + ". ") * 2000, "", SENT["ja"]])
     assert len(out[0]) == 2000 and out[1] == [] and G.languages_of(out[2]).keys() == {"ja"}
+
+
+def test_no_text_or_segment_without_passage(spark, field):
+    notes = "Plan ready\nThe year\nEnd said"
+    rows = [(1, "请启用JavaScript后继续浏览。"), (2, notes), (3, "Yes.\n" + SENT["en"] + ". " + SENT["fr"] + ".\nOui, oui."), (4, SENT["de"] + ". Nein. " + SENT["th"] + " Smart City"), (5, ""), (6, None), (7, "12 34"), (8, "Plan")]
+    got = {}
+    for r in G.passages(spark.createDataFrame(rows, "id bigint, t string"), field, "id", "t").collect():
+        got.setdefault(r.id, []).append((r.start_pos, r.end_pos, r.lang))
+        assert 0 < r.confidence <= 1
+    assert got.keys() == {1, 2, 3, 4, 8}
+    assert len(got[1]) == 1 and got[1][0][:2] == (0, len(rows[0][1]))
+    assert len(got[2]) == 1 and got[2][0][:2] == (0, len(notes))
+    first, last = sorted(got[3])
+    assert first[0] == 0 and first[2] == "en" and last[1] == len(rows[2][1]) and last[2] == "fr"
+    assert [x[2] for x in sorted(got[4])] == ["de", "th"]

@@ -364,6 +364,36 @@ def sample(df: DataFrame, row_id: str, text: str, label: str, rows: int = SAMPLE
     return [(t, lang) for t, x in got if (lang := named_language(x))]
 
 
+def passages_of(sents: list[tuple[int, int, str, float, str, int]]) -> list[tuple[int, int, str, float]]:
+    """``(start, end, lang, confidence)``: sentences of one language in a row are a passage.
+
+    Segments that are too short to be told go with the rest of their sentence, else with the passage before, or the first one after; where all are
+    too short, the text is one passage in its weightiest language.
+    """
+    sure = {start for start, _, _, _, k, weight in sents if weight >= LEAST[k]}
+    if sents and not sure:
+        [(lang, conf)] = languages_of(sents).items()
+        return [(sents[0][0], max(end for _, end, *_ in sents), lang, conf)]
+    merged: list[list] = []
+    begin = None
+    for start, end, lang, conf, k, weight in sents:
+        if weight < LEAST[k]:
+            if start not in sure:
+                if merged:
+                    merged[-1][1] = max(merged[-1][1], end)
+                elif begin is None:
+                    begin = start
+        elif merged and merged[-1][2] == lang:
+            n = merged[-1][4]
+            merged[-1][1] = end
+            merged[-1][3] = (merged[-1][3] * n + conf) / (n + 1)
+            merged[-1][4] = n + 1
+        else:
+            merged.append([start if begin is None else begin, end, lang, conf, 1])
+            begin = None
+    return [tuple(x[:4]) for x in merged]
+
+
 def _passages(shared):
     @per_partition
     def make():
@@ -372,19 +402,8 @@ def _passages(shared):
         def batch(ids, texts):
             out: dict[str, list] = {k: [] for k in ("rec", "start_pos", "end_pos", "lang", "confidence")}
             for i, sents in zip(ids, tagger.sentences([t or "" for t in texts])):
-                merged: list[list] = []
-                for start, end, lang, conf, k, weight in sents:
-                    if weight < LEAST[k] and len(sents) > 1:
-                        continue
-                    if merged and merged[-1][2] == lang:
-                        n = merged[-1][4]
-                        merged[-1][1] = end
-                        merged[-1][3] = (merged[-1][3] * n + conf) / (n + 1)
-                        merged[-1][4] = n + 1
-                    else:
-                        merged.append([start, end, lang, conf, 1])
-                for start, end, lang, conf, _ in merged:
-                    for key, v in zip(out, (i, start, end, lang, conf)):
+                for passage in passages_of(sents):
+                    for key, v in zip(out, (i, *passage)):
                         out[key].append(v)
             return out
 
