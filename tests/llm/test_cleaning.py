@@ -119,3 +119,13 @@ def test_blocks_of_phrases_equal_one(spark, monkeypatch):
     assert edges[0] and sorted(edges[0]) == sorted(edges[1])
     monkeypatch.setattr(B, "BLOCK", 1)
     assert {(r.ingest_seq, r.subject): round(r.share, 9) for r in B.subjects(df, lexicon, hand).collect()} == want
+
+
+def test_trusted_hand_labels_stand_in_the_result(spark):
+    df, lexicon, _ = rare_phrases(spark, 3)
+    more = [(300, "A", "An evening with the archive", "Nothing known here."), (301, "A", "{{title}}", "Page not found"), (302, "A", None, " "), (303, "A", "No label either", "")]
+    df = df.unionByName(spark.createDataFrame(more, df.schema))
+    hand = spark.createDataFrame([(300, "world"), (300, "society"), (301, "world"), (302, "world"), (0, "health"), (999_999, "world")], "ingest_seq bigint, subject string")
+    got = {(r.ingest_seq, r.subject): r.share for r in B.subjects(df, lexicon, hand).collect()}
+    assert {k: v for k, v in got.items() if k[0] >= 300} == {(300, "world"): 0.5, (300, "society"): 0.5}
+    assert (0, "sports") in got and (0, "health") not in got

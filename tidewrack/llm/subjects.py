@@ -7,11 +7,11 @@ for all phrases: at once, or, beyond ``BLOCK`` phrases, block by block, with the
 Graph: documents are linked by the phrases they share, written as edges ``(doc, phrase, n)``, so two documents are similar as far as
 the weights of their common phrases go, and no pair is ever listed. Verified links are those through phrases whose documents agree on
 a subject; names and places, whose documents don't, carry nothing. Labels spread from documents to phrases and back by joins, a few rounds.
-Lexicon phrases and hand labels that the text bears out are clamped.
+Lexicon phrases and hand labels that the text bears out, or says nothing about, are clamped and stand in the result.
 
 A document keeps every subject with a share of its mentions that is no passing mention; mentions in the title weigh more.
 
-Defined results: documents whose title and summary are null, empty, blank or residue (problem 5) have no subject; without any known phrase a
+Defined results: documents whose title and summary are null, empty, blank or residue (problem 5) have no subject; without any known phrase or hand label a
 document has no row; repeated rows are judged alike; empty lexicon or labels leave what the other gives; further columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm import residue
-from tidewrack.llm.common import HAN, KANA, THAI, latin_digits, map_rows, nfkc, per_partition
+from tidewrack.llm.common import HAN, KANA, PLACEHOLDER, THAI, map_rows, nfkc, per_partition
 from tidewrack.runtime import cut, scratch, small
 
 #: Most keywords of a lexicon; rounds of propagation; weight of a mention in the title.
@@ -44,7 +44,7 @@ _DIGITS = re.compile(r"\d+(?:[.,  ]\d+)*")
 
 def fold(text: str) -> str:
     """Lower case, compatibility forms unified, figures as one character."""
-    return _DIGITS.sub("0", latin_digits(nfkc(text)).lower())
+    return _DIGITS.sub("0", nfkc(text).lower())
 
 
 def _frame(text: str, a: int, b: int) -> tuple[str, str]:
@@ -159,11 +159,11 @@ class _Frames:
         if not len(self.lefts):
             return
         for end, (rights, machine) in self.lefts.iter(t):
-            window = t[end + 1 : end + 49].split("\n")[0]
-            bad = _BAD.search(window)
-            stop = bad.start() if bad else len(window)
+            bad = _BAD.search(t, end + 1, end + 49)
+            stop = (bad.start() if bad else min(len(t), end + 49)) - end - 1
             if stop < 2:
                 continue
+            window = t[end + 1 : end + 49]
             if machine is None:
                 at = {k: window.find(right) for right, k in rights}
             else:
@@ -220,7 +220,7 @@ def induced(df: DataFrame, known: dict[str, int], title: str, text: str) -> Data
     return cut(by_frame.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("frames")).where("n >= 4 and frames >= 2").select("phrase"))
 
 
-_BAD = re.compile(r"[0.!?,;:。！？、，\"“”«»「」()（）\[\]{}]")
+_BAD = re.compile(r"[\n0.!?,;:。！？、，\"“”«»「」()（）\[\]{}]")
 
 
 def _good(p: str) -> bool:
@@ -239,8 +239,9 @@ def _edges(shared):
             for i, t, s, src in zip(ids, titles, summaries, sources):
                 got: dict[int, list[int]] = {}
                 for text, at in ((t, 0), (s, 1)):
-                    if text and judge.judge(text, src) != "residue":
-                        for _, _, k in find(machine, fold(text)):
+                    hits = list(find(machine, fold(text))) if text else ()
+                    if hits and judge.judge(text, src) != "residue":
+                        for _, _, k in hits:
                             got.setdefault(k, [0, 0])[at] += 1
                 for k, (a, b) in got.items():
                     out["doc"].append(i)
@@ -266,8 +267,9 @@ def _block_hits(shared):
             out: dict[str, list] = {x: [] for x in ("doc", "name", "at", "a", "size", "phrase")}
             for i, name, t, s, src in zip(ids, names, titles, summaries, sources):
                 for text, at in ((t, 0), (s, 1)):
-                    if text and judge.judge(text, src) != "residue":
-                        for a, size, _, k in matches(machine, fold(text)):
+                    hits = matches(machine, fold(text)) if text else ()
+                    if hits and judge.judge(text, src) != "residue":
+                        for a, size, _, k in hits:
                             for x, v in zip(out, (i, name, at, a, size, k)):
                                 out[x].append(v)
             return out
@@ -354,6 +356,44 @@ def decide(edges: DataFrame, labels: DataFrame, alone: float = 0.28, beside: flo
     return own.where(keep & (F.col("t") + F.col("n") > 0.5)).select("doc", "subject", ((F.col("t") * TITLE + F.col("n")) / (F.col("_t") * TITLE + F.col("_n"))).alias("share"))
 
 
+@per_partition
+def _usable():
+    """Documents with a title or a text that is not residue, nor a slot and nothing else."""
+    judge = residue.ExemplarIndex()
+
+    def usable(text: str | None, source: str | None) -> bool:
+        if not text or text == PLACEHOLDER:
+            return False
+        rest = residue.SLOT.sub(" ", text)
+        return any(map(str.isalnum, rest)) and judge.judge(rest, source) != "residue"
+
+    def batch(ids, titles, summaries, sources):
+        return {"doc": [i for i, t, s, src in zip(ids, titles, summaries, sources) if usable(t, src) or usable(s, src)]}
+
+    return batch
+
+
+def seeds(rows: DataFrame, edges: DataFrame, labels: DataFrame, hand: DataFrame, bear: float = 0.2) -> DataFrame:
+    """``(doc, subject, share)`` of the hand labels that are trusted, as in :func:`propagate`, in documents with a usable title or text.
+
+    ``rows`` are ``(doc, title, text, source)``.
+    """
+    w, p = _marks("w"), _marks("p")
+    hand = cut(hand.distinct())
+    docs = small(cut(hand.select("doc").distinct()))
+    good = map_rows(rows.join(docs, "doc", "left_semi"), _usable, "doc bigint").distinct()
+    mention = F.col("title") * TITLE + F.col("n")
+    sums = edges.join(docs, "doc", "left_semi").join(small(labels), "phrase").groupBy("doc").agg(*[F.sum(mention * F.col(x)).alias(p[k]) for k, x in enumerate(w)])
+    total = sum((F.col(x) for x in p[1:]), F.col(p[0]))
+    shares = sums.select("doc", F.array(*[F.when(total > 0, F.col(x) / total).otherwise(0.0) for x in p]).alias("p"))
+    named = hand.join(good, "doc").join(shares, "doc", "left")
+    own = F.element_at(F.col("p"), F.col("subject").cast("int") + 1)
+    per = named.groupBy("doc").agg(F.count("*").alias("of"))
+    borne = named.where(F.col("p").isNull() | (own >= bear)).join(per, "doc")
+    name = F.element_at(F.array(*map(F.lit, SUBJECTS)), F.col("subject").cast("int") + 1)
+    return borne.select("doc", name.alias("subject"), F.coalesce(own, 1 / F.col("of")).alias("share"))
+
+
 def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "ingest_seq", title: str = "title", text: str = "summary", source: str = "source") -> DataFrame:
     """``(<row_id>, subject, share)`` of every document with a usable title or text.
 
@@ -380,4 +420,7 @@ def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "
     document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source).write.parquet(path)
     edges = spark.read.parquet(path)
     labels = propagate(edges, fixed, marks)
-    return decide(edges, labels).select(F.col("doc").alias(row_id), "subject", "share")
+    rows = df.select(F.col(row_id).cast("bigint").alias("doc"), title, text, source)
+    every = decide(edges, labels).withColumn("_seed", F.lit(0)).unionByName(seeds(rows, edges, labels, marks).withColumn("_seed", F.lit(1)))
+    # a subject that was decided keeps its own share
+    return every.groupBy("doc", "subject").agg(F.min_by("share", "_seed").alias("share")).select(F.col("doc").alias(row_id), "subject", "share")
