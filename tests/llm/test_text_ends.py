@@ -122,3 +122,16 @@ def test_limits(spark):
     rows = [(k, "x" * 100, "A") for k in range(50)] + [(100 + k, "x" * (41 + k), "B") for k in range(50)] + [(200, "y" * 100, None)]
     got = {(r.source, r.unit, r.len) for r in T.limits(spark.createDataFrame(rows, "ingest_seq bigint, summary string, source string"), "summary", "source").collect()}
     assert got == {("A", 3, 100), ("A", 2, 25)}
+
+
+def test_quotation_that_begins_before_the_tail():
+    import zlib
+
+    def is_open(text):
+        return zlib.crc32(b"oTrue") & ((1 << T.BITS) - 1) in T.features(text, 0)
+
+    said = "the plan for the road would be ready by the end of the year and " * 2
+    for mark in ("", " ...", "…"):
+        assert not is_open(f'A first line.\nThe council said "{said}" and {"left " * 10}' + mark)
+        assert is_open(f'A first line.\nThe council said "{said}' + mark) and is_open(f'The council said "{said}" and "left' + mark)
+        assert not is_open(f'An "odd line.\nThe council left{mark}')

@@ -51,8 +51,12 @@ def features(text: str, at_limit: int) -> list[int]:
     core = tail[: m.start()] if m else tail
     line = core[core.rfind("\n") + 1 :]
     masked = _mask(line[-60:])
-    spans = closed_spans(line)
-    open_end = bool(spans) and spans[-1][1] == len(line)
+    # quotation marks are paired over the whole last line, which may begin before the tail
+    whole = text.rstrip()
+    whole = whole[: len(whole) - len(tail) + len(core)]
+    whole = whole[whole.rfind("\n") + 1 :]
+    spans = closed_spans(whole)
+    open_end = bool(spans) and spans[-1][1] == len(whole)
     closing = re.search(r"[^\w\s฀-๿]*$", masked).group()
     base = masked[: len(masked) - len(closing)]
     words = base.split()
