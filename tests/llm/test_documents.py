@@ -16,23 +16,70 @@ def words():
     return ["".join(rnd.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
 
 
+def library():
+    """The public library's encoder of the same vocabulary, which only tests use."""
+    import tiktoken
+
+    return tiktoken.Encoding("reference", pat_str=T.PATTERN, mergeable_ranks=T.load_ranks(VOCABULARY), special_tokens={})
+
+
 def test_piece_stream_equals_whole_pieces():
-    enc = T.load(VOCABULARY)
-    stream = T.PieceStream(enc, T.load_ranks(VOCABULARY))
+    enc = library()
+    stream = T.PieceStream(T.load(VOCABULARY))
     rnd = random.Random(0)
-    for alphabet in ("ab", "aeiouthnrs", "-=", "กาม่อน", "0123456789", " "):
+    for alphabet in ("ab", "aeiouthnrs", "-=", "กาม่อน", "0123456789", " ", "中文字はのディー、。"):
         for n in (1, 7, 300, 1200):
             w = "".join(rnd.choice(alphabet) for _ in range(n)).encode()
             assert stream.feed(w) + stream.finish() == enc._core_bpe.encode_single_piece(w)
             assert not stream.buf and not stream.last
 
 
-def test_chunks_equal_whole(monkeypatch):
-    import numpy as np
+def test_no_merge_crosses_a_closed_seam():
+    enc, merges = library(), T.load(VOCABULARY)
+    rnd = random.Random(9)
+    chars = "กขคงจาิีุูเแไ่้中国人的一はのをディーンサ、。éüñđạự«»—“”az09 "
+    closed = 0
+    for _ in range(3000):
+        w = "".join(rnd.choice(chars) for _ in range(rnd.randint(2, 9)))
+        ids, at = enc._core_bpe.encode_single_piece(w.encode()), set()
+        for t in ids:
+            at.add((max(at) if at else 0) + len(merges.words[t]))
+        for k in range(1, len(w)):
+            if not merges.open(w[k - 1 : k + 1]):
+                closed += 1
+                assert len(w[:k].encode()) in at
+    assert closed > 1000
+
+
+def test_encoder_does_without_a_library():
+    """Ids of short and long texts, with both libraries that know the vocabulary out of reach, and a buffer far smaller than the text."""
+    import subprocess
+    import sys
+
+    text = "It's a short text, 你好 สวัสดี. " * 40
+    code = f"import sys; sys.modules['tiktoken'] = sys.modules['tokenizers'] = None; from tidewrack.llm import tokenize as T; t = T.Transducer({VOCABULARY!r}); print([t.encode(x).tolist() for x in ({text[:30]!r}, {text!r})])"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert len(text) > T.CHUNK and eval(out) == [library().encode_ordinary(x) for x in (text[:30], text)]
+
+
+def test_memory_stays_bounded(monkeypatch):
+    monkeypatch.setattr(T, "KNOWN", 50)
+    t, enc, rnd = T.Transducer(VOCABULARY), library(), random.Random(10)
+    for _ in range(5):
+        text = "".join(rnd.choice("abcdefgh กขคงจ的国人 ") for _ in range(3000)) + "x" * 5000
+        out = []
+        for i in range(0, len(text), 100):
+            out += t.feed(text[i : i + 100])
+            assert len(t.rest) <= T.HOLD + 100 and len(t.stream.buf) <= 2 * t.merges.lookahead
+        assert out + t.finish() == enc.encode_ordinary(text)
+        assert max(map(len, (t.known, t.merges.seams, t.merges.fits))) <= 50
+    t.known.clear()
+
 
+def test_chunks_equal_whole(monkeypatch):
     monkeypatch.setattr(T, "HOLD", 48)
     rnd = random.Random(4)
-    t = T.Transducer(VOCABULARY)
+    t, enc = T.Transducer(VOCABULARY), library()
     bits = [" ", "  ", " " * 200, "a" * 300, "'r", "'re", "'", "'" * 90, "1" * 120, "กำ" * 70, "\n\n", "\n" * 90, "é" * 60, "!?" * 60, "word ", "<|endoftext|>", " ", "　x"]
     for _ in range(150):
         text = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7)))
@@ -42,7 +89,7 @@ def test_chunks_equal_whole(monkeypatch):
             out += t.feed(text[at : at + n])
             at += n
         out += t.finish()
-        assert (np.concatenate(out).tolist() if out else []) == t.enc.encode_ordinary(text)
+        assert out == enc.encode_ordinary(text)
 
 
 def test_ids_and_round_trip(spark):
