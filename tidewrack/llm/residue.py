@@ -1,14 +1,16 @@
 """Problem 5: template slots, filler, error pages and notices about scripts in place of content, or slots within it.
 
-Labelled exemplars of residue stand in an inverted index from tokens to exemplars. A field is read as passages (its lines and
-sentences); the exemplars that share a token with a passage are retrieved, and the passage is residue where one of them, or the
-exemplars of one kind together, contain nearly all of its TF-IDF weight. A field whose passages are residue over nearly all of its
-weight is excluded. Unfilled slots are tokens of their own kind and count wherever they stand.
+Labelled exemplars of residue (``residue_exemplars.tsv``, written from public notices and everyday wording) stand in an inverted index from
+tokens to exemplars. A field is read as overlapping windows of tokens. For each window the exemplars that share the most TF-IDF weight with
+it are retrieved; it is residue if they contain nearly all of its weight. A field is excluded if windows of residue cover nearly all
+of its weight. Filler of invented words has no exemplar; its words, which hardly any field holds, are looked up by their endings instead. Unfilled slots are exemplars too: a marked run is reduced to its shape, looked up in the same index, and counts wherever it stands;
+one in single brackets is a slot only if the exemplars of field names contain its words.
 
-Document frequencies are those of the whole table, so a word such as "page" weighs little in a corpus about pages.
+Document frequencies are those of the whole table, so a word such as "page" weighs little in a corpus about pages. They are counted by
+hashed token, so words that no exemplar holds have their own weight as well.
 
 Defined results: null, empty and blank fields, and the store's mark for an empty summary, are no residue; repeated rows are judged alike;
-the source's own name in a title is left aside; further columns are ignored.
+the source's own name in a title is left aside; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,198 +18,245 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from importlib.resources import files
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import HAN, KANA, PLACEHOLDER, THAI, clean, map_rows, per_partition
 
-# --- Fixed values: labelled exemplars, by kind. Figures may be any.
-EXEMPLARS: dict[str, list[str]] = {
-    "error": [
-        "404 not found", "page not found", "502 bad gateway", "500 internal server error", "503 service unavailable", "403 forbidden", "gateway timeout",
-        "error 404: page unavailable", "access denied", "access denied. your request was blocked by the site owner.",
-        "the page you were looking for has moved or no longer exists.", "the page you requested could not be found.",
-        "we are having trouble loading this content. try again in a few minutes.", "service temporarily unavailable (error 9)",
-        "session expired. sign in again to keep reading.", "please sign in to continue.", "something went wrong. please try again later.",
-        "one moment, checking your browser", "checking your connection before you enter the site. this may take 5 seconds.", "just a moment, verifying you are human",
-        "system busy, please try again later (error 9)", "system ausgelastet, bitte später erneut versuchen", "système occupé, réessayez plus tard", "sistema ocupado, inténtelo más tarde",
-        "系统繁忙，请稍后再试（错误9）", "システムが混み合っています。後でもう一度お試しください", "ระบบไม่ว่าง กรุณาลองใหม่ภายหลัง", "hệ thống bận, vui lòng thử lại sau",
-        "too many requests", "this site cannot be reached", "connection timed out",
-        "ไม่พบหน้าเว็บ", "ไม่พบหน้าที่คุณต้องการ", "หน้านี้ถูกลบหรือย้ายไปแล้ว", "ข้อผิดพลาด 404", "กรุณารอสักครู่", "ขออภัย ระบบขัดข้องชั่วคราว (รหัส 9)",
-        "คุณไม่มีสิทธิ์เข้าถึงเนื้อหานี้", "การเข้าถึงถูกปฏิเสธ", "เซสชันหมดอายุ กรุณาเข้าสู่ระบบอีกครั้ง",
-        "seite nicht gefunden", "zugriff verweigert (fehler 9)", "die seite wurde nicht gefunden.", "dienst vorübergehend nicht verfügbar", "bitte warten, ihr browser wird geprüft",
-        "page introuvable", "accès refusé (erreur 9)", "la page demandée n'existe pas.", "service temporairement indisponible",
-        "página no encontrada", "acceso denegado (error 9)", "la página que busca no existe.", "servicio no disponible temporalmente",
-        "页面不存在", "您访问的页面不存在", "访问被拒绝（错误9）", "拒绝访问", "页面未找到", "服务暂时不可用", "请稍候，正在检查您的浏览器",
-        "ページが見つかりません", "お探しのページは見つかりません", "アクセスが拒否されました（エラー9）", "サービスは一時的に利用できません", "しばらくお待ちください",
-        "không tìm thấy trang", "truy cập bị từ chối (lỗi 9)", "trang bạn tìm không tồn tại.", "dịch vụ tạm thời không khả dụng",
-    ],
-    "script": [
-        "please enable javascript to continue. your browser settings are blocking this page.", "this site needs scripts turned on in order to show the article.",
-        "you need to enable javascript to run this app.", "javascript is required to view this page.", "your browser does not support scripts.", "javascript is disabled in your browser.",
-        "กรุณาเปิดใช้งาน javascript เพื่ออ่านหน้านี้", "เบราว์เซอร์ของคุณไม่รองรับสคริปต์ที่เว็บไซต์ต้องใช้",
-        "bitte aktivieren sie javascript, um diese seite zu lesen.", "veuillez activer javascript pour afficher cette page.", "active javascript para ver esta página.",
-        "请启用javascript后继续浏览。", "このページを表示するにはjavascriptを有効にしてください。", "vui lòng bật javascript để xem trang này.",
-    ],
-    "blank": [
-        "enter title", "untitled document", "untitled", "sample post", "headline goes here", "your title here", "add your summary text here.", "type the lead paragraph of your story in this box.",
-        "insert text here", "this is a placeholder.", "sample text", "test post please ignore", "todo", "tbd", "nan", "null", "none", "n/a", "undefined", "xxxxx xxxxx xxxxx", "asdf asdf",
-        "ใส่พาดหัวที่นี่", "หัวข้อข่าวตัวอย่าง", "ใส่เนื้อหาสรุปข่าวที่นี่", "ข้อความตัวอย่าง",
-        "titel hier eingeben", "hier text einfügen", "beispieltext", "saisir le titre", "saisissez le texte ici", "texte d'exemple", "escriba el titular", "escriba aquí el resumen", "texto de ejemplo",
-        "请输入标题", "在此输入内容", "示例文本", "見出しを入力", "ここに本文を入力してください", "サンプル記事", "nhập tiêu đề", "nhập nội dung tóm tắt tại đây", "văn bản mẫu",
-    ],
-    "filler": [
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
-        "morla quitem perrum forem lusto ultra tredi castra tuor digna oblique ponde oram vesti dolan velit apsi sanctis salve necum fera ariam merica nimbus",
-    ],
-}
-#: Names of fields that a template leaves in single brackets.
-FIELDS = "name title headline place city town date time topic subject author source user text summary body content lead teaser district ort number price company country insert placeholder datum nombre lugar titre lieu ville".split()
-
-#: Slots of the usual template languages.
-SLOT = re.compile(
-    r"\{\{[^{}]{0,60}\}\}|\{%[^{}%]{0,80}%\}|\$\{[^{}]{0,60}\}|\{\d{0,2}\}|\{[a-z_]{1,30}\}|<%.{0,60}?%>|%[A-Z][A-Z_]{2,30}%|__[A-Za-z][A-Za-z_]{1,30}?__"
-    r"|\[\[[^\[\]]{1,40}\]\]|@@[A-Za-z_]{2,30}@@|#[A-Z][A-Z_]{2,30}#|\[object Object\]|(?<![\w])undefined(?![\w])"
-    r"|<[A-Z][A-Z_]{2,30}>|\[(?:" + "|".join(FIELDS) + r")(?:[ _][\w ]{0,30})?\]",
-    re.IGNORECASE,
-)
-#: Slots whose letters must be capitals, checked after the match.
-_CAPITAL = re.compile(r"^[%#<][A-Za-z_]+[%#>]$")
-_CAPS_BRACKET = re.compile(r"(?<!^)\[[A-Z]{3,20}\]")
-
-_TOKEN = re.compile(rf"\d+|[{THAI}]+|[{HAN}{KANA}]+|[^\W\d_]+")
-_PASSAGE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n")
+#: Tokens of a window and from one window to the next; exemplars that together may contain a window; the share they must
+#: contain, with weights and without; the share of a field that windows of residue must cover; the share of fields below which a rare token weighs no more.
+WINDOW, STEP, TOGETHER, COVER, PLAIN, WHOLE, CAP = 12, 4, 3, 0.55, 0.65, 0.8, 0.003
+#: Hashed document frequencies; tokens whose weight a task keeps at hand.
+BUCKETS, KNOWN = 1 << 18, 300_000
 
+_TOKEN = re.compile(rf"\d+|[{THAI}]+|[{HAN}{KANA}ー]+|[^\W\d_]+")
+#: Runs between brackets, and between equal marks.
+_BRACKETS = re.compile(r"([{][{%]*|[$#][{]|<%=?|<[?]=?|<<?|\[\[?|\(\(+)([^{}<>\[\]()%\n]{0,60}?)(\}\}+|[%]?\}|[%?]>|>>?|\]\]?|\)\)+)")
+_LONG = re.compile(r"(.)\1{3,}")
+_MARKED = re.compile(r"(?<![A-Za-z0-9_%#@~*])(%%?|__|@@|##?|~~|\*\*\*)([^\W\d_][\w.-]{0,40}?)\1(?![A-Za-z0-9_%#@~*])")
+_WORDED = re.compile(r"\[object Object\]|(?<!\w)(?:undefined|UNDEFINED)(?!\w)")
+_ANY_MARK = re.compile(r"[{<\[%@#~]|__|\(\(|\*\*\*|undefined|UNDEFINED")
 
-def slots(text: str) -> list[str]:
-    """The unfilled slots of a text."""
-    if not re.search(r"[{<%_\[@#$]|undefined|UNDEFINED", text):
-        return []
-    out = [m for m in SLOT.findall(text) if not _CAPITAL.match(m) or m.upper() == m]
-    return out + [m for m in _CAPS_BRACKET.findall(text) if m not in out]
+
+@lru_cache(maxsize=1)
+def exemplars() -> list[tuple[str, str, str]]:
+    """``(kind, language, text)`` of each labelled exemplar."""
+    rows = files(__package__).joinpath("residue_exemplars.tsv").read_text(encoding="utf-8").splitlines()
+    return [(kind, lang, text) for kind, lang, _, text in (r.split("\t") for r in rows if r and not r.startswith("#"))]
 
 
 def tokens(text: str) -> list[str]:
-    """Words, figures as one token, and pairs of characters for scripts without spaces; ``text`` must be clean."""
+    """Words, figures as one token; of Thai each three characters, of Chinese and Japanese each character and each pair; ``text`` must be clean."""
     out = []
     for w in _TOKEN.findall(text):
         c = w[0]
         if c.isdigit():
             out.append("#")
-        elif c < "฀" or not ("฀" <= c <= "๿" or "぀" <= c <= "鿿"):
+        elif c < "฀" or c > "\u9fff":
             out.append(w)
+        elif c <= "๿":
+            out += map("".join, zip(w, w[1:], w[2:])) if len(w) > 2 else [w]
         else:
-            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+            out += w
+            out += map("".join, zip(w, w[1:]))
     return out
 
 
+def _inner(text: str) -> str:
+    """The sort of text within marks: a capital name, a name, words, a figure or nothing."""
+    if not text:
+        return ""
+    if text.isdigit():
+        return "0"
+    if not any(map(str.isalpha, text)):
+        return "?"
+    return "w" if re.search(r"\s", text) else "A" if text.upper() == text and text.lower() != text else "a"
+
+
+def shapes(text: str) -> list[tuple[str, str, int]]:
+    """``(shape, words within, start)`` of each marked run of a text; the words of a shape are reduced to their sort."""
+    if not _ANY_MARK.search(text):
+        return []
+    out = []
+    for m in _BRACKETS.finditer(text):
+        if _WORDED.fullmatch(m.group()):
+            continue
+        a, words, b = _LONG.sub(r"\1\1\1", m.group(1)), m.group(2).strip(), _LONG.sub(r"\1\1\1", m.group(3))
+        out.append((a + _inner(words) + b, words, m.start()))
+    out += [(m.group(1) + _inner(m.group(2)) + m.group(1), m.group(2), m.start()) for m in _MARKED.finditer(text)]
+    return out + [(m.group().lower(), "", m.start()) for m in _WORDED.finditer(text)]
+
+
 @lru_cache(maxsize=4096)
 def _clean_name(source: str) -> str:
     return clean(source).strip()
 
 
+def _bucket(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 class ExemplarIndex:
-    """Token -> exemplars, with weights from document frequencies ``df`` among ``n`` documents."""
+    """Token -> exemplars, with weights from the hashed document frequencies ``df`` among ``n`` fields; without these all tokens weigh alike."""
 
-    def __init__(self, df: dict[str, int] | None = None, n: int = 0, cover: float = 0.8) -> None:
-        self.cover = cover
-        self.exemplars: list[set[str]] = []
+    def __init__(self, df: np.ndarray | None = None, n: int = 0, cover: float | None = None) -> None:
+        self.cover, self.df, self.n = cover or (PLAIN if df is None else COVER), df, max(n, 1)
         self.index: dict[str, list[int]] = {}
-        self.by_kind: list[set[str]] = []
-        for kind, texts in EXEMPLARS.items():
-            together: set[str] = set()
-            for t in texts:
-                own = set(tokens(clean(t)))
-                for w in own:
-                    self.index.setdefault(w, []).append(len(self.exemplars))
-                self.exemplars.append(own)
-                together |= own
-            self.by_kind.append(together)
-        self.n = max(n, 1)
-        self.top = math.log(1 + self.n)
-        self.weights = {w: math.log(1 + self.n / (1 + (df or {}).get(w, 0))) for w in self.index}
-
-    @property
-    def vocabulary(self) -> set[str]:
-        return set(self.index)
-
-    def contained(self, words: list[str]) -> tuple[float, float]:
-        """The weight of a passage, and the share of it that the best exemplar contains."""
-        own = set(words)
-        known = [w for w in own if w in self.index]
-        total = sum(self.weights[w] for w in known) + (len(own) - len(known)) * self.top
-        # no word weighs more than an unknown one, so too few known words can't make up the share
-        if len(known) < self.cover * len(own) or not total:
-            return total, 0.0
+        self.kinds: list[str] = []
+        self.slot_shapes: set[str] = set()
+        self.field_words: set[str] = set()
+        self.endings: set[str] = set()
+        for kind, _, text in exemplars():
+            if kind == "slot":
+                self.slot_shapes |= {s for s, _, _ in shapes(text)}
+                continue
+            own = set(tokens(clean(text)))
+            if kind == "field":
+                self.field_words |= own
+                continue
+            if kind == "filler":
+                self.endings |= {w[-2:] for w in own if len(w) > 3}
+            for w in own:
+                self.index.setdefault(w, []).append(len(self.kinds))
+            self.kinds.append(kind)
+        self.weights: dict[str, float] = {}
+        #: What a token weighs that hardly any field holds; unknown without frequencies.
+        self.most = math.inf if df is None else math.log(1 + 1 / max(CAP, 1 / self.n))
+
+    def weight(self, token: str) -> float:
+        got = self.weights.get(token)
+        if got is None:
+            if len(self.weights) >= KNOWN:
+                self.weights.clear()
+            got = self.weights[token] = 1.0 if self.df is None else math.log(1 + self.n / max(1 + int(self.df[_bucket(token)]), self.n * CAP))
+        return got
+
+    def contained(self, words: list[str], weights: list[float]) -> tuple[float, str]:
+        """The share of a window's weight that the exemplars retrieved for it contain together, and the kind of the best one."""
+        total = sum(weights)
         hits: dict[int, float] = {}
-        for w in known:
-            for e in self.index[w]:
-                hits[e] = hits.get(e, 0.0) + self.weights[w]
-        return total, max(hits.values(), default=0.0) / total
+        for w, x in zip(words, weights):
+            for e in self.index.get(w, ()):
+                hits[e] = hits.get(e, 0.0) + x
+        if not hits or not total:
+            return 0.0, ""
+        best = sorted(hits, key=lambda e: (-hits[e], e))[:TOGETHER]
+        held = sum(x for w, x in zip(words, weights) if any(e in best for e in self.index.get(w, ())))
+        return held / total, self.kinds[best[0]]
+
+    def _invented(self, words: list[str], weights: list[float], total: float) -> bool:
+        """Whether a field is filler of invented words: all but all of them hardly ever met, and ending as the words of the filler exemplars do."""
+        if weights[0] < self.most * 0.99 and weights[1] < self.most * 0.99 or len(set(words)) < 4:
+            return False
+        return sum(x for w, x in zip(words, weights) if x >= self.most * 0.99 and len(w) > 2 and w[-2:] in self.endings) >= WHOLE * total
+
+    def slots(self, text: str) -> list[str]:
+        """The unfilled slots of a text, by shape."""
+        out = []
+        for shape, words, _ in shapes(text):
+            if shape in self.slot_shapes:
+                out.append(shape)
+            elif shape.strip("[](){}<>%?=$#") in ("a", "A", "w"):
+                own = tokens(clean(words.replace("_", " ")))
+                if own and sum(w in self.field_words for w in own) >= WHOLE * len(own):
+                    out.append(shape)
+        return out
 
     def judge(self, text: str | None, source: str | None = None) -> str | None:
         """``'slot'`` or ``'residue'`` for a field to be excluded, else ``None``."""
         if not text or text == PLACEHOLDER or text.isspace():
             return None
-        return "slot" if slots(text) else self.judge_clean(clean(text), source)
+        return "slot" if self.slots(text) else self.judge_clean(clean(text), source)
 
     def judge_clean(self, low: str, source: str | None = None) -> str | None:
         """The same for a clean text without slots."""
         if source and (name := _clean_name(source)) and name in low:
             low = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low)
-        total = covered = 0.0
-        left = len(low)
-        for passage in _PASSAGE.split(low):
-            left -= len(passage)
-            words = tokens(passage)
-            if not words:
-                continue
-            weight, share = self.contained(words)
-            total += weight
-            if share >= self.cover:
-                covered += weight
-            # each further token takes a character and weighs at most ``top``: once even that can't make up the share, the rest needn't be read
-            elif (1 - self.cover) * (covered + left * self.top) < self.cover * (total - covered):
-                return None
-        return "residue" if total and covered >= self.cover * total else None
+        words = tokens(low)
+        if not words:
+            return None
+        weights = list(map(self.weight, words))
+        total = sum(weights)
+        if len(words) >= 4 and self._invented(words, weights, total):
+            return "residue"
+        # what no exemplar holds can't be covered, so most fields need no window
+        if sum(x for w, x in zip(words, weights) if w in self.index) < self.cover * total:
+            return None
+        n = len(words)
+        covered = [False] * n
+        for a in [*range(0, max(1, n - WINDOW), STEP), max(0, n - WINDOW)]:
+            b = min(n, a + WINDOW)
+            if self.contained(words[a:b], weights[a:b])[0] >= self.cover:
+                covered[a:b] = [True] * (b - a)
+        return "residue" if sum(x for x, c in zip(weights, covered) if c) >= WHOLE * total else None
+
+
+@lru_cache(maxsize=1)
+def _plain() -> ExemplarIndex:
+    return ExemplarIndex()
+
+
+def slots(text: str) -> list[str]:
+    """The unfilled slots of a text."""
+    return _plain().slots(text)
+
+
+def without_slots(text: str) -> str:
+    """A text with its unfilled slots blanked out."""
+    for pattern in (_BRACKETS, _MARKED, _WORDED):
+        text = pattern.sub(lambda m: " " if slots(m.group()) else m.group(), text)
+    return text
 
 
 @per_partition
 def _count():
-    index = ExemplarIndex()
-    vocabulary = index.vocabulary
-    seen: dict[str, int] = {}
+    held: dict[str, int] = {}
+    counts = np.zeros(BUCKETS, np.int64)
     n = 0
 
+    def flush() -> None:
+        for w, k in held.items():
+            counts[_bucket(w)] += k
+        held.clear()
+
     def batch(*columns):
         nonlocal n
         for column in columns:
             for t in column:
                 if t:
                     n += 1
-                    for w in vocabulary.intersection(tokens(clean(t))):
-                        seen[w] = seen.get(w, 0) + 1
-        return {"w": [], "n": []}
+                    for w in set(tokens(clean(t))):
+                        held[w] = held.get(w, 0) + 1
+            if len(held) > KNOWN:
+                flush()
+        return {"bucket": [], "n": []}
 
     def close():
-        return {"w": ["", *seen], "n": [n, *seen.values()]}
+        flush()
+        at = np.flatnonzero(counts)
+        return {"bucket": [-1, *at.tolist()], "n": [n, *counts[at].tolist()]}
 
     batch.close = close
     return batch
 
 
-def frequencies(df: DataFrame, fields: list[str]) -> tuple[dict[str, int], int]:
-    """Document frequencies of the exemplars' tokens over all fields of the table (at most as many as the exemplars have tokens), and the number of fields."""
-    rows = map_rows(df.select(*fields), _count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    found = {r["w"]: r["n"] for r in rows}
-    return found, found.pop("", 0)
+def frequencies(df: DataFrame, fields: list[str]) -> tuple[np.ndarray, int]:
+    """Hashed document frequencies of all tokens over all fields of the table (``BUCKETS`` numbers, whatever its size), and the number of fields."""
+    rows = map_rows(df.select(*fields), _count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out, n = np.zeros(BUCKETS, np.int64), 0
+    own = rows[rows["bucket"] >= 0]
+    out[own["bucket"].to_numpy()] = own["n"].to_numpy()
+    return out, int(rows.loc[rows["bucket"] < 0, "n"].sum())
 
 
-def _judge(df: dict[str, int], n: int, fields: list[str]):
+def _judge(shared, n: int, fields: list[str]):
     @per_partition
     def make():
-        index = ExemplarIndex(df, n)
+        index = ExemplarIndex(shared.value, n)
 
         def batch(ids, sources, *columns):
             out: dict[str, list] = {"rec": [], "field": [], "kind": []}
@@ -229,5 +278,6 @@ def residue(df: DataFrame, row_id: str = "ingest_seq", fields: tuple[str, ...] =
     """``(<row_id>, field, kind)`` for every field to be excluded; ``kind`` is ``slot`` or ``residue``."""
     names = list(fields)
     counts, n = frequencies(df, names)
-    out = map_rows(df.select(row_id, source, *names), _judge(counts, n, names), f"rec {dict(df.dtypes)[row_id]}, field string, kind string")
+    shared = df.sparkSession.sparkContext.broadcast(counts)
+    out = map_rows(df.select(row_id, source, *names), _judge(shared, n, names), f"rec {dict(df.dtypes)[row_id]}, field string, kind string")
     return out.select(F.col("rec").alias(row_id), "field", "kind")

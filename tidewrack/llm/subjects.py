@@ -364,7 +364,7 @@ def _usable():
     def usable(text: str | None, source: str | None) -> bool:
         if not text or text == PLACEHOLDER:
             return False
-        rest = residue.SLOT.sub(" ", text)
+        rest = residue.without_slots(text)
         return any(map(str.isalnum, rest)) and judge.judge(rest, source) != "residue"
 
     def batch(ids, titles, summaries, sources):

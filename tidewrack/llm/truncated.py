@@ -177,7 +177,7 @@ def _score(shared):
                     n = len(t)
                     flag = 3 if (s, 3, n) in piles else 1 if (s, 1, n) in piles else 2 if (s, 2, len(t.encode("utf-8", "surrogatepass")) // (SLACK + 1)) in piles else 0
                 p = model.probability(features(t, flag or 0))
-                if p > 0.5 and (judge.judge(t, s) == "residue" or not residue.SLOT.sub("", t).strip(" .!")):
+                if p > 0.5 and (judge.judge(t, s) == "residue" or not residue.without_slots(t).strip(" .!")):
                     p = 0.0
                 out["rec"].append(i)
                 out["source"].append(s)
