@@ -66,3 +66,29 @@ def test_backfill(spark):
     rows = spark.createDataFrame([(0, "", "goal", "", "Sports", None), (1, "", "goal", "", "world", "kept"), (2, "", "", "", None, None)], "ingest_seq bigint, url string, title string, summary string, category string, classification_method string")
     out = classify.backfilled(rows, lexicon(spark, ("sports", "goal", 1.0)), cues(spark)).orderBy("ingest_seq").collect()
     assert [(r.category, r.changed) for r in out] == [("sports", True), ("world", False), ("society", True)] and out[1].classification_method == "kept"
+
+
+def test_model_step(spark):
+    from tidewrack.operators import model
+
+    def score(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [[float(len(t.split())), 1.0] for t in texts]
+
+    docs = spark.createDataFrame([(1, "w " * 900), (2, ""), (3, "bad"), (4, None)], "ingest_seq bigint, text string")
+    got = {r.ingest_seq: (r.label, round(r.confidence, 3)) for r in model.model_step(score, ["long", "short"])(docs).collect()}
+    assert got == {1: ("long", 1.0), 2: ("short", 0.731), 3: (None, 0.0), 4: ("short", 0.731)}
+    one = model.model_step(lambda texts: [-1.0 for _ in texts], ["no", "yes"], "binary")(docs.limit(1)).first()
+    assert (one.label, round(one.confidence, 3)) == ("no", 0.731)
+    assert model.model_step(lambda texts: ["x" for _ in texts], [], "label")(docs.limit(1)).first().confidence == 0.6
+    assert model.model_step(score, ["a", "b"])(docs.limit(0)).count() == 0
+
+
+def test_trained_model(spark):
+    from tidewrack.operators import model
+
+    rows = [(k, f"goal match team {k}" if k % 2 else f"vote party law {k}", "social" if k % 2 else "politics") for k in range(40)]
+    df = spark.createDataFrame(rows, "ingest_seq bigint, text string, label string")
+    step = model.trained(df)
+    assert all(r.label == w[2] and 0.5 < r.confidence <= 1 for r, w in zip(step(df.select("ingest_seq", "text")).orderBy("ingest_seq").collect(), rows))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.functions import markup
@@ -49,9 +50,38 @@ def test_operators_with_nulls_and_empty_tables(spark):
 
 def test_feed_items(spark):
     xml = "<rss><channel><item><title>A</title><link>l</link><description>&lt;img src='d.jpg'&gt;x &amp;amp; y</description></item><item><title> </title></item></channel></RSS>junk".replace("</RSS>", "</rss>")
-    feeds = spark.createDataFrame([("s", xml), ("t", "no feed"), ("u", None)], "source string, xml string")
-    r = extract.feed_articles(extract.feed_items(feeds)).collect()
+    feeds = spark.createDataFrame([("s", xml), ("t", "no feed"), ("u", None), ("v", "")], "source string, xml string")
+    items = extract.feed_items(feeds, strict=False)
+    r = extract.feed_articles(items).collect()
     assert [(x.source, x.title, x.summary, x.image_url) for x in r] == [("s", "A", "x & y", "d.jpg")]
+    assert [x.source for x in items.where("pos is null").collect()] == ["t"]
+    with pytest.raises(Exception, match="ParseError"):
+        extract.feed_items(feeds).collect()
+    assert extract.feed_items(feeds.where("source <> 't'").limit(0)).count() == 0
+
+
+def test_feed_image_from_the_encoded_body(spark):
+    xml = "<rss xmlns:content='http://purl.org/rss/1.0/modules/content/'><channel><item><title>A</title><description>&lt;img src='/site-logo.png'&gt;</description><content:encoded><![CDATA[<img src='/pic/one.jpg'>]]></content:encoded></item></channel></rss>"
+    feeds = spark.createDataFrame([("s", xml)], "source string, xml string")
+    assert extract.feed_articles(extract.feed_items(feeds, base="https://s")).first().image_url == "https://s/pic/one.jpg"
+
+
+def test_article_reads(spark):
+    def fetch(url):
+        if "bad" in url:
+            raise OSError
+        return "<article><p>A</p></article><img src='/pic/one.jpg'>"
+
+    rows = extract.article_reads(spark.createDataFrame([("http://a",), ("http://bad",), ("ftp://a",), (None,), ("",)], "url string"), fetch, "https://s", ["article"]).collect()
+    assert [(r.page_summary, r.page_image, r.page_text) for r in rows] == [("A", "https://s/pic/one.jpg", "A")] + [("", "", "")] * 4
+
+
+def test_tiers_as_strategies(spark):
+    block, ok = "Just a moment " + "x" * 200, "x" * 101
+    plan = collect.tiers(("one", lambda u: (200, "short")), ("two", lambda u: (200, block if u.endswith("b") else ok)), ("three", collect.reader(lambda u: (0, u), "https://r/", retry=False)))
+    rows = collect.fetched(spark.createDataFrame([("https://h/a",), ("https://h/b",)], "url string"), plan).collect()
+    assert [(r.method, r.md) for r in rows] == [("two", ok), ("three", "https://r/http://https://h/b")]
+    assert collect.reader(lambda u: (200, u), "https://r/")("http://p") == (200, "https://r/http://p")
 
 
 def test_tiers(spark):

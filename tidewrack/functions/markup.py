@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from itertools import islice
+
+from tidewrack.functions.urls import completed
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tags an open paragraph or list item doesn't reach across.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "h1": {"p"}, "h2": {"p"}, "h3": {"p"}, "div": {"p"}, "article": {"p"}, "ul": {"p"}, "section": {"p"}}
 _HIDDEN = frozenset("script style noscript template nav header footer aside form button".split())
-#: Words in an address that mark an image as decoration, and the least length of an address worth keeping (fixed values).
+# --- Fixed values, which sites and results depend on.
+#: Words in an address that mark an image as decoration, and the least length of an address worth keeping.
 DECORATION, SHORTEST = ("logo", "icon", "avatar", "ads", "banner", "pixel"), 10
+#: Declarations of a page's image, the one that counts first; attributes with an image's address, in order, and those with a set of candidates.
+DECLARED = (("property", "og:image"), ("property", "og:image:secure_url"), ("name", "twitter:image"))
+ADDRESS, SETS = ("src", "data-src", "data-lazy-src", "data-original", "srcset", "data-srcset"), ("srcset", "data-srcset")
+#: Boxes that hold a heading and its link.
+BOXES = ("div", "article", "li")
 
 
 class Node:
@@ -93,58 +101,75 @@ def parse(html: str | None) -> Node:
     return b.root
 
 
-def absolute(url: str, base: str) -> str:
-    return url if url.startswith("http") else urljoin(base.rstrip("/") + "/", url)
+def address_of(img: Node) -> str:
+    """What the first attribute of ``ADDRESS`` that isn't empty says; of a set of candidates the first."""
+    for name in ADDRESS:
+        if value := img.attrs.get(name):
+            return value if name not in SETS else (value.split(",")[0].split() or [""])[0]
+    return ""
 
 
-def image_address(img: Node) -> str:
-    """The address of an image: the plain or a lazy attribute, else the first candidate of a source set."""
-    for k in ("src", "data-src", "data-lazy-src", "data-original"):
-        if img.attrs.get(k):
-            return img.attrs[k]
-    many = img.attrs.get("srcset") or img.attrs.get("data-srcset") or ""
-    return (many.split(",")[0].split() or [""])[0]
+def pictures(root: Node):
+    """A page's candidates for its image, best first: the declared one, then those in the text that are no decoration."""
+    declared: dict[int, Node] = {}
+    for x in root.all("meta"):
+        for rank, (attribute, name) in enumerate(DECLARED):
+            if x.attrs.get(attribute) == name:
+                declared.setdefault(rank, x)
+    if declared:
+        yield declared[min(declared)].attrs.get("content", "")
+    for src in map(address_of, root.all("img")):
+        low = src.lower()
+        if len(src) >= SHORTEST and not any(w in low for w in DECORATION):
+            yield src
 
 
 def hero_image(root: Node, base: str = "") -> str:
-    """The page's declared image, or the first image that is no decoration; an empty declaration falls through to the images."""
-    metas = list(root.all("meta"))
-    for key, name in (("property", "og:image"), ("property", "og:image:secure_url"), ("name", "twitter:image")):
-        tag = next((m for m in metas if m.attrs.get(key) == name), None)
-        if tag is not None:
-            if tag.attrs.get("content"):
-                return absolute(tag.attrs["content"], base)
-            break
-    for img in root.all("img"):
-        src = image_address(img)
-        if len(src) >= SHORTEST and not any(w in src.lower() for w in DECORATION):
-            return absolute(src, base)
-    return ""
+    """The first of a page's candidates that isn't empty, as a full address; '' without any."""
+    return next((completed(src, base) for src in pictures(root) if src), "")
+
+
+def anchors(node: Node):
+    """Links near a node, nearest first: within it, around it, after it, in the box around it."""
+    yield node.first("a")
+    yield node.up("a")
+    if node.parent is not None:
+        beside = node.parent.children
+        yield next((x for x in beside[beside.index(node) + 1 :] if isinstance(x, Node) and x.tag == "a"), None)
+    box = node.up(*BOXES)
+    yield box.first("a") if box is not None else None
 
 
 def nearest_link(node: Node, base: str) -> str:
-    """The link within, around, after or beside a node; root-relative ones are completed, other relative ones dropped."""
-    a = node.first("a") or node.up("a")
-    if a is None and node.parent is not None:
-        after = node.parent.children[node.parent.children.index(node) + 1 :]
-        a = next((x for x in after if isinstance(x, Node) and x.tag == "a"), None)
-    if a is None and (box := node.up("div", "article", "li")) is not None:
-        a = box.first("a")
+    """The address of the nearest link; root-relative ones are completed, other relative ones dropped."""
+    a = next((x for x in anchors(node) if x is not None), None)
     href = a.attrs.get("href", "") if a is not None else ""
-    if href.startswith("http"):
-        return href
-    return base.rstrip("/") + href if href.startswith("/") else ""
+    return href if href.startswith("http") else base.rstrip("/") + href if href.startswith("/") else ""
+
+
+def paragraphs(root: Node, selector: str) -> list[str]:
+    """The paragraphs that aren't blank of the first container that a selector matches."""
+    box = next((x for x in root.walk() if isinstance(x, Node) and x.matches(selector)), None)
+    return [] if box is None else [t for t in (p.text().strip() for p in box.all("p")) if t]
 
 
 def lead(root: Node, selectors: list[str], n: int = 3, limit: int = 400) -> str:
-    """The first paragraphs of the first selector whose first container has any that aren't blank."""
-    for s in selectors:
-        box = next((x for x in root.walk() if isinstance(x, Node) and x.matches(s)), None)
-        if box is not None:
-            texts = [t for p in box.all("p") if (t := p.text().strip())]
-            if texts:
-                return ". ".join(texts[:n])[:limit]
-    return ""
+    """The first paragraphs of the first selector that has any."""
+    found = next(filter(None, (paragraphs(root, s) for s in selectors)), [])
+    return ". ".join(found[:n])[:limit]
+
+
+def headings(root: Node, selector: str, base: str, limit: int = 10, after: bool = False, drop: frozenset[str] = frozenset(), plain: bool = False):
+    """``(pos, title, link)`` of a listing's headings.
+
+    The first ``limit`` headings count before blank and unwanted ones are left out, or after with ``after``; ``drop`` are titles in capitals, and
+    ``plain`` leaves out headings with a class.
+    """
+    found = (x for x in root.walk() if isinstance(x, Node) and x.matches(selector))
+    rows = ((pos, h.text().strip(), h) for pos, h in enumerate(found) if after or pos < limit)
+    kept = ((pos, title, h) for pos, title, h in rows if title and title.upper() not in drop and not (plain and h.attrs.get("class")))
+    for pos, title, h in islice(kept, limit if after else None):
+        yield pos, title, nearest_link(h, base)
 
 
 def main_text(root: Node) -> str:

@@ -46,11 +46,16 @@ def proxyable(url: Column, hosts: list[str]) -> Column:
     return F.coalesce(scheme(url).isin("http", "https") & authority(url).isin(hosts), F.lit(False))
 
 
+def completed(url: str, base: str) -> str:
+    """A relative address resolved against ``base``; one that starts with ``http`` stays."""
+    return url if url.startswith("http") else urljoin(base.rstrip("/") + "/", url)
+
+
 def absolute(base: str):
-    """Relative addresses resolved against ``base``; those that start with ``http`` stay."""
+    """:func:`completed` for a column; null stays null."""
 
     @F.pandas_udf("string")
     def join(s: pd.Series) -> pd.Series:
-        return s.map(lambda u: None if not isinstance(u, str) else u if u.startswith("http") else urljoin(base.rstrip("/") + "/", u))
+        return s.map(lambda u: completed(u, base) if isinstance(u, str) else None)
 
     return join

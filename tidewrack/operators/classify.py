@@ -65,7 +65,11 @@ def scored(docs: DataFrame, lexicon: DataFrame, rules: DataFrame, doc: str = "in
         built, side = [(lambda t, n=n: grams(t, n)) for n in lengths], lex
     every = once(F.col(tokens), lambda t: F.flatten(F.array(*[f(t) for f in built]))) if built else F.array().cast("array<string>")
     hits = docs.select(F.col(doc), F.explode(every).alias("gram")).join(side.select("category", "gram", "weight"), "gram").groupBy(doc, "category").agg(F.sum("weight").alias("score"))
-    # rules are looked up by their first part, so documents meet only rules they can satisfy
+    return hits.unionByName(bonuses(docs, rules, doc, tokens)).groupBy(doc, "category").agg(F.sum("score").alias("score"))
+
+
+def bonuses(docs: DataFrame, rules: DataFrame, doc: str = "ingest_seq", tokens: str = "tokens") -> DataFrame:
+    """``(<doc>, category, score)``: the bonus of each satisfied rule. Rules are looked up by their first part, so documents meet only rules they can satisfy."""
     own = rules.where(F.size("tokens") > 0).select("category", F.array_distinct("tokens").alias("parts")).withColumn("gram", F.col("parts")[0])
     has = docs.select(F.col(doc), F.array_distinct(tokens).alias("has"))
     if bounded(rules, STARTS):
@@ -75,8 +79,7 @@ def scored(docs: DataFrame, lexicon: DataFrame, rules: DataFrame, doc: str = "in
     else:
         has = has.select(doc, "has", F.explode("has").alias("gram"))
     bonus = has.join(own, "gram").where(has_all(F.col("has"), F.col("parts")))
-    bonus = bonus.groupBy(doc, "category").agg((F.count("*") * F.lit(BONUS)).alias("score"))
-    return hits.unionByName(bonus).groupBy(doc, "category").agg(F.sum("score").alias("score"))
+    return bonus.groupBy(doc, "category").agg((F.count("*") * F.lit(BONUS)).alias("score"))
 
 
 def top_two(scores: DataFrame, doc: str = "ingest_seq") -> DataFrame:

@@ -54,6 +54,33 @@ def fetched(requests: DataFrame, strategies: list[tuple[str, Callable[[str], str
     return valid.mapInPandas(run, "url string, md string, method string")
 
 
+class Tier:
+    """One way to fetch a page: ``fetch`` gives a status and a text, which must pass the gate of its ``number``; may be used as a strategy of :func:`fetched`."""
+
+    def __init__(self, number: int, fetch: Callable[[str], tuple[int, str | None]]) -> None:
+        self.number, self.fetch = number, fetch
+
+    def __call__(self, url: str) -> str | None:
+        status, md = self.fetch(url)
+        if not md or self.number < 3 and (status != 200 or len(md) <= LEAST):
+            return None
+        return None if self.number == 2 and any(mark in md for mark in BLOCKED) else md
+
+
+def tiers(*fetchers: tuple[str, Callable[[str], tuple[int, str | None]]]) -> list[tuple[str, Tier]]:
+    """Strategies for :func:`fetched` in the order of their tiers, from ``(name, fetch)`` each."""
+    return [(name, Tier(k, fetch)) for k, (name, fetch) in enumerate(fetchers, 1)]
+
+
+def reader(fetch: Callable[[str], tuple[int, str | None]], prefix: str, retry: bool = True, **limits) -> Callable[[str], tuple[int, str | None]]:
+    """A fetcher by way of a reading service, whose address is put before the page's; as a fallback without ``retry`` the page's scheme is repeated."""
+
+    def once_(url: str) -> tuple[int, str | None]:
+        return fetch(f"{prefix}{url}" if retry else f"{prefix}http://{url}")
+
+    return retrying(once_, **limits) if retry else once_
+
+
 def capture_path(url: Column, clock: Column) -> Column:
     """``<stamp>_<safe name>.md``."""
     return F.concat(F.date_format(clock, "yyyyMMdd_HHmmss"), F.lit("_"), safe_name(url), F.lit(".md"))

@@ -3,103 +3,119 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-from html import unescape
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.functions import feeds as feeds_of
 from tidewrack.functions import markup
 from tidewrack.functions.text import first_image, or_placeholder, strip, strip_tags
 from tidewrack.functions.text import unescape as unescaped
 from tidewrack.schema import CLOCK
 
-_MEDIA, _CONTENT = "{http://search.yahoo.com/mrss/}content", "{http://purl.org/rss/1.0/modules/content/}encoded"
 
+#: What can be read off a page, by name.
+FACTS: dict[str, Callable] = {
+    "page_summary": lambda tree, base, selectors, n: markup.lead(tree, selectors, n),
+    "page_image": lambda tree, base, selectors, n: markup.hero_image(tree, base),
+    "page_text": lambda tree, base, selectors, n: markup.main_text(tree),
+}
 
-def page_facts(pages: DataFrame, base: str, selectors: list[str], html: str = "html", sentences: int = 3) -> DataFrame:
-    """``pages`` with ``page_summary, page_image, page_text`` read off their HTML; null and empty pages give empty strings."""
+
+def page_facts(pages: DataFrame, base: str, selectors: list[str], html: str = "html", sentences: int = 3, facts: tuple[str, ...] = tuple(FACTS)) -> DataFrame:
+    """``pages`` with the named facts read off their HTML, each page parsed once; null and empty pages give empty strings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            trees = [markup.parse(x) if isinstance(x, str) else markup.parse("") for x in b[html]]
-            b["page_summary"] = [markup.lead(t, selectors, sentences) for t in trees]
-            b["page_image"] = [markup.hero_image(t, base) for t in trees]
-            b["page_text"] = [markup.main_text(t) for t in trees]
+            trees = [markup.parse(x if isinstance(x, str) else "") for x in b[html]]
+            for name in facts:
+                b[name] = [FACTS[name](t, base, selectors, sentences) for t in trees]
             yield b
 
-    names = ", ".join(f"`{c}` {k}" for c, k in pages.dtypes)
-    return pages.mapInPandas(run, f"{names}, page_summary string, page_image string, page_text string")
+    names = ", ".join([f"`{c}` {k}" for c, k in pages.dtypes] + [f"{name} string" for name in facts])
+    return pages.mapInPandas(run, names)
 
 
-def listing_items(pages: DataFrame, selector: str, base: str, limit: int = 10, after: bool = False, drop: tuple[str, ...] = (), plain: bool = False, html: str = "html", key: str = "url") -> DataFrame:
-    """``(<key>, pos, title, link)`` of a listing page's headings.
+def article_reads(requests: DataFrame, fetch: Callable[[str], str], base: str, selectors: list[str], sentences: int = 3) -> DataFrame:
+    """``(url, page_summary, page_image, page_text)`` of each row of ``requests(url)``: fetched, parsed and read in one pass.
 
-    The first ``limit`` headings count before blank titles are left out, or after with ``after``; ``drop`` are titles (any case) of the
-    site's menus, and ``plain`` leaves out headings with a class.
+    An address that doesn't start with ``http``, a null one, and one whose fetch or page fails give three empty strings.
     """
-    unwanted = {d.upper() for d in drop}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, text in zip(b[key], b[html]):
-                heads = [x for x in markup.parse(text if isinstance(text, str) else "").walk() if isinstance(x, markup.Node) and x.matches(selector)]
-                if not after:
-                    heads = heads[:limit]
-                n = 0
-                for pos, h in enumerate(heads):
-                    title = h.text().strip()
-                    if not title or title.upper() in unwanted or plain and h.attrs.get("class"):
-                        continue
-                    if after and n >= limit:
-                        break
-                    n += 1
-                    rows.append((k, pos, title, markup.nearest_link(h, base)))
+            for url in b["url"]:
+                said = [""] * len(FACTS)
+                if isinstance(url, str) and url.startswith("http"):
+                    try:
+                        tree = markup.parse(fetch(url))
+                        said = [read(tree, base, selectors, sentences) for read in FACTS.values()]
+                    except Exception:  # noqa: BLE001 a page that can't be had is an empty one
+                        said = [""] * len(FACTS)
+                rows.append((url, *said))
+            yield pd.DataFrame(rows, columns=["url", *FACTS])
+
+    return requests.select("url").mapInPandas(run, ", ".join(["url string", *(f"{name} string" for name in FACTS)]))
+
+
+def listing_items(pages: DataFrame, selector: str, base: str, limit: int = 10, after: bool = False, drop: tuple[str, ...] = (), plain: bool = False, html: str = "html", key: str = "url") -> DataFrame:
+    """``(<key>, pos, title, link)`` of listing pages' headings, by the rules of :func:`markup.headings`; ``drop`` are titles in any case."""
+    unwanted = frozenset(d.upper() for d in drop)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *h) for k, text in zip(b[key], b[html]) for h in markup.headings(markup.parse(text if isinstance(text, str) else ""), selector, base, limit, after, unwanted, plain)]
             yield pd.DataFrame(rows, columns=["k", "pos", "title", "link"])
 
     out = pages.select(key, html).mapInPandas(run, f"k {dict(pages.dtypes)[key]}, pos int, title string, link string")
     return out.withColumnRenamed("k", key)
 
 
-def repaired(xml: Column) -> Column:
-    """A feed without what follows its last closing tag."""
-    return F.regexp_replace(xml, r"(?is)^(.*</rss>).*$", "$1")
-
-
-def feed_items(feeds: DataFrame, xml: str = "xml", key: str = "source", limit: int = 10, strict: bool = False) -> DataFrame:
+def feed_items(feeds: DataFrame, xml: str = "xml", key: str = "source", limit: int = 10, strict: bool = True, base: str | None = None) -> DataFrame:
     """``(<key>, pos, title, link, description, media_url, enclosure_url, encoded)`` of a feed's first items.
 
-    A feed that can't be parsed even after repair gives no rows, or fails the query with ``strict``.
+    A null or empty feed has no items. One that can't be parsed even after repair fails the query, or, without ``strict``, gives one row with nulls but
+    for ``key``, so its loss shows. With ``base``, ``html_image`` is the image of the description's markup, or else of the encoded body's, for items that
+    name none otherwise.
     """
+    names = [*feeds_of.Item._fields, *(["html_image"] if base is not None else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, text in zip(b[key], b["_xml"]):
+            for k, text in zip(b[key], b[xml]):
                 try:
-                    root = ET.fromstring(text or "")
+                    own = list(feeds_of.items(text, limit)) if text else []
                 except ET.ParseError:
                     if strict:
                         raise
+                    rows.append((k, *[None] * len(names)))
                     continue
-                for pos, item in enumerate(root.iterfind(".//item")):
-                    if pos >= limit:
-                        break
-                    media, enclosure = item.find(_MEDIA), item.find("enclosure")
-                    of = lambda tag, i=item: i.findtext(tag, "") or ""
-                    rows.append((k, pos, unescape(of("title").strip()), of("link").strip(), of("description"), "" if media is None else media.get("url", ""), "" if enclosure is None else enclosure.get("url", ""), of(_CONTENT)))
-            yield pd.DataFrame(rows, columns=["k", "pos", "title", "link", "description", "media_url", "enclosure_url", "encoded"])
-
-    own = feeds.select(key, repaired(F.col(xml)).alias("_xml"))
-    out = own.mapInPandas(run, f"k {dict(feeds.dtypes)[key]}, pos int, title string, link string, description string, media_url string, enclosure_url string, encoded string")
-    return out.withColumnRenamed("k", key)
+                for x in own:
+                    image = ()
+                    if base is not None:
+                        bodies = () if x.media_url or x.enclosure_url else (x.description, x.encoded)
+                        image = (next(filter(None, (markup.hero_image(markup.parse(h), base) for h in bodies if h)), ""),)
+                    rows.append((k, *x, *image))
+            out = pd.DataFrame(rows, columns=["k", *names])
+            out["pos"] = out["pos"].astype("Int32")
+            yield out
+
+    kinds = ", ".join(f"{n} {'int' if n == 'pos' else 'string'}" for n in names)
+    return feeds.select(key, xml).mapInPandas(run, f"k {dict(feeds.dtypes)[key]}, {kinds}").withColumnRenamed("k", key)
 
 
 def feed_articles(items: DataFrame, page_image: Column | None = None) -> DataFrame:
-    """Feed items as ``(title, summary, url, image_url)``; the image is the first that isn't empty of media, enclosure, description and page."""
-    candidates = [F.col("media_url"), F.col("enclosure_url"), first_image(F.col("description"))] + ([page_image] if page_image is not None else [])
+    """Feed items as ``(title, summary, url, image_url)``.
+
+    The image is the first that isn't empty of media, enclosure, the items' markup (``html_image`` where :func:`feed_items` was asked for it, else the first
+    image of the description) and the page.
+    """
+    within = F.col("html_image") if "html_image" in items.columns else first_image(F.col("description"))
+    candidates = [F.col("media_url"), F.col("enclosure_url"), within] + ([page_image] if page_image is not None else [])
     image = F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit(""))
     return items.where(strip(F.col("title")) != "").select(*[c for c in items.columns if c in ("source", "pos")], "title", strip(unescaped(strip_tags(F.col("description")))).alias("summary"), F.col("link").alias("url"), image.alias("image_url"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.runtime import small
+
+# --- Fixed values.
 #: Colour of a source that isn't registered.
 DEFAULT_COLOR = "#1a3a6b"
 #: What a trained model's labels stand for; others are society.
@@ -24,9 +27,12 @@ def with_color(articles: DataFrame, sources: DataFrame, default: str = DEFAULT_C
 
 
 def with_label(articles: DataFrame, labels: DataFrame) -> DataFrame:
-    """``articles`` with the label and icon of their category; the first row of ``labels(ord, category, label, icon)`` for an unknown one."""
+    """``articles`` with the label and icon of their category; the first row of ``labels(ord, category, label, icon)`` for an unknown one.
+
+    The labels are broadcast once a count has shown them to be few; beyond that the join is a shuffle. The default is one row.
+    """
     first = labels.orderBy("ord").limit(1).select(F.col("label").alias("l0"), F.col("icon").alias("i0"))
-    own = articles.join(F.broadcast(labels.select("category", "label", "icon")), "category", "left").crossJoin(F.broadcast(first))
+    own = articles.join(small(labels.select("category", "label", "icon")), "category", "left").crossJoin(F.broadcast(first))
     return own.withColumn("label", F.coalesce("label", "l0")).withColumn("icon", F.coalesce("icon", "i0")).drop("l0", "i0")
 
 

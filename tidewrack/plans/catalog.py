@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions import text, urls
 from tidewrack.functions import tokens as tok
-from tidewrack.operators import classify, collect, dedupe, extract, feed, lookup
-from tidewrack.runtime import scratch, table
+from tidewrack.operators import classify, collect, dedupe, extract, feed, health, lookup, model
+from tidewrack.runtime import checkpoint_dir, scratch, table
 from tidewrack.schema import CATEGORIES, SENTIMENTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,14 @@ _MATCH_SQL = "contains(lower(coalesce(title, '')), 'plan') OR contains(lower(coa
 # --- feed ---
 
 
+@query(f"""SELECT a.ingest_seq, a.title, a.source, a.category, a.fetched_at, {_PROXY_SQL.replace("image_url", "a.image_url").replace("source", "a.source")} AS image_url, coalesce(s.color, '#1a3a6b') AS color
+FROM articles a LEFT JOIN sources s ON a.source = s.name ORDER BY coalesce(a.fetched_at, '') DESC, a.ingest_seq LIMIT 20""")
+def feed_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the whole feed as a reader sees it: proxied images and the sources' colours."""
+    rows = lookup.with_color(feed.page(table(spark, sf_dir, "articles"), 1, 20), table(spark, sf_dir, "sources"))
+    return rows.select("ingest_seq", "title", "source", "category", "fetched_at", urls.proxied(F.col("image_url"), F.col("source"), [OUTLET], HOSTS).alias("image_url"), "color")
+
+
 @query(f"""SELECT ingest_seq, title, source, category, fetched_at, {_PROXY_SQL} AS image_url FROM articles
 WHERE lower(coalesce(source, '')) = 'tallmere ledger' AND ({_MATCH_SQL}) ORDER BY coalesce(fetched_at, '') DESC, ingest_seq LIMIT 20 OFFSET 20""")
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +132,10 @@ def new_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.flagged(table(spark, sf_dir, "incoming"), table(spark, sf_dir, "articles")).select("ingest_seq", "is_new")
 
 
-@query("SELECT a.ingest_seq, coalesce(s.color, '#1a3a6b') AS color FROM articles a LEFT JOIN (SELECT name, color FROM sources WHERE source_ord < 31) s ON a.source = s.name")
+@query("SELECT a.ingest_seq, coalesce(s.color, '#1a3a6b') AS color FROM articles a LEFT JOIN sources s ON a.source = s.name")
 def source_color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The colour of each article's source; one registered source is left out so the default is met."""
-    return lookup.with_color(table(spark, sf_dir, "articles"), table(spark, sf_dir, "sources").where("source_ord < 31")).select("ingest_seq", "color")
+    """The colour of each article's source; null and unregistered sources get the default."""
+    return lookup.with_color(table(spark, sf_dir, "articles"), table(spark, sf_dir, "sources")).select("ingest_seq", "color")
 
 
 _LABEL_VALUES = ", ".join(f"({k}, '{c}', '{label}', '{i}')" for k, c, label, i in LABELS)
@@ -232,9 +240,8 @@ def phrase_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SCORES_SQL} SELECT ingest_seq, category, CAST(score AS DOUBLE) AS score FROM bonus")
 def compound_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of satisfied rules alone."""
-    articles, lexicon, _ = _classified_tables(spark, sf_dir)
-    docs = articles.select("ingest_seq", tok.words(text.weighted_text(F.col("title"), F.col("summary"))).alias("tokens"))
-    return classify.scored(docs, lexicon.limit(0), classify.rules_table(spark))
+    docs = table(spark, sf_dir, "articles").select("ingest_seq", tok.words(text.weighted_text(F.col("title"), F.col("summary"))).alias("tokens"))
+    return classify.bonuses(docs, classify.rules_table(spark))
 
 
 @query("SELECT category, keyword, weight, CASE WHEN length(keyword) > 4 THEN 2.0 ELSE 1.0 END::DOUBLE AS expected FROM lexicon")
@@ -258,10 +265,38 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with longest-match words in scripts without spaces."""
     articles, lexicon, cues = _classified_tables(spark, sf_dir)
-    words = [r["keyword"] for r in lexicon.select("keyword").collect()]  # the lexicon's size is fixed
+    words = [r["keyword"] for r in lexicon.select("keyword").limit(classify.STARTS + 1).collect()]
+    if len(words) > classify.STARTS:
+        raise ValueError(f"over {classify.STARTS} keywords")
     return classify.classify(articles, lexicon, cues, tokenise=tok.dictionary_words(words))
 
 
+_MODEL_LABELS = ["economics", "politics", "social"]
+_MODEL_SQL = (
+    _CLASSES_SQL[: _CLASSES_SQL.index("classes AS")]
+    + r"""asked AS (SELECT ingest_seq, length(array_to_string(string_split_regex(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]+')[1:500], ' ')) AS n FROM docs),
+told AS (SELECT ingest_seq, CASE n % 3 WHEN 0 THEN 'economics' WHEN 1 THEN 'politics' ELSE 'social' END AS label, n % 5 <> 0 AS sure, CASE WHEN n % 5 = 0 THEN '0.33' ELSE '0.79' END AS conf FROM asked),
+classes AS (SELECT d.ingest_seq,
+  CASE WHEN c.cue IS NOT NULL THEN c.category WHEN regexp_replace(d.text, '[\s\p{Z}]+', '', 'g') = '' THEN 'society' WHEN t.top1 NOT IN ('economy', 'politics', 'society') AND t.score1 - t.score2 >= 5 THEN t.top1
+    WHEN m.sure THEN CASE m.label WHEN 'economics' THEN 'economy' WHEN 'politics' THEN 'politics' ELSE 'society' END WHEN t.score1 > 0 THEN t.top1 ELSE 'society' END AS category,
+  CASE WHEN c.cue IS NOT NULL THEN 'URL Priority (' || c.cue || ')' WHEN regexp_replace(d.text, '[\s\p{Z}]+', '', 'g') = '' THEN 'Fallback (Empty Text)'
+    WHEN t.top1 NOT IN ('economy', 'politics', 'society') AND t.score1 - t.score2 >= 5 THEN printf('Rule-based (Domain Expert: %s, score=%.1f)', t.top1, t.score1) WHEN m.sure THEN 'ML (' || m.label || ') (conf=' || m.conf || ')'
+    WHEN t.score1 > 0 THEN 'Rule-based (ML Low Confidence: ' || m.conf || ')' ELSE 'Fallback (Default, ML conf: ' || m.conf || ')' END AS method
+  FROM docs d LEFT JOIN cues q USING (ingest_seq) LEFT JOIN url_cues c ON c.cue_ord = q.cue_ord LEFT JOIN top2 t USING (ingest_seq) JOIN told m USING (ingest_seq))"""
+)
+
+
+@query(f"WITH {_MODEL_SQL} SELECT * FROM classes")
+def classify_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a model for what the rules leave open: a stand-in whose decision values follow from the cropped text's length."""
+
+    def score(texts: list[str]) -> list[list[float]]:
+        return [[2.0 * (len(t) % 5 != 0 and len(t) % 3 == k) for k in range(3)] for t in texts]
+
+    articles, lexicon, cues = _classified_tables(spark, sf_dir)
+    return classify.classify(articles, lexicon, cues, model=model.model_step(score, _MODEL_LABELS))
+
+
 _VALID = ", ".join(f"'{c}'" for c in CATEGORIES)
 
 
@@ -297,37 +332,84 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("doc_id", F.regexp_extract("html", "href='([^']+)'", 1).alias("link"), text.first_image(F.col("html")).alias("image"))
 
 
-@query("SELECT doc_id, 0 AS pos, 'Document ' || doc_id AS title, 'https://site.example/doc/' || doc_id AS link FROM documents")
+#: Heads of pages, and where a heading's link and a page's image stand in them: one of each sort, in turn by document.
+_LINKS = [
+    "<div><h3><a href='/doc/#'>Document #</a></h3></div>", "<a href='https://other.example/#'><div><h3>Document #</h3></div></a>", "<section><h3>Document #</h3><p>by</p><a href='/doc/#'>more</a></section>",
+    "<li><p><a href='/doc/#'>more</a></p><h3>Document #</h3></li>", "<div><h3><a href='doc/#'>Document #</a></h3></div>",
+]
+_LINKED = ["https://site.example/doc/", "https://other.example/", "https://site.example/doc/", "https://site.example/doc/", None]
+_IMAGES = [
+    "<meta property='og:image' content='/img/card-#.jpg'><img src='/img/photo-#.jpg'>", "<meta property='og:image' content=''><img src='/img/logo.png'><img src='/img/photo-#.jpg'>", "<meta name='twitter:image' content='https://cdn.example/card-#.jpg'>",
+    "<meta name='twitter:image' content='/img/other-#.jpg'><meta property='og:image:secure_url' content='//cdn.example/safe-#.jpg'>", "<img data-src='/img/banner-#.jpg'><img data-lazy-src='/img/lazy-#.jpg'>",
+    "<img srcset='/img/large-#.jpg 2x, /img/small-#.jpg 1x'>", "<img src=''><img data-srcset='/img/set-#.jpg 100w'>", "<img src='/i.png'><img src='/img/avatar-#.png'>",
+]
+_PICTURED = ["https://site.example/img/card-", "https://site.example/img/photo-", "https://cdn.example/card-", "https://cdn.example/safe-", "https://site.example/img/lazy-", "https://site.example/img/large-", "https://site.example/img/set-", None]
+
+
+def _in_turn(kinds: list[str], key: str) -> Column:
+    """One of ``kinds`` for each row, in turn by its number, which replaces ``#``."""
+    at = F.element_at(F.array(*map(F.lit, kinds)), (F.col(key) % len(kinds)).cast("int") + 1)
+    return F.replace(at, F.lit("#"), F.col(key).cast("string"))
+
+
+def _in_turn_sql(kinds: list[str | None], key: str, end: str = "") -> str:
+    cases = " ".join(f"WHEN {k} THEN " + ("''" if x is None else f"'{x}' || {key} || '{end}'") for k, x in enumerate(kinds))
+    return f"CASE {key} % {len(kinds)} {cases} END"
+
+
+def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each document, of every sort of head, with a menu and a second, unwanted heading."""
+    html = F.concat(F.lit("<html><head></head><body><nav><h3>News</h3></nav><h3 class='side'>Most read</h3>"), _in_turn(_LINKS, "doc_id"), _in_turn(_IMAGES, "doc_id"), F.lit("<h3>Last</h3></body></html>"))
+    return table(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
+
+
+@query(f"SELECT doc_id, CAST(2 AS INTEGER) AS pos, 'Document ' || doc_id AS title, {_in_turn_sql(_LINKED, 'doc_id')} AS link FROM documents")
 def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of each page with the nearest link."""
-    return extract.listing_items(_pages(spark, sf_dir), "h3", "https://site.example", key="doc_id")
+    """The one wanted heading of each page with its nearest link, of all sorts: menu titles and classed headings dropped, then the limit."""
+    return extract.listing_items(_varied(spark, sf_dir), "h3", "https://site.example", limit=1, after=True, drop=("NEWS",), plain=True, key="doc_id")
+
 
+@query(f"SELECT doc_id, CAST(p AS INTEGER) AS pos, coalesce(t, 'Document ' || doc_id) AS title, CASE WHEN p = 2 THEN {_in_turn_sql(_LINKED, 'doc_id')} WHEN doc_id % 5 = 1 AND p = 1 THEN 'https://other.example/' || doc_id ELSE '' END AS link FROM documents, (VALUES (0, 'News'), (1, 'Most read'), (2, NULL)) v(p, t)")
+def listing_limit_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three headings of each page, whatever they are: the limit comes before the filters."""
+    return extract.listing_items(_varied(spark, sf_dir), "h3", "https://site.example", limit=3, key="doc_id")
 
-@query("SELECT doc_id, 'https://site.example/img/photo-' || doc_id || '.jpg' AS page_image FROM documents")
+
+@query(f"SELECT doc_id, {_in_turn_sql(_PICTURED, 'doc_id', '.jpg')} AS page_image FROM documents")
 def hero_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's image, decoration left out."""
-    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["article"]).select("doc_id", "page_image")
+    """Each page's image: declared, plain, lazy or of a set, decoration left out."""
+    return extract.page_facts(_varied(spark, sf_dir), "https://site.example", [], facts=("page_image",)).select("doc_id", "page_image")
 
 
-@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents)
-SELECT doc_id, coalesce(array_to_string(ps[1:3], '. ')[1:400], '') AS page_summary FROM p""")
-def page_paragraph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first paragraphs of each page's article."""
-    body = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.substring(F.array_join(F.slice(paragraphs, 1, 3), ". "), 1, 400), F.lit("")).alias("page_summary"))
+_STRIPPED = r"regexp_replace(x, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g')"
+_PARAGRAPHS_SQL = rf"list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)), lambda x: {_STRIPPED}), lambda x: x <> '')"
 
 
-@query()
-def page_lead_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same read off the page's tree."""
-    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["div.detail", "article"]).select("doc_id", "page_summary")
+@query(f"WITH p AS (SELECT doc_id, {_PARAGRAPHS_SQL} AS ps FROM documents) SELECT doc_id, coalesce(array_to_string(ps[1:3], '. ')[1:400], '') AS page_summary FROM p")
+def page_paragraph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first paragraphs of each page's article, read off its tree; the first selector matches nothing."""
+    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["div.detail", "article"], facts=("page_summary",)).select("doc_id", "page_summary")
 
 
-@query()
+@query(rf"WITH p AS (SELECT doc_id, list_transform({_PARAGRAPHS_SQL}, lambda x: regexp_replace(x, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g')) AS ps FROM documents) SELECT doc_id, CASE WHEN len(ps) > 0 THEN array_to_string(ps, chr(10) || chr(10)) ELSE 'Document ' || doc_id END AS page_text FROM p")
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's main text by density."""
-    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", ["article"]).select("doc_id", "page_text")
+    """Each page's main text by density; a page without any gives what it shows outside its menu."""
+    return extract.page_facts(_pages(spark, sf_dir), "https://site.example", [], facts=("page_text",)).select("doc_id", "page_text")
+
+
+@query(f"WITH p AS (SELECT doc_id, url, {_PARAGRAPHS_SQL} AS ps FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 0 THEN '' ELSE coalesce(array_to_string(ps[1:3], '. ')[1:400], '') END AS page_summary, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 0 THEN '' ELSE 'https://site.example/img/photo-' || doc_id || '.jpg' END AS page_image FROM p")
+def article_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched and read in one pass; every third fetch fails, and every fourth address is no web address. The page travels as the address."""
+
+    def fetch(url: str) -> str:
+        if url.startswith("http://fails"):
+            raise OSError
+        return url.split("?", 1)[1]
+
+    page = F.concat(F.when(F.col("doc_id") % 3 == 0, "http://fails?").when(F.col("doc_id") % 4 == 0, "ftp://x?").otherwise("http://x?"), "html")
+    asked = _pages(spark, sf_dir).select("doc_id", page.alias("url"))
+    read = extract.article_reads(asked.select("url"), fetch, "https://site.example", ["article"])
+    return asked.join(read.distinct(), "url").select("doc_id", "page_summary", "page_image")
 
 
 @query("SELECT doc_id, CASE WHEN url LIKE 'http%' THEN url ELSE 'https://site.example' || url END AS url FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN url ELSE '/doc/' || doc_id END AS url FROM documents)")
@@ -339,25 +421,34 @@ def link_absolutise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEED_TITLE = r"trim(regexp_replace(regexp_replace(replace(coalesce(title, ''), '&', '+'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]', '', 'g'), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g'))"
 
 
-@query(rf"SELECT ingest_seq, CAST(0 AS INTEGER) AS pos, {_FEED_TITLE} AS title, coalesce(url, '') AS url, 'https://img.site.example/' || ingest_seq || '.jpg' AS image_url FROM articles WHERE {_FEED_TITLE} <> ''")
+@query(rf"""WITH n AS (SELECT *, ingest_seq // 12 AS feed, row_number() OVER (PARTITION BY ingest_seq // 12 ORDER BY ingest_seq) - 1 AS pos FROM articles)
+SELECT feed, CAST(pos AS INTEGER) AS pos, {_FEED_TITLE} AS title, coalesce(url, '') AS url, CASE ingest_seq % 5 WHEN 0 THEN 'https://m.example/' WHEN 1 THEN 'https://e.example/' WHEN 2 THEN 'https://d.example/' WHEN 3 THEN 'https://site.example/body/' ELSE 'https://p.example/' END || ingest_seq || '.jpg' AS image_url
+FROM n WHERE pos < 10 AND {_FEED_TITLE} <> ''""")
 def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles rendered as feeds with junk after the end, read back."""
+    """Articles as feeds of up to twelve items with junk after the end, read back: the first ten, the image from media, enclosure, description, encoded body or page."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("+")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", ""), r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
-    item = lambda tag, c: F.concat(F.lit(f"<{tag}>"), text.escape_html(c), F.lit(f"</{tag}>"))
-    picture = F.concat(F.lit("<description>&lt;p&gt;x&lt;img src='https://img.site.example/"), F.col("ingest_seq").cast("string"), F.lit(".jpg'&gt;&lt;/p&gt;</description>"))
-    xml = F.concat(F.lit("<rss><channel><item>"), item("title", plain), item("link", F.coalesce("url", F.lit(""))), picture, F.lit("</item></channel></rss>junk<"))
-    items = extract.feed_items(table(spark, sf_dir, "articles").select("ingest_seq", xml.alias("xml")), key="ingest_seq")
-    return extract.feed_articles(items.withColumnRenamed("ingest_seq", "source")).select(F.col("source").alias("ingest_seq"), "pos", "title", "url", "image_url")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), text.escape_html(c), F.lit(f"</{name}>"))
+    picture = [
+        "<media:content url='https://m.example/#.jpg'/><enclosure url='https://e.example/no.jpg'/>", "<enclosure url='https://e.example/#.jpg'/><description>&lt;img src='https://d.example/no.jpg'&gt;</description>",
+        "<description>&lt;p&gt;x&lt;img src='/icon.png'&gt;&lt;img src='https://d.example/#.jpg'&gt;&lt;/p&gt;</description>", "<description>&lt;img src='/logo-wide.png'&gt;</description><content:encoded><![CDATA[<p><img data-src='/body/#.jpg'></p>]]></content:encoded>", "<description>none</description>",
+    ]
+    item = F.concat(F.lit("<item>"), tag("title", plain), tag("link", F.coalesce("url", F.lit(""))), _in_turn(picture, "ingest_seq"), F.lit("</item>"))
+    # a feed is at most twelve items, so its group is bounded
+    feeds = table(spark, sf_dir, "articles").groupBy(F.floor(F.col("ingest_seq") / 12).alias("feed")).agg(F.sort_array(F.collect_list(F.struct("ingest_seq", item.alias("xml")))).alias("x"))
+    head = "<rss xmlns:media='http://search.yahoo.com/mrss/' xmlns:content='http://purl.org/rss/1.0/modules/content/'><channel>"
+    xml = F.concat(F.lit(head), F.array_join(F.col("x.xml"), ""), F.lit("</channel></rss>junk<"))
+    items = extract.feed_items(feeds.select("feed", xml.alias("xml")), key="feed", base="https://site.example")
+    items = items.join(feeds.select("feed", "x.ingest_seq"), "feed").withColumn("seq", F.col("ingest_seq")[F.col("pos")]).withColumnRenamed("feed", "source")
+    page = F.concat(F.lit("https://p.example/"), F.col("seq").cast("string"), F.lit(".jpg"))
+    return extract.feed_articles(items, page).select(F.col("source").alias("feed"), "pos", "title", "url", "image_url")
 
 
 @query(r"""SELECT ingest_seq, regexp_replace(coalesce(title, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title,
-CASE WHEN coalesce(summary, '') = '' THEN '(ไม่มีเนื้อหา)' ELSE regexp_replace(summary, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS summary, '2025-07-01 12:00:00' AS fetched_at FROM incoming""")
+CASE WHEN coalesce(summary, '') = '' THEN '(ไม่มีเนื้อหา)' ELSE regexp_replace(summary, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS summary, source, url, coalesce(image_url, '') AS image_url, '2025-07-01 12:00:00' AS fetched_at FROM incoming""")
 def article_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming rows in the store's shape."""
-    own = table(spark, sf_dir, "incoming").select(
-        "ingest_seq", text.strip(F.coalesce("title", F.lit(""))).alias("title"), text.or_placeholder(F.col("summary")).alias("summary"), F.date_format(F.expr(CLOCK), "yyyy-MM-dd HH:mm:ss").alias("fetched_at")
-    )
-    return own
+    own = table(spark, sf_dir, "incoming").withColumn("title", F.coalesce("title", F.lit("")))
+    return extract.built(own, F.expr(CLOCK), "ingest_seq")
 
 
 _ROWS_SQL = _CLASSES_SQL.replace("FROM articles", "FROM incoming")
@@ -420,27 +511,31 @@ def crop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.crop_words(F.col("text")).alias("cropped"))
 
 
-@query(f"""SELECT summary_id, CASE WHEN category NOT IN ({_VALID}) OR sentiment NOT IN ('positive', 'neutral', 'negative') THEN NULL ELSE title END AS title, NOT coalesce(category NOT IN ({_VALID}) OR sentiment NOT IN ('positive', 'neutral', 'negative'), false)
-AND bullets IS NOT NULL AND keywords IS NOT NULL AS valid FROM (SELECT * REPLACE (CASE WHEN bullets IS NULL OR keywords IS NULL THEN NULL ELSE title END AS title) FROM summaries)""")
+_ANSWER = ("title", "source_url", "published_at", "language", "summary", "bullets", "category", "sentiment", "keywords")
+
+
+@query(f"""WITH v AS (SELECT *, NOT coalesce(category NOT IN ({_VALID}) OR sentiment NOT IN ('positive', 'neutral', 'negative'), false) AND bullets IS NOT NULL AND keywords IS NOT NULL AS valid FROM summaries)
+SELECT summary_id, valid, {", ".join(f"CASE WHEN valid THEN {c} END AS {c}" for c in _ANSWER)} FROM v""")
 def strip_fences_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries written as fenced JSON answers, parsed and validated again."""
-    fields = F.struct("title", "source_url", "published_at", "language", "summary", "bullets", "category", "sentiment", "keywords")
-    raw = F.concat(F.lit("```json\n"), F.to_json(fields, {"ignoreNullFields": "false"}), F.lit("\n```"))
+    """Summaries written as fenced JSON answers, parsed and validated again, all nine fields."""
+    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(*_ANSWER), {"ignoreNullFields": "false"}), F.lit("\n```"))
     own = table(spark, sf_dir, "summaries").select("summary_id", collect.parsed_answer(raw).alias("s"))
-    return own.select("summary_id", F.col("s.title").alias("title"), F.col("s").isNotNull().alias("valid"))
+    return own.select("summary_id", F.col("s").isNotNull().alias("valid"), *[F.col(f"s.{c}").alias(c) for c in _ANSWER])
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 422 WHEN doc_id % 5 = 0 THEN 500 ELSE 200 END::INTEGER AS status, CASE WHEN coalesce(text, '') <> '' AND doc_id % 5 <> 0 THEN length(CASE WHEN length(text) > 4000 THEN text[1:4000] || chr(10) || chr(10) || '...[Content Truncated]...' ELSE text END) END::BIGINT AS n_chars FROM documents")
 def summarise_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents through gate, model and validation, with a deterministic stand-in for the model."""
+    """Documents through gate, model and validation, with a deterministic stand-in for the model that says how long its prompt is; every fifth answer is no JSON."""
 
     def client(prompt: str) -> str:
         import json
 
-        return "```json\n" + json.dumps({"title": prompt[:60], "category": "world", "sentiment": "neutral", "bullets": [], "keywords": []}) + "\n```"
+        return "```json\n" + json.dumps({"title": str(len(prompt)), "category": "world", "sentiment": "neutral"}) + "\n```"
 
-    captures = table(spark, sf_dir, "documents").select("url", F.col("text").alias("md"), F.lit("given").alias("method"))
-    return collect.summarised(captures, client).groupBy("status").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    answered = lambda part, ask: collect.summarised(part.select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("md"), F.lit("given").alias("method")), ask)
+    out = answered(docs.where("doc_id % 5 <> 0"), client).unionByName(answered(docs.where("doc_id % 5 = 0"), lambda prompt: "no answer"))
+    return out.select(F.col("url").cast("bigint").alias("doc_id"), F.col("status").cast("int").alias("status"), F.col("summary.title").cast("bigint").alias("n_chars"))
 
 
 @query("SELECT summary_id, CASE WHEN contains(lower(sentiment), 'positive') THEN 'positive' WHEN contains(lower(sentiment), 'negative') THEN 'negative' ELSE 'neutral' END AS shown FROM summaries")
@@ -461,15 +556,15 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT ingest_seq FROM (SELECT *, rank() OVER (PARTITION BY batch_no, url ORDER BY source_ord) AS r, min(batch_no) OVER (PARTITION BY url) AS first_batch FROM incoming WHERE url <> '') WHERE batch_no = first_batch AND r = 1""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``incoming`` as a stream of its twelve batches, each against the addresses seen before."""
+    """``incoming`` as a file stream: its twelve batches arrive one after the other, and the stream takes each up where the last run ended."""
     from tidewrack.streaming.ingest import Ingest
 
     path = scratch(spark, "ingest")
-    sink = Ingest(spark, path)
-    rows = table(spark, sf_dir, "incoming")
+    sink, rows = Ingest(spark, f"{path}/store"), table(spark, sf_dir, "incoming")
     for r in sorted(x["batch_no"] for x in rows.select("batch_no").distinct().collect()):
-        sink.batch(rows.where(F.col("batch_no") == r), r)
-    return spark.read.schema(rows.schema).parquet(f"{path}/articles").select("ingest_seq")
+        rows.where(F.col("batch_no") == r).write.mode("append").parquet(f"{path}/arrivals")
+        sink.start(spark.readStream.schema(rows.schema).parquet(f"{path}/arrivals"), f"{path}/offsets", None).awaitTermination()
+    return sink.stored("ingest_seq bigint")
 
 
 @query("SELECT CAST(vec_id AS BIGINT) AS vec_id, round(max(p), 6) AS confidence FROM (SELECT vec_id, exp(x - max(x) OVER (PARTITION BY vec_id)) / sum(exp(x)) OVER (PARTITION BY vec_id) * exp(max(x) OVER (PARTITION BY vec_id)) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)) GROUP BY 1")
@@ -479,12 +574,24 @@ def softmax_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.round(F.array_max(tok.softmax(values)), 6).alias("confidence"))
 
 
-@query("SELECT count(*) AS total, '15 minutes' AS every, '2025-07-01 12:00:00' AS now, (SELECT bool_and(url IS NOT NULL) FROM sources) AS ready FROM articles")
+@query("""WITH v AS (SELECT vec_id, embedding AS e, embedding[1] AS x FROM embeddings), p AS (SELECT vec_id, x, list_position(e, list_max(e)) - 1 AS k, 1 / list_sum(list_transform(e, lambda y: exp(y::DOUBLE - list_max(e)::DOUBLE))) AS share FROM v)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, 'c' || k AS label, round(share, 6) AS confidence, CASE WHEN x > 0 THEN 'yes' ELSE 'no' END AS binary_label, round(1 / (1 + exp(-abs(x::DOUBLE))), 6) AS binary_confidence, 0.6::DOUBLE AS unscored FROM p""")
+def model_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and confidences from a model's decision values, from a single one, and from a model without any."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    size = own.select(F.max(F.size("e"))).first()[0] or 0
+    many, one, none = model.judged(F.col("e"), [f"c{k}" for k in range(size)], "decision"), model.judged(F.col("e")[0], ["no", "yes"], "binary"), model.judged(F.lit("x"), [], "label")
+    own = own.select("vec_id", many.alias("m"), one.alias("o"), none.alias("n"))
+    return own.select("vec_id", "m.label", F.round("m.confidence", 6).alias("confidence"), F.col("o.label").alias("binary_label"), F.round("o.confidence", 6).alias("binary_confidence"), F.col("n.confidence").cast("double").alias("unscored"))
+
+
+@query("SELECT count(*) AS total, '15 minutes' AS every, '2025-07-01 12:00:00' AS now, CASE WHEN (SELECT bool_and(regexp_matches(url, '^[A-Za-z]+://[^/?#]+')) FROM sources) THEN 'ready' ELSE 'not_ready' END AS ready FROM articles")
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row about the store: rows, interval, clock, readiness of all parts."""
-    ready = table(spark, sf_dir, "sources").agg(F.bool_and(F.col("url").isNotNull()).alias("ready"))
+    """One row about the store: rows, interval, clock, readiness of its folder and of each source's health address."""
+    parts = table(spark, sf_dir, "sources").select("name", "url")
+    ready = health.readiness(health.storage(spark, checkpoint_dir(spark)), health.services(parts, lambda url: 200 if url.endswith("/healthz") else 404))
     total = table(spark, sf_dir, "articles").agg(F.count("*").alias("total"))
-    return total.crossJoin(F.broadcast(ready)).select("total", text.minutes_label(F.lit(15)).alias("every"), F.date_format(F.expr(CLOCK), "yyyy-MM-dd HH:mm:ss").alias("now"), "ready")
+    return total.crossJoin(F.broadcast(ready)).select("total", text.minutes_label(F.lit(15)).alias("every"), F.date_format(F.expr(CLOCK), "yyyy-MM-dd HH:mm:ss").alias("now"), F.col("status").alias("ready"))
 
 
 @query("""WITH e AS (SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2)

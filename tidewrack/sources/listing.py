@@ -7,12 +7,10 @@ whose fetch fails yields a row with ``error`` instead of ending the cycle.
 from __future__ import annotations
 
 import importlib
-import xml.etree.ElementTree as ET
-from html import unescape
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidewrack.functions import markup
+from tidewrack.functions import feeds, markup
 
 
 def read_file(address: str) -> str:
@@ -53,28 +51,25 @@ class _Reader(DataSourceReader):
 
 class _Headings(_Reader):
     def rows(self, partition, text):
-        limit, base = int(self.options.get("limit", "10")), self.options.get("base", "")
-        heads = [x for x in markup.parse(text).walk() if isinstance(x, markup.Node) and x.matches(self.options.get("selector", "h3"))]
-        for pos, h in enumerate(heads[:limit]):
-            if title := h.text().strip():
-                yield (partition.ordinal, partition.source, pos, title, markup.nearest_link(h, base), "", "", None)
+        flag = lambda name: self.options.get(name, "false").lower() == "true"
+        drop = frozenset(d.strip().upper() for d in self.options.get("drop", "").split("|") if d.strip())
+        found = markup.headings(markup.parse(text), self.options.get("selector", "h3"), self.options.get("base", ""), int(self.options.get("limit", "10")), flag("after"), drop, flag("plain"))
+        for pos, title, link in found:
+            yield (partition.ordinal, partition.source, pos, title, link, "", "", None)
 
 
 class _Items(_Reader):
     def rows(self, partition, text):
-        cut = text.lower().rfind("</rss>")
-        root = ET.fromstring(text if cut < 0 else text[: cut + 6])
-        for pos, item in enumerate(root.iterfind(".//item")):
-            if pos >= int(self.options.get("limit", "10")):
-                break
-            if title := unescape((item.findtext("title") or "").strip()):
-                media, enclosure = item.find("{http://search.yahoo.com/mrss/}content"), item.find("enclosure")
-                image = (media.get("url", "") if media is not None else "") or (enclosure.get("url", "") if enclosure is not None else "")
-                yield (partition.ordinal, partition.source, pos, title, (item.findtext("link") or "").strip(), item.findtext("description") or "", image, None)
+        base = self.options.get("base", "")
+        for x in feeds.items(text, int(self.options.get("limit", "10"))):
+            if x.title:
+                within = (markup.hero_image(markup.parse(h), base) for h in (x.description, x.encoded) if h)
+                image = x.media_url or x.enclosure_url or next(filter(None, within), "")
+                yield (partition.ordinal, partition.source, x.pos, x.title, x.link, x.description, image, None)
 
 
 class ListingSource(DataSource):
-    """``spark.read.format("html_listing")``; options ``path``, ``sources``, ``selector``, ``base``, ``limit``, ``fetcher``."""
+    """``spark.read.format("html_listing")``; options ``path``, ``sources``, ``selector``, ``base``, ``limit``, ``after``, ``drop`` (titles, with ``|`` between), ``plain``, ``fetcher``."""
 
     @classmethod
     def name(cls):

@@ -3,26 +3,41 @@
 from __future__ import annotations
 
 import os
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.schema import CLOCK, STORE_DOCUMENT
+from tidewrack.operators.dedupe import unseen
+from tidewrack.runtime import exists
+from tidewrack.schema import CLOCK, STORE_DOCUMENT, STORED_ARTICLE
+
+
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    """The store's document; a missing one is empty, a corrupt one an error, never an empty store."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], STORE_DOCUMENT)
+    return spark.read.schema(STORE_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """One row per stored article with its place ``ingest_seq``. A missing document is empty; a corrupt one is an error, never an empty store."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], STORE_DOCUMENT).select(F.posexplode("articles").alias("ingest_seq", "a")).select(F.col("ingest_seq").cast("bigint"), "a.*")
-    doc = spark.read.schema(STORE_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return doc.select(F.posexplode("articles").alias("ingest_seq", "a")).select(F.col("ingest_seq").cast("bigint"), "a.*")
+    """One row per stored article with its place ``ingest_seq``."""
+    return _document(spark, path).select(F.posexplode("articles").alias("ingest_seq", "a")).select(F.col("ingest_seq").cast("bigint"), "a.*")
 
 
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.schema(STORE_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return doc.select(F.explode("seen_urls").alias("url")).where("url is not null").distinct()
+    """``(url)``: the distinct seen addresses of the document; none where it is missing."""
+    return _document(spark, path).select(F.explode("seen_urls").alias("url")).where("url is not null").distinct()
+
+
+class Repository(Protocol):
+    """What operators ask of a store, so that another one can take its place."""
+
+    def articles(self) -> DataFrame: ...
+
+    def seen(self) -> DataFrame: ...
+
+    def append(self, batch: DataFrame) -> None: ...
 
 
 class Store:
@@ -32,9 +47,7 @@ class Store:
         self.spark, self.path = spark, path
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
@@ -45,8 +58,14 @@ class Store:
         return self._read("seen_urls", "url string")
 
     def append(self, batch: DataFrame) -> None:
+        """Adds articles, and those of their addresses that aren't among the seen ones yet."""
         batch.select(*self.articles().columns).write.mode("append").parquet(f"{self.path}/articles")
-        batch.select("url").where("url <> ''").distinct().write.mode("append").parquet(f"{self.path}/seen_urls")
+        unseen(batch.select("url"), self.seen()).distinct().write.mode("append").parquet(f"{self.path}/seen_urls")
+
+    def export(self, path: str) -> None:
+        """The store as JSON lines in UTF-8, nulls written out: ``articles/`` in the article's shape and ``seen_urls/``. Spark commits each folder as a whole."""
+        self.articles().select(*STORED_ARTICLE.names).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/articles")
+        self.seen().distinct().write.mode("overwrite").json(f"{path}/seen_urls")
 
     def totals(self, clock) -> DataFrame:
         """One row ``(total_articles, last_updated)``."""
