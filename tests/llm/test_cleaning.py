@@ -103,9 +103,9 @@ def test_repeated_lines_against_brute_force(spark):
     assert L.repeated_lines(df.limit(0)).count() == 0 and L.strip_lines(df.limit(0)).count() == 0
 
 
-def test_tree_merges_across_flushes(monkeypatch):
+def test_counts_merge_across_flushes(monkeypatch):
     monkeypatch.setattr(L, "FLUSH_LEAVES", 3)
-    batch = L._grow()
+    batch = L._grow()()
     n = {}
     for part in (batch(["A"] * 4, ["one\ntwo", "one", "three\nfour\none", None]), batch(["A"], ["one"]), batch.close()):
         for k, v in zip(part["leaf"], part["n"]):
@@ -113,6 +113,38 @@ def test_tree_merges_across_flushes(monkeypatch):
     assert n[L._name("one")] == 4
 
 
+def test_token_tree():
+    tree = L.TokenTree()
+    for line in ("Reporting by Ana Lim for Delta Wire", "Reporting by Bo Kelm for Delta Wire", "Reporting by Cy Dorn Lee for Delta Wire", "Shared 15 times", "shared 7 TIMES!"):
+        tree.add(L.tokens(line))
+    got = {L.shown(k): n for k, n in tree.leaves()}
+    assert got == {"reporting by <*> <*> for delta wire": 2, "reporting by cy dorn lee for delta wire": 1, "shared <#> times": 2}
+
+
+def test_bylines_with_changing_names_are_one_template(spark, monkeypatch):
+    """In several tasks, with early flushes, some of which saw one name only; brute force counts the rows."""
+    names = [f"{a} {b}" for a in ("Ana", "Bo", "Cy", "Dee", "Eli") for b in ("Lim", "Kelm", "Dorn", "Brask")]
+    rnd = random.Random(3)
+    rows = []
+    for k in range(600):
+        s = rnd.choice(["A"] * 4 + ["B", "", None])
+        lines = [f"body {' '.join(rnd.choice('abcdefghijklmnop') * 3 for _ in range(rnd.randint(4, 9)))} {rnd.random()}"] + ([f"Reporting by {rnd.choice(names)} for Delta Wire"] if rnd.random() < 0.3 else []) + (["Share this 5 times"] if rnd.random() < 0.2 else [])
+        if k % 40 == 0:
+            lines += [f"Reporting by {n} for Delta Wire" for n in names[:2]]
+        rows.append((k, s, "\n".join(lines) if k % 97 else None))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "ingest_seq bigint, source string, summary string, n string").repartition(7)
+    want = {}
+    for s in ("A", "B"):
+        texts = [t or "" for _, x, t in rows if x == s]
+        for start, name in (("Reporting by", "reporting by <*> <*> for delta wire"), ("Share this", "share this <#> times")):
+            want[s, name] = sum(any(x.startswith(start) for x in t.split("\n")) for t in texts)
+    for group in (512, 2):
+        monkeypatch.setattr(L, "FLUSH_GROUP", group)
+        got = {(r.source, r.template): r.n for r in L.learned_templates(df, min_share=0.1).collect()}
+        assert {k: n for k, n in got.items() if not k[1].startswith("body")} == want
+    assert L.learned_templates(df.limit(0)).count() == 0
+
+
 def test_subjects(spark):
     rnd = random.Random(2)
     topics = {"sports": ["head coach", "relay team", "boxing bout", "league table", "penalty kick", "city marathon"], "health": ["flu season", "hospital beds", "vaccine drive", "nursing rota", "dengue cases", "outpatient clinic"]}

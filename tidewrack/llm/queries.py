@@ -93,6 +93,12 @@ def p6_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.strip_lines(table(spark, sf_dir, "articles").select("ingest_seq", "source", "summary"))
 
 
+@query
+def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a source repeats with other names or words in some places, as templates with slots, and how many rows hold one."""
+    return line_templates.learned_templates(table(spark, sf_dir, "articles"))
+
+
 def _boundaries(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, DataFrame, str]], sentences.BoundaryModel]:
     """The tables with sentences, and a boundary model fitted to both."""
     tables = [("articles", table(spark, sf_dir, "articles"), "ingest_seq"), ("summaries", table(spark, sf_dir, "summaries"), "summary_id")]
