@@ -159,3 +159,22 @@ totals AS (SELECT source, count(*) AS c FROM articles GROUP BY source)
 SELECT DISTINCT keyed.ingest_seq, CAST(keyed.line_no AS INTEGER) AS line_no
 FROM keyed JOIN kept USING (source, k) JOIN totals USING (source)
 WHERE n >= 5 AND n >= 0.03 * c"""
+
+ORACLE["p6_stripped"] = f"""
+WITH found AS ({ORACLE["p6_found"]}),
+split AS (SELECT ingest_seq, unnest(string_split(summary, chr(10))) AS line, generate_subscripts(string_split(summary, chr(10)), 1) - 1 AS line_no FROM articles),
+kept AS (SELECT s.ingest_seq, string_agg(s.line, chr(10) ORDER BY s.line_no) AS summary FROM split s LEFT JOIN found f ON f.ingest_seq = s.ingest_seq AND f.line_no = s.line_no WHERE f.ingest_seq IS NULL GROUP BY 1)
+SELECT a.ingest_seq, a.source, CASE WHEN a.summary IS NOT NULL THEN coalesce(k.summary, '') END AS summary FROM articles a LEFT JOIN kept k USING (ingest_seq)"""
+
+# windows of 200 characters by their hashes; shared ones are those of more than one document
+_WINDOWS = """
+WITH w AS (SELECT doc_id, i, hash(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+hot AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, i, h FROM w SEMI JOIN hot USING (h))"""
+
+ORACLE["p10_found"] = f"""{_WINDOWS}, d AS (SELECT DISTINCT doc_id, h FROM s)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+ORACLE["p10_share"] = f"""{_WINDOWS}, d AS (SELECT DISTINCT doc_id, h FROM s),
+p AS (SELECT DISTINCT a.doc_id, b.doc_id AS other FROM d a JOIN d b ON a.h = b.h AND a.doc_id <> b.doc_id), n AS (SELECT doc_id, count(*) AS n_others FROM p GROUP BY 1),
+c AS (SELECT doc_id, CAST(sum(least(200, i - coalesce(before, -1000))) AS BIGINT) AS shared_chars FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s) GROUP BY 1)
+SELECT c.doc_id AS doc, n_others, shared_chars, shared_chars / length(text) AS share FROM c JOIN n USING (doc_id) JOIN documents USING (doc_id)"""

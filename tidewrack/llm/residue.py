@@ -34,6 +34,7 @@ WINDOW, STEP, TOGETHER, COVER, PLAIN, WHOLE, CAP = 12, 4, 3, 0.55, 0.65, 0.8, 0.
 BUCKETS, KNOWN = 1 << 18, 300_000
 
 _TOKEN = re.compile(rf"\d+|[{THAI}]+|[{HAN}{KANA}ー]+|[^\W\d_]+")
+_DENSE = re.compile(f"[{THAI}{HAN}{KANA}]")
 #: Runs between brackets, and between equal marks.
 _BRACKETS = re.compile(r"([{][{%]*|[$#][{]|<%=?|<[?]=?|<<?|\[\[?|\(\(+)([^{}<>\[\]()%\n]{0,60}?)(\}\}+|[%]?\}|[%?]>|>>?|\]\]?|\)\)+)")
 _LONG = re.compile(r"(.)\1{3,}")
@@ -51,10 +52,13 @@ def exemplars() -> list[tuple[str, str, str]]:
 
 def tokens(text: str) -> list[str]:
     """Words, figures as one token; of Thai each three characters, of Chinese and Japanese each character and each pair; ``text`` must be clean."""
+    found = _TOKEN.findall(text)
+    if not _DENSE.search(text):
+        return [w if w > ":" else "#" for w in found]  # figures are 0-9 in a clean text
     out = []
-    for w in _TOKEN.findall(text):
+    for w in found:
         c = w[0]
-        if c.isdigit():
+        if c < ":":
             out.append("#")
         elif c < "฀" or c > "\u9fff":
             out.append(w)
@@ -100,6 +104,19 @@ def _bucket(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+class _Weights(dict):
+    """Weights of tokens, each worked out when it is first asked for; emptied when full."""
+
+    def __init__(self, df: np.ndarray, n: int) -> None:
+        self.df, self.n = df, n
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= KNOWN:
+            self.clear()
+        got = self[token] = math.log(1 + self.n / max(1 + int(self.df[_bucket(token)]), self.n * CAP))
+        return got
+
+
 class ExemplarIndex:
     """Token -> exemplars, with weights from the hashed document frequencies ``df`` among ``n`` fields; without these all tokens weigh alike."""
 
@@ -123,18 +140,10 @@ class ExemplarIndex:
             for w in own:
                 self.index.setdefault(w, []).append(len(self.kinds))
             self.kinds.append(kind)
-        self.weights: dict[str, float] = {}
+        self.weights = None if df is None else _Weights(df, self.n)
         #: What a token weighs that hardly any field holds; unknown without frequencies.
         self.most = math.inf if df is None else math.log(1 + 1 / max(CAP, 1 / self.n))
 
-    def weight(self, token: str) -> float:
-        got = self.weights.get(token)
-        if got is None:
-            if len(self.weights) >= KNOWN:
-                self.weights.clear()
-            got = self.weights[token] = 1.0 if self.df is None else math.log(1 + self.n / max(1 + int(self.df[_bucket(token)]), self.n * CAP))
-        return got
-
     def contained(self, words: list[str], weights: list[float]) -> tuple[float, str]:
         """The share of a window's weight that the exemplars retrieved for it contain together, and the kind of the best one."""
         total = sum(weights)
@@ -179,7 +188,13 @@ class ExemplarIndex:
         words = tokens(low)
         if not words:
             return None
-        weights = list(map(self.weight, words))
+        if self.weights is None:
+            # the share of known tokens, without their weights, is enough to pass over most fields
+            if sum(map(self.index.__contains__, words)) < self.cover * len(words):
+                return None
+            weights = [1.0] * len(words)
+        else:
+            weights = list(map(self.weights.__getitem__, words))
         total = sum(weights)
         if len(words) >= 4 and self._invented(words, weights, total):
             return "residue"

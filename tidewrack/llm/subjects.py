@@ -6,7 +6,7 @@ for all phrases: at once, or, beyond ``BLOCK`` phrases, block by block, with the
 
 Graph: documents are linked by the phrases they share, written as edges ``(doc, phrase, n)``, so two documents are similar as far as
 the weights of their common phrases go, and no pair is ever listed. Verified links are those through phrases whose documents agree on
-a subject; names and places, whose documents don't, carry nothing. Labels spread from documents to phrases and back by joins, a few rounds.
+a subject; names and places, whose documents don't, carry nothing. Labels spread from documents to phrases and back by joins, until they stop changing.
 Lexicon phrases and hand labels that the text bears out, or says nothing about, are clamped and stand in the result.
 
 A document keeps every subject with a share of its mentions that is no passing mention; mentions in the title weigh more.
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import residue
 from tidewrack.llm.common import HAN, KANA, PLACEHOLDER, THAI, map_rows, nfkc, per_partition
-from tidewrack.runtime import cut, scratch, small
+from tidewrack.runtime import cut, small
 
 #: Most keywords of a lexicon; rounds of propagation; weight of a mention in the title.
-KEYWORDS, ROUNDS, TITLE = 6_000, 3, 2.0
+KEYWORDS, ROUNDS, TITLE = 6_000, 25, 2.0
+#: Change of a label's share up to which it counts as settled; share of the labels that may still move when propagation ends.
+STILL, MOVING = 0.02, 0.001
 #: Frames or phrases, about, that a task looks for at once; counts that it holds before it hands them on.
 BLOCK, FLUSH = 50_000, 200_000
 
@@ -315,18 +317,20 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
 
     ``fixed(phrase, subject)`` and ``hand(doc, subject)`` are the seeds, subjects by number. Labels go from phrases to documents, which are
     normalised, and back; a phrase whose documents agree less than ``least`` carries none. A hand label is trusted, and clamped, where the
-    document's phrases give its subject at least ``bear``, or nothing at all.
+    document's phrases give its subject at least ``bear``, or nothing at all. Rounds go on until no more than ``MOVING`` of the labels change by over
+    ``STILL``; after ``rounds`` that is an error.
     """
     w, p, h = _marks("w"), _marks("p"), _marks("h")
     clamp = fixed.groupBy("phrase").agg(*[F.max((F.col("subject") == k).cast("double")).alias(f"c{k}") for k in range(len(SUBJECTS))])
     labels = clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))])
-    flags = hand.groupBy("doc").agg(*[F.max((F.col("subject") == k).cast("double")).alias(x) for k, x in enumerate(h)])
+    # documents without a phrase don't matter here
+    flags = small(cut(hand.groupBy("doc").agg(*[F.max((F.col("subject") == k).cast("double")).alias(x) for k, x in enumerate(h)])))
     for _ in range(rounds):
         mention = F.col("title") * TITLE + F.col("n")
         docs = edges.join(small(labels), "phrase").groupBy("doc").agg(*[F.sum(mention * F.col(x)).alias(p[k]) for k, x in enumerate(w)])
         total = sum((F.col(x) for x in p[1:]), F.col(p[0]))
         docs = docs.select("doc", *[F.when(total > 0, F.col(x) / total).otherwise(0.0).alias(x) for x in p])
-        docs = docs.join(flags, "doc", "full")
+        docs = docs.join(flags, "doc", "left")
         borne = [F.coalesce(F.col(h[k]), F.lit(0.0)) * (F.coalesce(F.col(p[k]), F.lit(1.0)) >= bear).cast("double") for k in range(len(SUBJECTS))]
         trusted = sum(borne[1:], borne[0])
         docs = docs.select("doc", *[F.when(trusted > 0, borne[k] / trusted).otherwise(F.coalesce(F.col(p[k]), F.lit(0.0))).alias(p[k]) for k in range(len(SUBJECTS))])
@@ -335,8 +339,14 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
         shares = sums.withColumn("_n", n).where("_n > 0").select("phrase", *[(F.col(x) / F.col("_n")).alias(x) for x in p])
         cubes = sum((F.pow(F.col(x), 3) for x in p[1:]), F.pow(F.col(p[0]), 3))
         free = shares.where(F.greatest(*p) > least).select("phrase", *[(F.pow(F.col(p[k]), 3) / cubes).alias(w[k]) for k in range(len(SUBJECTS))]).join(clamp.select("phrase"), "phrase", "left_anti")
-        labels = cut(clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))]).unionByName(free))
-    return labels
+        new = cut(clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))]).unionByName(free))
+        before = labels.select("phrase", *[F.col(x).alias(f"_{x}") for x in w])
+        change = F.greatest(*[F.abs(F.coalesce(F.col(x), F.lit(0.0)) - F.coalesce(F.col(f"_{x}"), F.lit(0.0))) for x in w])
+        moved, n = new.join(before, "phrase", "full").agg(F.count_if(change > STILL), F.count("*")).first()
+        labels = new
+        if moved <= MOVING * n:
+            return labels
+    raise RuntimeError(f"{moved} of {n} labels still change after {rounds} rounds")
 
 
 def decide(edges: DataFrame, labels: DataFrame, alone: float = 0.28, beside: float = 0.45) -> DataFrame:
@@ -416,9 +426,9 @@ def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "
     blocks = [{**blocks[0], **blocks[1]}, *blocks[2:]] if len(blocks) > 1 else blocks
     fixed = spark.createDataFrame([(at[fold(k)], s) for k, s in words], "phrase int, subject int")
     marks = hand.select(F.col(row_id).cast("bigint").alias("doc"), *[F.col("subject")]).join(F.broadcast(spark.createDataFrame(list(number.items()), "subject string, k int")), "subject").select("doc", F.col("k").alias("subject"))
-    path = scratch(spark, "subject-edges")
-    document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source).write.parquet(path)
-    edges = spark.read.parquet(path)
+    # a document's edges lie together once and for all, so no round moves them: only the phrases' sums are shuffled
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = cut(document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source).repartition(parts, "doc"))
     labels = propagate(edges, fixed, marks)
     rows = df.select(F.col(row_id).cast("bigint").alias("doc"), title, text, source)
     every = decide(edges, labels).withColumn("_seed", F.lit(0)).unionByName(seeds(rows, edges, labels, marks).withColumn("_seed", F.lit(1)))
