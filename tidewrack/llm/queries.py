@@ -142,8 +142,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document with shared passages, how many others it shares them with and how much of it is shared."""
-    docs = table(spark, sf_dir, "documents")
-    return shared_spans.shared_share(docs, shared_spans.shared_pairs(docs))
+    return shared_spans.shared_share(table(spark, sf_dir, "documents"))
 
 
 ORACLE["p6_found"] = r"""

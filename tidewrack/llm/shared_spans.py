@@ -1,8 +1,10 @@
 """Problem 10: spans of at least a given length that stand, character for character, in more than one document.
 
 The index is log-structured. Every batch of documents becomes an immutable run of window hashes, written sorted by hash and split by
-hash range. A new batch is merge-joined with the older runs on the hash, candidates are verified on the texts, and runs of like size
-are compacted, so the history is never fingerprinted again.
+hash into buckets. A new batch is merge-joined with the older runs on the hash, candidates are verified on the texts, and runs of like size
+are compacted, so the history is never fingerprinted again, and its hashes are read in order without an exchange. A manifest names the runs that
+are whole; an index that was left is opened again at its path. Texts that were met before, in the history or the batch, are found by their own hash first
+and stand under the first document that had them.
 
 Windows are chosen by winnowing: of each ``span - window + 1`` consecutive windows the one with the least hash is kept, so two
 documents with a common run of ``span`` characters have a kept window of that run in common. Nothing is dropped: a hash that many documents
@@ -14,6 +16,7 @@ and other texts count as one document; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
+import json
 import os
 from functools import reduce
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import map_rows
-from tidewrack.runtime import cut, scratch, small
+from tidewrack.runtime import cut, exists, get, put, remove, scratch, small
 
 SPAN, WINDOW = 200, 120
 #: Documents that share a window from which its surroundings are compared before documents are paired.
@@ -165,39 +168,88 @@ def _verify(span: int):
 
 
 class SpanIndex:
-    """Runs of ``(fp, doc)`` under ``path``; ``levels`` maps a run to its level. Runs are written once and never changed.
+    """Runs of ``(fp, doc)`` and of ``(name, rep)``, the texts' own hashes, under ``path``. Runs are written once and never changed.
 
-    ``path`` must be shared by all executors; by default it lies below the checkpoint folder.
+    ``path`` must be shared by all executors; by default it lies below the checkpoint folder. What the manifest doesn't name, such as the run of
+    a batch that broke off, is never read. Catalogue entries are the session's own and made when a run is read; :meth:`close` drops them.
     """
 
     FANOUT = 4
+    KINDS = {"spans": "fp BIGINT, doc BIGINT", "names": "name BINARY, rep BIGINT"}
 
     def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, window: int = WINDOW) -> None:
         self.spark, self.span, self.window = spark, span, window
         self.path = path or scratch(spark, "spans")
-        self.runs: list[tuple[int, str]] = []
-        self._n = 0
-
-    def _write(self, df: DataFrame, level: int, buckets: int) -> str:
-        """A run as files bucketed and sorted by hash, so merging and grouping by hash need no exchange. The catalogue entry is this session's; the files are shared."""
-        name, out = f"spans_{os.urandom(6).hex()}", f"{self.path}/run-{self._n:05d}-level-{level}"
-        self._n += 1
-        df.repartition(buckets, "fp").write.bucketBy(buckets, "fp").sortBy("fp").option("path", out).saveAsTable(name)
-        self.runs.append((level, name))
-        return name
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.state: dict[str, list] = {"spans": [], "names": []}  # [level, folder] of each run
+        self.count = 0
+        self.tables: dict[str, str] = {}
+        if exists(spark, f"{self.path}/manifest"):
+            told = json.loads(get(spark, f"{self.path}/manifest"))
+            if (told["span"], told["window"]) != (span, window):
+                raise ValueError(f"the index at {self.path} was made with span {told['span']} and window {told['window']}")
+            self.buckets, self.state, self.count = told["buckets"], told["state"], told["count"]
+
+    @property
+    def runs(self) -> list:
+        return self.state["spans"]
+
+    def _commit(self) -> None:
+        put(self.spark, f"{self.path}/manifest", json.dumps({"span": self.span, "window": self.window, "buckets": self.buckets, "state": self.state, "count": self.count}))
+
+    def _write(self, kind: str, df: DataFrame, level: int = 0) -> list:
+        """A run as files bucketed and sorted by its first column, so merging and grouping need no exchange."""
+        key, name, folder = df.columns[0], f"tidewrack_{os.urandom(8).hex()}", f"{kind}-{self.count:06d}-{os.urandom(4).hex()}"
+        self.count += 1
+        df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{folder}").saveAsTable(name)
+        self.tables[folder] = name
+        return [level, folder]
+
+    def _read(self, kind: str, folder: str) -> DataFrame:
+        if folder not in self.tables:
+            name, key = f"tidewrack_{os.urandom(8).hex()}", self.KINDS[kind].split()[0]
+            self.spark.sql(f"CREATE TABLE {name} ({self.KINDS[kind]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'")
+            self.tables[folder] = name
+        return self.spark.table(self.tables[folder])
+
+    def _old(self, kind: str) -> DataFrame | None:
+        every = [self._read(kind, folder) for _, folder in self.state[kind]]
+        return reduce(DataFrame.unionByName, every) if every else None
+
+    def close(self, delete: bool = False) -> None:
+        """Drops the session's catalogue entries and, with ``delete``, the index itself."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+        if delete:
+            remove(self.spark, self.path)
+
+    def members(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """``(doc, rep)`` of a batch's documents whose text, of at least ``span`` characters, was met before, in the history or under a smaller id of the batch.
+
+        The texts that are new join the names, when the batch is appended.
+        """
+        named = docs.where(F.length(text) >= self.span).select(F.col(doc_id).cast("bigint").alias("doc"), F.unhex(F.sha2(text, 256)).alias("name")).distinct()
+        groups = named.groupBy("name").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+        old = self._old("names")
+        groups = groups.join(old, "name", "left") if old is not None else groups.withColumn("rep", F.lit(None).cast("bigint"))
+        groups = cut(groups)
+        self._fresh = groups.where("rep is null").select("name", F.col("least").alias("rep"))
+        again = groups.where("n > 1 or rep is not null").select("name", F.coalesce("rep", "least").alias("rep"))
+        return cut(named.join(small(cut(again)), "name").where("doc <> rep").select("doc", "rep"))
 
     def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", without: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
-        """Adds a batch and returns candidates ``(doc_a, doc_b)`` of the batch against itself and against all older runs.
+        """Adds a batch and returns candidates ``(doc_a, doc_b)`` of the batch against itself and against all older runs, kept in the checkpoint folder.
 
-        ``without(doc)`` names documents that another one stands for; their windows are left out of the run. ``history`` are the older documents; it is
-        read only for those with a window that over ``HOT`` documents share.
+        ``without(doc)`` names documents that another one stands for (:meth:`members`); their windows are left out of the run. ``history`` are the older
+        documents; it is read only for those with a window that over ``HOT`` documents share.
         """
-        older = [t for _, t in self.runs]
+        old = self._old("spans")
         prints = fingerprints(docs, doc_id, text, self.span, self.window)
         if without is not None:
             prints = prints.join(small(without), "doc", "left_anti")
-        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        new = self.spark.table(self._write(prints, 0, buckets))
+        run = self._write("spans", prints)
+        new = self._read("spans", run[1])
         counts = new.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         many = cut(counts.where("lo < hi"))
         pairs = many.where("n = 2").select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"))
@@ -207,9 +259,8 @@ class SpanIndex:
         hot = cut(many.where(F.col("n") > HOT).select("fp"))
         if not hot.isEmpty():
             pairs = pairs.unionByName(self._wide(own, new, hot))
-        if older:
-            old = reduce(DataFrame.unionByName, [self.spark.table(t) for t in older]).withColumnRenamed("doc", "other")
-            met = old.join(new.select("fp").distinct(), "fp", "left_semi")
+        if old is not None:
+            met = old.withColumnRenamed("doc", "other").join(new.select("fp").distinct(), "fp", "left_semi")
             busy = None
             if history is not None:
                 busy = cut(met.groupBy("fp").agg(F.count("*").alias("m")).join(counts.select("fp", "n"), "fp").where(F.col("m") + F.col("n") > HOT).select("fp"))
@@ -219,7 +270,16 @@ class SpanIndex:
             if busy is not None:
                 both = own.unionByName(history.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")))
                 pairs = pairs.unionByName(self._wide(both, new.unionByName(met.withColumnRenamed("other", "doc")), busy))
-        return pairs.distinct()
+        found = cut(pairs.distinct())
+        if without is not None and self._fresh is not None:
+            self.state["names"].append(self._write("names", self._fresh))
+        self._fresh = None
+        self.state["spans"].append(run)
+        self._commit()
+        return found
+
+    #: Names of the batch whose members were asked for last.
+    _fresh: DataFrame | None = None
 
     def _wide(self, docs: DataFrame, prints: DataFrame, hot: DataFrame) -> DataFrame:
         """Pairs that hot windows lead to, without pairing all their documents.
@@ -235,17 +295,19 @@ class SpanIndex:
         return left.alias("a").join(left.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
 
     def compact(self) -> None:
-        """Merges the runs of a level into one of the next level once there are ``FANOUT`` of them."""
-        level = 0
-        while True:
-            own = [p for l, p in self.runs if l == level]
-            if not own and not any(l > level for l, _ in self.runs):
-                return
-            if len(own) >= self.FANOUT:
-                self.runs = [(l, p) for l, p in self.runs if l != level]
-                merged = reduce(DataFrame.unionByName, [self.spark.table(t) for t in own])
-                self._write(merged, level + 1, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-            level += 1
+        """Merges the runs of a level into one of the next level once there are ``FANOUT`` of them; the merged ones go once the manifest names the new one."""
+        for kind in self.KINDS:
+            level = 0
+            while any(at >= level for at, _ in self.state[kind]):
+                own = [folder for at, folder in self.state[kind] if at == level]
+                if len(own) >= self.FANOUT:
+                    merged = self._write(kind, reduce(DataFrame.unionByName, [self._read(kind, f) for f in own]), level + 1)
+                    self.state[kind] = [x for x in self.state[kind] if x[1] not in own] + [merged]
+                    self._commit()
+                    for folder in own:
+                        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(folder)}")
+                        remove(self.spark, f"{self.path}/{folder}")
+                level += 1
 
 
 def verified(pairs: DataFrame, left: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -258,21 +320,39 @@ def verified(pairs: DataFrame, left: DataFrame, doc_id: str = "doc_id", text: st
     return map_rows(b.select("doc_a", "doc_b", "ta", "tb"), _verify(span), "doc_a bigint, doc_b bigint").distinct()
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """``(doc, rep)`` of documents whose text, of at least ``span`` characters, is not the only one of its kind; ``rep`` is the least id with it."""
-    named = docs.where(F.length(text) >= span).select(F.col(doc_id).cast("bigint").alias("doc"), F.unhex(F.sha2(text, 256)).alias("name")).distinct()
-    groups = named.groupBy("name").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("name", "rep")
-    return named.join(small(cut(groups)), "name").select("doc", "rep")
+#: Batches in which the queries hand a whole table to the index, in the order of its ids.
+BATCHES = 5
 
 
-def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW) -> DataFrame:
-    """``(doc_a, doc_b)``, ``doc_a < doc_b``: documents that have a run of at least ``span`` characters in common, from one batch.
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """``(doc_a, doc_b)``, verified links between representatives, and ``(doc, rep)``, the documents that others stand for.
+
+    The table is handed to an index in batches by ranges of its ids, each probed against the runs of those before it; the candidates of all are verified
+    together, so texts are read for that once.
+    """
+    index = SpanIndex(docs.sparkSession, None, span, window)
+    at = F.col(doc_id).cast("bigint")
+    lo, hi = docs.agg(F.min(at), F.max(at)).first()
+    found, members = [], []
+    for k in range(batches if lo is not None else 0):
+        a, b = (lo + (hi + 1 - lo) * x // batches for x in (k, k + 1))
+        own, before = docs.where((at >= a) & (at < b)), docs.where(at < a)
+        members.append(index.members(own, doc_id, text))
+        found.append(index.append(own, doc_id, text, members[-1].select("doc"), before))
+        index.compact()
+    index.close(delete=True)
+    if not found:
+        spark = docs.sparkSession
+        return spark.createDataFrame([], "doc_a bigint, doc_b bigint"), spark.createDataFrame([], "doc bigint, rep bigint")
+    return cut(verified(reduce(DataFrame.unionByName, found).distinct(), docs, doc_id, text, span)), cut(reduce(DataFrame.unionByName, members))
+
+
+def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """``(doc_a, doc_b)``, ``doc_a < doc_b``: documents that have a run of at least ``span`` characters in common.
 
     Of equal texts one stands for all in the index; the pairs are then expanded to the copies, which cost no fingerprint and no check.
     """
-    members = cut(copies(docs, doc_id, text, span))
-    repeats = cut(members.where("doc <> rep"))
-    found = verified(SpanIndex(docs.sparkSession, None, span, window).append(docs, doc_id, text, repeats.select("doc")), docs, doc_id, text, span)
+    found, repeats = links(docs, doc_id, text, span, window, batches)
     # pairs of representatives, each with itself too where it has copies, and the documents each stands for
     groups = repeats.select("rep").distinct()
     within = groups.select(F.col("rep").alias("doc_a"), F.col("rep").alias("doc_b"))
@@ -308,19 +388,31 @@ def _cover(span: int):
     return batch
 
 
-def shared_share(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """``(doc, n_others, shared_chars, share)`` for each document of ``pairs``: how much of it stands in other documents too.
+def shared_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """``(doc, n_others, shared_chars, share)`` for each document with shared passages: with how many others, and how much of it stands in them.
 
     A character is covered if any window of ``span`` characters around it is one of the other document's, wherever and however often it stands
-    in either; windows are told apart by 64-bit hashes. The covered intervals are merged by a running maximum over their starts, so overlapping spans count once.
+    in either; windows are told apart by 64-bit hashes. A text with copies is covered whole; only texts of representatives are compared, and copies are
+    counted by the size of their group, so no pair of them is ever formed. Overlapping spans count once: of spans with one start the longest is kept
+    (so a document has no more than it has characters), and a running maximum merges these.
     """
     from pyspark.sql import Window as W
 
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t"))
-    both = pairs.join(texts.withColumnsRenamed({"doc": "doc_a", "t": "ta"}), "doc_a").join(texts.withColumnsRenamed({"doc": "doc_b", "t": "tb"}), "doc_b")
-    cover = map_rows(both.select("doc_a", "doc_b", "ta", "tb"), _cover(span), "doc bigint, start int, stop int").distinct()
-    before = F.max("stop").over(W.partitionBy("doc").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
+    found, repeats = links(docs, doc_id, text, span, window, batches)
+    groups = repeats.groupBy(F.col("rep").alias("doc")).agg((F.count("*") + 1).alias("k"))
+    both = found.unionByName(found.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
+    sized = both.join(groups.withColumnRenamed("doc", "doc_b"), "doc_b", "left").groupBy(F.col("doc_a").alias("doc")).agg(F.sum(F.coalesce("k", F.lit(1))).alias("linked"))
+    reps = sized.join(groups, "doc", "full").select("doc", (F.coalesce("linked", F.lit(0)) + F.coalesce("k", F.lit(1)) - 1).alias("n_others"), F.col("k").isNotNull().alias("whole"))
+    reps = cut(reps)
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")).where(F.length("t") >= span)
+    parts = reps.where("not whole").select("doc")
+    wanted = found.join(small(cut(parts.withColumnRenamed("doc", "doc_a"))), "doc_a", "left_semi").unionByName(found.join(small(cut(parts.withColumnRenamed("doc", "doc_b"))), "doc_b", "left_semi").select("doc_a", "doc_b")).distinct()
+    own = wanted.join(texts.withColumnsRenamed({"doc": "doc_a", "t": "ta"}), "doc_a").join(texts.withColumnsRenamed({"doc": "doc_b", "t": "tb"}), "doc_b")
+    cover = map_rows(own.select("doc_a", "doc_b", "ta", "tb"), _cover(span), "doc bigint, start int, stop int").groupBy("doc", "start").agg(F.max("stop").alias("stop"))
+    before = F.max("stop").over(W.partitionBy("doc").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     new = cover.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))))
-    chars = new.groupBy("doc").agg(F.sum("new").cast("bigint").alias("shared_chars"))
-    others = pairs.select(F.col("doc_a").alias("doc")).unionAll(pairs.select(F.col("doc_b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_others"))
-    return others.join(chars, "doc").join(texts, "doc").select("doc", "n_others", "shared_chars", (F.col("shared_chars") / F.length("t")).alias("share"))
+    chars = new.groupBy("doc").agg(F.sum("new").cast("bigint").alias("chars"))
+    stands = repeats.unionByName(groups.select("doc", F.col("doc").alias("rep")))
+    every = reps.join(chars, "doc", "left").withColumnRenamed("doc", "rep").join(stands, "rep", "left").withColumn("doc", F.coalesce("doc", "rep"))
+    sized_texts = texts.select("doc", F.length("t").cast("bigint").alias("n"))
+    return every.join(sized_texts, "doc").withColumn("shared_chars", F.when(F.col("whole"), F.col("n")).otherwise(F.col("chars"))).select("doc", F.col("n_others").cast("bigint").alias("n_others"), "shared_chars", (F.col("shared_chars") / F.col("n")).alias("share"))
