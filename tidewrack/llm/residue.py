@@ -20,6 +20,7 @@ import re
 from functools import lru_cache
 from importlib.resources import files
 
+import ahocorasick
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ BUCKETS, KNOWN = 1 << 18, 300_000
 
 _TOKEN = re.compile(rf"\d+|[{THAI}]+|[{HAN}{KANA}ー]+|[^\W\d_]+")
 _DENSE = re.compile(f"[{THAI}{HAN}{KANA}]")
+_RUNS_THAI, _RUNS_WIDE = re.compile(f"[{THAI}]+"), re.compile(f"[{HAN}{KANA}ー]+")
+_SPACED = re.compile(rf"[^\W\d_{THAI}{HAN}{KANA}ー]+")
 #: Runs between brackets, and between equal marks.
 _BRACKETS = re.compile(r"([{][{%]*|[$#][{]|<%=?|<[?]=?|<<?|\[\[?|\(\(+)([^{}<>\[\]()%\n]{0,60}?)(\}\}+|[%]?\}|[%?]>|>>?|\]\]?|\)\)+)")
 _LONG = re.compile(r"(.)\1{3,}")
@@ -144,6 +147,27 @@ class ExemplarIndex:
         #: What a token weighs that hardly any field holds; unknown without frequencies.
         self.most = math.inf if df is None else math.log(1 + 1 / max(CAP, 1 / self.n))
 
+    def _hopeless(self, low: str) -> bool:
+        """Whether tokens that no exemplar holds surely make up too much of a text, all weighing alike: what is counted is at least the number of tokens, and at most
+        that of known ones. Known ones of dense scripts are found by an automaton, so the others needn't be cut out."""
+        words = _SPACED.findall(low)
+        # each figure counts as a known token of its own
+        n, known = len(words), sum(map(self.index.__contains__, words)) + sum(map(low.count, "0123456789"))
+        if _DENSE.search(low):
+            if self._machine is None:
+                self._machine = ahocorasick.Automaton()
+                for w in self.index:
+                    if _DENSE.match(w):
+                        self._machine.add_word(w, 1)
+                self._machine.make_automaton()
+            thai, wide = _RUNS_THAI.findall(low), _RUNS_WIDE.findall(low)
+            n += sum(map(len, thai)) - 2 * len(thai) + 2 * sum(map(len, wide)) - len(wide)
+            # runs too short for a token of the usual length count as known
+            known += sum(len(w) < 3 for w in thai) * 2 + sum(1 for _ in self._machine.iter(low))
+        return known < self.cover * n
+
+    _machine: ahocorasick.Automaton | None = None
+
     def contained(self, words: list[str], weights: list[float]) -> tuple[float, str]:
         """The share of a window's weight that the exemplars retrieved for it contain together, and the kind of the best one."""
         total = sum(weights)
@@ -185,13 +209,12 @@ class ExemplarIndex:
         """The same for a clean text without slots."""
         if source and (name := _clean_name(source)) and name in low:
             low = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low)
+        if self.weights is None and self._hopeless(low):
+            return None
         words = tokens(low)
         if not words:
             return None
         if self.weights is None:
-            # the share of known tokens, without their weights, is enough to pass over most fields
-            if sum(map(self.index.__contains__, words)) < self.cover * len(words):
-                return None
             weights = [1.0] * len(words)
         else:
             weights = list(map(self.weights.__getitem__, words))

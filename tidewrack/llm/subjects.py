@@ -17,6 +17,7 @@ document has no row; repeated rows are judged alike; empty lexicon or labels lea
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import residue
 from tidewrack.llm.common import HAN, KANA, PLACEHOLDER, THAI, map_rows, nfkc, per_partition
-from tidewrack.runtime import cut, small
+from tidewrack.runtime import cut, remove, scratch, small
 
 #: Most keywords of a lexicon; rounds of propagation; weight of a mention in the title.
 KEYWORDS, ROUNDS, TITLE = 6_000, 25, 2.0
@@ -427,10 +428,15 @@ def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "
     fixed = spark.createDataFrame([(at[fold(k)], s) for k, s in words], "phrase int, subject int")
     marks = hand.select(F.col(row_id).cast("bigint").alias("doc"), *[F.col("subject")]).join(F.broadcast(spark.createDataFrame(list(number.items()), "subject string, k int")), "subject").select("doc", F.col("k").alias("subject"))
     # a document's edges lie together once and for all, so no round moves them: only the phrases' sums are shuffled
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = cut(document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source).repartition(parts, "doc"))
+    parts, path, name = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), scratch(spark, "subject-edges"), f"tidewrack_{os.urandom(8).hex()}"
+    raw = document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source)
+    raw.repartition(parts, "doc").write.bucketBy(parts, "doc").sortBy("doc").option("path", path).saveAsTable(name)
+    edges = spark.table(name)
     labels = propagate(edges, fixed, marks)
     rows = df.select(F.col(row_id).cast("bigint").alias("doc"), title, text, source)
     every = decide(edges, labels).withColumn("_seed", F.lit(0)).unionByName(seeds(rows, edges, labels, marks).withColumn("_seed", F.lit(1)))
     # a subject that was decided keeps its own share
-    return every.groupBy("doc", "subject").agg(F.min_by("share", "_seed").alias("share")).select(F.col("doc").alias(row_id), "subject", "share")
+    found = cut(every.groupBy("doc", "subject").agg(F.min_by("share", "_seed").alias("share")).select(F.col("doc").alias(row_id), "subject", "share"))
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+    return found
