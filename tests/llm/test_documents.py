@@ -173,7 +173,7 @@ def test_batches_and_compaction_lose_nothing(spark, words):
         pairs = index.append(df.where(f"doc_id = {k}"))
         got |= {(r.doc_a, r.doc_b) for r in shared_spans.verified(pairs, df).collect()}
         index.compact()
-    assert got == brute(texts, 200) and len(index.runs) < len(texts)
+    assert got == brute(texts, 200) and len(index.store.runs["spans"]) < len(texts)
     index.close(delete=True)
 
 
@@ -190,7 +190,7 @@ def test_an_index_is_opened_again(spark, words, tmp_path):
         same = index.members(own)
         members |= {r.doc: r.rep for r in same.collect()}
         if k == 3:
-            index._write("spans", shared_spans.fingerprints(own))
+            index.store.write("spans", shared_spans.fingerprints(own))
         got |= {(r.doc_a, r.doc_b) for r in index.append(own, without=same.select("doc")).collect()}
         index.compact()
         index.close()

@@ -103,6 +103,12 @@ def _clean_name(source: str) -> str:
     return clean(source).strip()
 
 
+def _without(low: str, source: str | None) -> str:
+    """A clean text without its source's own name."""
+    name = _clean_name(source) if source else ""
+    return re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low) if name and name in low else low
+
+
 def _bucket(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -205,10 +211,15 @@ class ExemplarIndex:
             return None
         return "slot" if self.slots(text) else self.judge_clean(clean(text), source)
 
+    def is_residue(self, text: str, folded: str, source: str | None = None) -> bool:
+        """Whether :meth:`judge` says ``'residue'``, for a text whose lower case with figures as ``0`` is at hand; most fields are told by that alone."""
+        if self.weights is None and not any(c in text for c in "&\u200b\xad") and self._hopeless(_without(folded, source)):
+            return False
+        return self.judge(text, source) == "residue"
+
     def judge_clean(self, low: str, source: str | None = None) -> str | None:
         """The same for a clean text without slots."""
-        if source and (name := _clean_name(source)) and name in low:
-            low = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", low)
+        low = _without(low, source)
         if self.weights is None and self._hopeless(low):
             return None
         words = tokens(low)

@@ -16,8 +16,6 @@ and other texts count as one document; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
-import json
-import os
 from functools import reduce
 
 import numpy as np
@@ -26,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import map_rows
-from tidewrack.runtime import cut, exists, get, put, remove, scratch, small
+from tidewrack.llm.runs import RunStore
+from tidewrack.runtime import cut, scratch, small
 
 SPAN, WINDOW = 200, 120
 #: Documents that share a window from which its surroundings are compared before documents are paired.
@@ -168,61 +167,13 @@ def _verify(span: int):
 
 
 class SpanIndex:
-    """Runs of ``(fp, doc)`` and of ``(name, rep)``, the texts' own hashes, under ``path``. Runs are written once and never changed.
-
-    ``path`` must be shared by all executors; by default it lies below the checkpoint folder. What the manifest doesn't name, such as the run of
-    a batch that broke off, is never read. Catalogue entries are the session's own and made when a run is read; :meth:`close` drops them.
-    """
-
-    FANOUT = 4
-    KINDS = {"spans": "fp BIGINT, doc BIGINT", "names": "name BINARY, rep BIGINT"}
+    """Runs of ``(fp, doc)`` and of ``(name, rep)``, the texts' own hashes. ``path`` must be shared by all executors; by default it lies below the checkpoint folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, window: int = WINDOW) -> None:
         self.spark, self.span, self.window = spark, span, window
-        self.path = path or scratch(spark, "spans")
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.state: dict[str, list] = {"spans": [], "names": []}  # [level, folder] of each run
-        self.count = 0
-        self.tables: dict[str, str] = {}
-        if exists(spark, f"{self.path}/manifest"):
-            told = json.loads(get(spark, f"{self.path}/manifest"))
-            if (told["span"], told["window"]) != (span, window):
-                raise ValueError(f"the index at {self.path} was made with span {told['span']} and window {told['window']}")
-            self.buckets, self.state, self.count = told["buckets"], told["state"], told["count"]
-
-    @property
-    def runs(self) -> list:
-        return self.state["spans"]
-
-    def _commit(self) -> None:
-        put(self.spark, f"{self.path}/manifest", json.dumps({"span": self.span, "window": self.window, "buckets": self.buckets, "state": self.state, "count": self.count}))
-
-    def _write(self, kind: str, df: DataFrame, level: int = 0) -> list:
-        """A run as files bucketed and sorted by its first column, so merging and grouping need no exchange."""
-        key, name, folder = df.columns[0], f"tidewrack_{os.urandom(8).hex()}", f"{kind}-{self.count:06d}-{os.urandom(4).hex()}"
-        self.count += 1
-        df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{folder}").saveAsTable(name)
-        self.tables[folder] = name
-        return [level, folder]
-
-    def _read(self, kind: str, folder: str) -> DataFrame:
-        if folder not in self.tables:
-            name, key = f"tidewrack_{os.urandom(8).hex()}", self.KINDS[kind].split()[0]
-            self.spark.sql(f"CREATE TABLE {name} ({self.KINDS[kind]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'")
-            self.tables[folder] = name
-        return self.spark.table(self.tables[folder])
-
-    def _old(self, kind: str) -> DataFrame | None:
-        every = [self._read(kind, folder) for _, folder in self.state[kind]]
-        return reduce(DataFrame.unionByName, every) if every else None
-
-    def close(self, delete: bool = False) -> None:
-        """Drops the session's catalogue entries and, with ``delete``, the index itself."""
-        for name in self.tables.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables.clear()
-        if delete:
-            remove(self.spark, self.path)
+        self.store = RunStore(spark, path or scratch(spark, "spans"), {"spans": "fp BIGINT, doc BIGINT", "names": "name BINARY, rep BIGINT"}, span=span, window=window)
+        self.compact, self.close = self.store.compact, self.store.close
+        self._fresh: DataFrame | None = None  # names of the batch whose members were asked for last
 
     def members(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """``(doc, rep)`` of a batch's documents whose text, of at least ``span`` characters, was met before, in the history or under a smaller id of the batch.
@@ -231,7 +182,7 @@ class SpanIndex:
         """
         named = docs.where(F.length(text) >= self.span).select(F.col(doc_id).cast("bigint").alias("doc"), F.unhex(F.sha2(text, 256)).alias("name")).distinct()
         groups = named.groupBy("name").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
-        old = self._old("names")
+        old = self.store.all("names")
         groups = groups.join(old, "name", "left") if old is not None else groups.withColumn("rep", F.lit(None).cast("bigint"))
         groups = cut(groups)
         self._fresh = groups.where("rep is null").select("name", F.col("least").alias("rep"))
@@ -244,12 +195,12 @@ class SpanIndex:
         ``without(doc)`` names documents that another one stands for (:meth:`members`); their windows are left out of the run. ``history`` are the older
         documents; it is read only for those with a window that over ``HOT`` documents share.
         """
-        old = self._old("spans")
+        old = self.store.all("spans")
         prints = fingerprints(docs, doc_id, text, self.span, self.window)
         if without is not None:
             prints = prints.join(small(without), "doc", "left_anti")
-        run = self._write("spans", prints)
-        new = self._read("spans", run[1])
+        run = self.store.write("spans", prints)
+        new = self.store.read("spans", run)
         counts = new.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         many = cut(counts.where("lo < hi"))
         pairs = many.where("n = 2").select(F.col("lo").alias("doc_a"), F.col("hi").alias("doc_b"))
@@ -271,16 +222,11 @@ class SpanIndex:
                 both = own.unionByName(history.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")))
                 pairs = pairs.unionByName(self._wide(both, new.unionByName(met.withColumnRenamed("other", "doc")), busy))
         found = cut(pairs.distinct())
-        if without is not None and self._fresh is not None:
-            self.state["names"].append(self._write("names", self._fresh))
+        named = self.store.write("names", self._fresh) if without is not None and self._fresh is not None else None
         self._fresh = None
-        self.state["spans"].append(run)
-        self._commit()
+        self.store.commit(spans=run, names=named)
         return found
 
-    #: Names of the batch whose members were asked for last.
-    _fresh: DataFrame | None = None
-
     def _wide(self, docs: DataFrame, prints: DataFrame, hot: DataFrame) -> DataFrame:
         """Pairs that hot windows lead to, without pairing all their documents.
 
@@ -294,21 +240,6 @@ class SpanIndex:
         left = wide.join(met, "fp", "left_semi")
         return left.alias("a").join(left.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
 
-    def compact(self) -> None:
-        """Merges the runs of a level into one of the next level once there are ``FANOUT`` of them; the merged ones go once the manifest names the new one."""
-        for kind in self.KINDS:
-            level = 0
-            while any(at >= level for at, _ in self.state[kind]):
-                own = [folder for at, folder in self.state[kind] if at == level]
-                if len(own) >= self.FANOUT:
-                    merged = self._write(kind, reduce(DataFrame.unionByName, [self._read(kind, f) for f in own]), level + 1)
-                    self.state[kind] = [x for x in self.state[kind] if x[1] not in own] + [merged]
-                    self._commit()
-                    for folder in own:
-                        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(folder)}")
-                        remove(self.spark, f"{self.path}/{folder}")
-                level += 1
-
 
 def verified(pairs: DataFrame, left: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """Those of the candidate pairs whose texts have a run of ``span`` characters in common. Only texts of candidates are moved."""

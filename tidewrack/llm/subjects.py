@@ -242,8 +242,9 @@ def _edges(shared):
             for i, t, s, src in zip(ids, titles, summaries, sources):
                 got: dict[int, list[int]] = {}
                 for text, at in ((t, 0), (s, 1)):
-                    hits = list(find(machine, fold(text))) if text else ()
-                    if hits and judge.judge(text, src) != "residue":
+                    folded = fold(text) if text else ""
+                    hits = list(find(machine, folded))
+                    if hits and not judge.is_residue(text, folded, src):
                         for _, _, k in hits:
                             got.setdefault(k, [0, 0])[at] += 1
                 for k, (a, b) in got.items():
@@ -270,8 +271,9 @@ def _block_hits(shared):
             out: dict[str, list] = {x: [] for x in ("doc", "name", "at", "a", "size", "phrase")}
             for i, name, t, s, src in zip(ids, names, titles, summaries, sources):
                 for text, at in ((t, 0), (s, 1)):
-                    hits = matches(machine, fold(text)) if text else ()
-                    if hits and judge.judge(text, src) != "residue":
+                    folded = fold(text) if text else ""
+                    hits = matches(machine, folded)
+                    if hits and not judge.is_residue(text, folded, src):
                         for a, size, _, k in hits:
                             for x, v in zip(out, (i, name, at, a, size, k)):
                                 out[x].append(v)
