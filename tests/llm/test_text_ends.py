@@ -135,3 +135,51 @@ def test_quotation_that_begins_before_the_tail():
         assert not is_open(f'A first line.\nThe council said "{said}" and {"left " * 10}' + mark)
         assert is_open(f'A first line.\nThe council said "{said}' + mark) and is_open(f'The council said "{said}" and "left' + mark)
         assert not is_open(f'An "odd line.\nThe council left{mark}')
+
+
+#: Sentences by language, with places for a name, a town and a figure.
+FRAMES = {
+    "en": ["Residents counted {n} complaints about the road.", "{p} will open a new school in {t}.", "The index fell by {n} points in June.", "Work on the bridge near {t} stopped again.", "Nobody from the council replied to {p}."],
+    "de": ["Die Bewohner zählten {n} Beschwerden über die Straße.", "{p} eröffnet in {t} eine neue Schule.", "Der Index fiel im Juni um {n} Punkte.", "Die Arbeiten an der Brücke bei {t} ruhen wieder.", "Niemand aus dem Rat antwortete {p}."],
+    "fr": ["Les habitants ont compté {n} plaintes sur la route.", "{p} ouvrira une nouvelle école à {t}.", "L'indice a perdu {n} points en juin.", "Les travaux du pont de {t} sont de nouveau arrêtés.", "Personne au conseil n'a répondu à {p}."],
+    "es": ["Los vecinos contaron {n} quejas sobre la carretera.", "{p} abrirá una nueva escuela en {t}.", "El índice cayó {n} puntos en junio.", "Las obras del puente de {t} se detuvieron de nuevo.", "Nadie del consejo respondió a {p}."],
+    "vi": ["Người dân đếm được {n} khiếu nại về con đường.", "{p} sẽ mở một trường mới ở {t}.", "Chỉ số giảm {n} điểm trong tháng sáu.", "Công trình cầu gần {t} lại dừng.", "Không ai trong hội đồng trả lời {p}."],
+    "th": ["ชาวบ้านร้องเรียนเรื่องถนนแล้ว{n}ราย", "คณะกรรมการจะเปิดโรงเรียนใหม่ในเดือนหน้า", "ดัชนีลดลง{n}จุดในเดือนมิถุนายน", "งานก่อสร้างสะพานหยุดอีกครั้ง", "ไม่มีใครในสภาตอบคำถาม"],
+    "zh": ["居民就道路提出了{n}次投诉。", "{p}将在石榴港开设一所新学校。", "指数在六月下跌了{n}点。", "松溪口附近的桥梁工程再次停工。", "议会没有人作出答复。"],
+    "ja": ["住民は道路について{n}件の苦情を寄せた。", "{p}は朝凪村に新しい学校を開く。", "指数は六月に{n}ポイント下落した。", "南雲崎の近くの橋の工事は再び止まった。", "議会からは誰も答えなかった。"],
+}
+
+
+def unmarked(lang, rnd):
+    """A line of a few sentences, as written and with its marks (and spaces, where a script has none between words) taken away, and where these then start."""
+    names = ["陈明", "李华", "王芳"] if lang in ("zh", "ja") else ["Kovor Lim", "Dasa Wen", "Pico Ral", "Mena Tor"]
+    own = [rnd.choice(FRAMES[lang]).format(n=rnd.randint(2, 999), p=rnd.choice(names), t=rnd.choice(["Porvik", "Hexby", "Marlow"])) for _ in range(rnd.randint(2, 4))]
+    gap = "" if lang in ("zh", "ja") else " "
+    bare = [x.rstrip(".。") for x in own]
+    joint = "" if lang in ("zh", "ja", "th") else " "
+    at, starts = 0, []
+    for x in bare:
+        starts.append(at)
+        at += len(x) + len(joint)
+    return gap.join(own), joint.join(bare), starts
+
+
+def test_lines_without_marks_in_eight_languages():
+    rnd = random.Random(21)
+    texts = [unmarked(lang, rnd)[0] for lang in FRAMES for _ in range(150)] + [rnd.choice(FRAMES[lang]).format(n=5, p="Dasa Wen", t="Hexby") for lang in FRAMES for _ in range(20)]
+    model = S.BoundaryModel().fit(texts)
+    for lang in FRAMES:
+        right = got = want = 0
+        for _ in range(60):
+            _, line, starts = unmarked(lang, rnd)
+            a, b = set(model.starts(line)), set(starts)
+            right, got, want = right + len(a & b), got + len(a), want + len(b)
+        print(lang, right / want, right / got)
+        assert right / want >= 0.9 and right / got >= 0.9, (lang, right, got, want)
+
+
+def test_an_open_mark_silences_as_much_in_long_lines_as_in_short_ones(model):
+    long = " ".join(["Residents counted 15 complaints about the road."] * 8)
+    assert len(model.starts('He called it "odd. ' + long)) >= 8 and S.closed_spans('He said: "' + long + " Nobody cam") == [(9, len(long) + 21)]
+    deep = "a (b [c «d ‹e “f. G” h› i» j] k) l. Residents counted 15 complaints about the road."
+    assert S.gaps(deep) and S.closed_spans(deep) == [(2, deep.index(")"))]

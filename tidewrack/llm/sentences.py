@@ -6,12 +6,14 @@ gaps of a line yields each gap's posterior. The model is trained by expectation-
 boundaries, gaps that can't end a sentence are certain non-boundaries, the rest is hidden. So abbreviations, ordinals and the gaps of
 scripts without stops are told apart by what is seen at the ends and starts of lines.
 
-A gap is open to a boundary after a closing mark and a space, after a full-width closing mark, and at any space next to Thai. Nothing within
-quotation marks or brackets is open; a line break always ends a sentence.
+In a line with closing marks a gap is open to a boundary after such a mark and a space, after a full-width one, and at any space next to Thai. Nothing within
+quotation marks or brackets is open; a line break always ends a sentence. In a line without any mark but at its end every place between words, and between
+characters of scripts without spaces, is open: a second n-gram model (:class:`EventModel`) with boundary tokens between words, learned from the sentences that the first one
+finds with their marks taken away, gives their posteriors.
 
 Defined results: null, empty and blank texts have no sentences; positions are code points of the stored text, and a sentence starts at its first
 character that is not white space; a text of one long line of any length is one chain; repeated rows give repeated results; empty tables
-give an empty result. The model is fitted to at most ``SAMPLE`` texts of each column, chosen by a hash of the row's number.
+give an empty result. The model is fitted to at most ``SAMPLE`` texts of each column, chosen by a hash of the row's number, its part for lines without marks to ``EVENTS`` of them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tidewrack.llm.common import HAN, KANA, THAI, chosen, latin_digits, map_rows
 
 #: Texts that the model is fitted to, of each table; rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 10_000, 5
+#: Texts that the model of lines without marks is fitted to; times that a context must have been met to be kept.
+EVENTS, MET = 4_000, 2
 
 _WIDE = rf"{HAN}{KANA}"
 _CLOSERS = "\"'”’»›」』）)\\]】"
@@ -39,13 +43,21 @@ _GAP = re.compile(
     rf"|(?<=[{THAI}])[\"”»)\]]?(\s+)(?=\S)"
     rf"|(?<=\S)(\s+)(?=[\"“«(]?[{THAI}])"
 )
+_ENDED = re.compile(r"(?<![.…])[.!?。！？．]\s*$")
+#: What tells a line with marks: any closing mark before its last word; in Thai a space does.
+_MARKED = re.compile(rf"[.!?…。！？．](?=.*[^\W_])|[{THAI}]\s|\s[{THAI}]")
+#: Words, and single characters of scripts without spaces.
+_UNIT = re.compile(rf"[{THAI}{_WIDE}]|\d+(?:[.,\u00a0\u202f]\d+)*|[^\W\d_{THAI}{_WIDE}]+(?:['’\-][^\W\d_{THAI}{_WIDE}]+)*")
 _LETTER = re.compile(r"[^\W_]")
 _CHUNK = re.compile(r"\S+")
 _ABBREVIATION = re.compile(r"^(?:\w{1,3}\.|(?:\w\.)+)$")
 
 
 def closed_spans(line: str) -> list[tuple[int, int]]:
-    """Spans of a line within quotation marks or brackets, outermost only; one that isn't closed reaches to the end."""
+    """Spans of a line within quotation marks or brackets, outermost only.
+
+    One that isn't closed reaches to the end if the line breaks off within it, without a closing mark; where the line is complete the mark is a stray one.
+    """
     if not _QUOTES.search(line):
         return []
     out, stack, start = [], [], 0
@@ -56,15 +68,11 @@ def closed_spans(line: str) -> list[tuple[int, int]]:
             if not stack:
                 out.append((start, at))
         elif c == '"' or c in _OPEN:
-            if c == '"' or not stack or len(stack) < 4:
-                if not stack:
-                    start = at
-                stack.append('"' if c == '"' else _OPEN[c])
-    if stack:
-        # an opening mark without its partner closes nothing unless the line breaks off within it
-        rest = line[start + 1 :]
-        if len(rest) < 200:
-            out.append((start, len(line)))
+            if not stack:
+                start = at
+            stack.append('"' if c == '"' else _OPEN[c])
+    if stack and not _ENDED.search(line):
+        out.append((start, len(line)))
     return out
 
 
@@ -138,6 +146,110 @@ def right_features(line: str, start: int) -> tuple[str, str]:
     return "w" + _masked(first), f"s{lead}{_shape(first)}"
 
 
+def _dense(unit: str) -> bool:
+    return len(unit) == 1 and bool(_DENSE_START.match(unit))
+
+
+class EventModel:
+    """Boundaries between the units of a text without marks: counts of boundary tokens after and before n-grams of units."""
+
+    #: Weight of shorter contexts against longer ones.
+    K = 1.0
+
+    def __init__(self) -> None:
+        self.met: list[dict[tuple, list[float]]] = [{}, {}]  # context -> [boundaries, gaps], to the left and to the right
+        self.prior = {True: 0.02, False: 0.05}
+        self.after = {True: 0.0, False: 0.0}  # what a boundary before a gap does to its log odds
+
+    @staticmethod
+    def units(line: str) -> list[tuple[str, int]]:
+        """Units with figures masked, and where they start."""
+        return [("0" if m.group()[0].isdigit() else m.group(), m.start()) for m in _UNIT.finditer(line)]
+
+    @staticmethod
+    def contexts(units: list[str], k: int) -> tuple[list[tuple], list[tuple]]:
+        """The contexts of the gap before unit ``k``, from general to specific: shapes, then more and more units (of characters up to four)."""
+        left = [("s", _shape(units[k - 1]))] if k else [("start",)]
+        right = [("s", _shape(units[k]))] if k < len(units) else [("end",)]
+        if k:
+            left += [tuple(units[max(0, k - n) : k]) for n in range(1, 5 if _dense(units[k - 1]) else 3) if n <= k]
+        if k < len(units):
+            right += [tuple(units[k : k + n]) for n in range(1, 5 if _dense(units[k]) else 3) if k + n <= len(units)]
+        return left, right
+
+    def fit(self, lines: list[tuple[list[str], set[int], bool]]) -> EventModel:
+        """``lines`` are units, the numbers of those that start a sentence, and whether the line ends with a mark; one that doesn't may be cut off, so its end says nothing."""
+        total = {True: [1.0, 2.0], False: [1.0, 2.0]}
+        pairs = {True: [0.5, 1.0], False: [0.5, 1.0]}
+        for units, starts, whole in lines:
+            for k in range(len(units) + whole):
+                hit = k in starts or k in (0, len(units))
+                for side, contexts in enumerate(self.contexts(units, k)):
+                    if k == (0 if side == 0 else len(units)):
+                        continue
+                    for c in contexts:
+                        x = self.met[side].setdefault(c, [0.0, 0.0])
+                        x[0] += hit
+                        x[1] += 1
+                if 0 < k < len(units):
+                    dense = _dense(units[k])
+                    total[dense][0] += hit
+                    total[dense][1] += 1
+                    if k - 1 in starts or k == 1:
+                        pairs[dense][0] += hit
+                        pairs[dense][1] += 1
+        for dense, (b, n) in total.items():
+            self.prior[dense] = b / n
+            self.after[dense] = _logit(pairs[dense][0] / pairs[dense][1]) - _logit(b / n)
+        self.met = [{c: x for c, x in side.items() if x[1] >= MET or len(c) == 1} for side in self.met]
+        return self
+
+    def _share(self, side: int, contexts: list[tuple], prior: float) -> tuple[float, bool, bool]:
+        """The share of boundaries at a context, its shorter forms standing in for what is rare; whether its unit is known, and was met at a boundary."""
+        p, last = prior, (0.0, 0.0)
+        for c in contexts:
+            b, n = self.met[side].get(c, (0.0, 0.0))
+            p = (b + self.K * p) / (n + self.K)
+            # one word, or three characters, must have stood at a boundary
+            if len(c) == (3 if _dense(c[-1] if side == 0 else c[0]) else 1) and c[0] != "s":
+                last = (b, n)
+        return p, last[1] > 0, last[0] > 0
+
+    def _odds(self, units: list[str], k: int) -> float:
+        """Log odds of a boundary before unit ``k``; none without a left side that ended a sentence and a right side that began one, or is unknown after a sure end."""
+        prior = self.prior[_dense(units[k])]
+        left, right = self.contexts(units, k)
+        (p, _, ended), (q, known, began) = self._share(0, left, prior), self._share(1, right, prior)
+        if not ended or not began and (known or p < 0.5 or _dense(units[k])):
+            return -30.0
+        return _logit(p) + (_logit(q) - _logit(prior) if began else 0.0)
+
+    def starts(self, line: str) -> list[int]:
+        """Where sentences start within a line, by forward-backward over all gaps between its units."""
+        own = self.units(line)
+        units = [u for u, _ in own]
+        n = len(units) - 1
+        if n < 1:
+            return []
+        odds = []
+        for k in range(1, len(units)):
+            odds.append((self._odds(units, k), self.after[_dense(units[k])]))
+        weight = [[math.exp(max(-30.0, min(30.0, o + (after if prev else 0.0)))) for prev in (0, 1)] for o, after in odds]
+        steps = [[(1 / (1 + w), w / (1 + w)) for w in row] for row in weight]
+        forward = [(0.0, 1.0)]
+        for row in steps:
+            a, b = forward[-1]
+            forward.append((a * row[0][0] + b * row[1][0], a * row[0][1] + b * row[1][1]))
+        back, out = (1.0, 1.0), []
+        for i in range(n - 1, -1, -1):
+            a, b = forward[i + 1][0] * back[0], forward[i + 1][1] * back[1]
+            if b > a:
+                out.append(own[i + 1][1])
+            row = steps[i]
+            back = (row[0][0] * back[0] + row[0][1] * back[1], row[1][0] * back[0] + row[1][1] * back[1])
+        return out[::-1]
+
+
 def _span(n: int) -> int:
     return 0 if n < 12 else 1 if n < 30 else 2
 
@@ -154,8 +266,9 @@ class BoundaryModel:
         self.right: list[dict[str, float]] = [{}, {}]
         self.right_short: list[dict[str, float]] = [{}, {}]
         self.total = {(s, d): 1.0 for s in (0, 1) for d in "dw"}  # by event and kind of what stands to the right
-        #: What a boundary before a gap takes from its odds, by the length since (fixed: a sentence of a word or two is rare).
-        self.chain = [-2.5, -0.3, 0.0]
+        #: What a boundary before a gap takes from its odds, by the length since; learned from the lengths of sentences.
+        self.chain = [0.0, 0.0, 0.0]
+        self.events = EventModel()
         self.prior = 0.0
 
     def _odds(self, lf: str, ls: str) -> float:
@@ -249,6 +362,16 @@ class BoundaryModel:
                 p *= 0.05
             return p
 
+        # lengths of lines without an open gap, which are sentences, against those of stretches between gaps
+        whole, between = [1.0] * 3, [1.0] * 3
+        for line, feats in zip(lines, rows):
+            if not feats:
+                whole[_span(len(line))] += 1
+            for *_, span in feats:
+                between[span] += 1
+        ratio = [math.log(w / sum(whole)) - math.log(b / sum(between)) for w, b in zip(whole, between)]
+        self.chain = [min(0.0, r - ratio[2]) for r in ratio]
+
         soft = None
         for _ in range(rounds):
             b, b_short = defaultdict(float), defaultdict(float)
@@ -294,6 +417,13 @@ class BoundaryModel:
             self.right = [dict(r[s]) for s in (0, 1)]
             self.right_short = [dict(rshort[s]) for s in (0, 1)]
             self.total = {(s, d): max(1.0, sum(x for f, x in r[s].items() if f[0] == d)) for s in (0, 1) for d in "dw"}
+        known = []
+        for line in [x.strip() for t in sorted(set(texts))[:: max(1, len(set(texts)) // EVENTS)] for x in t.split("\n") if x.strip()]:
+            at, own = set(self.starts(line)), EventModel.units(line)
+            # a sentence starts with the first unit at or after its place
+            begins = sorted(at)
+            known.append(([u for u, _ in own], {next((k for k, (_, p) in enumerate(own) if p >= b), len(own)) for b in begins}, bool(_ENDED.search(line))))
+        self.events = EventModel().fit(known)
         return self
 
     def starts(self, text: str) -> list[int]:
@@ -304,6 +434,10 @@ class BoundaryModel:
             if body:
                 lead = at + line.index(body[0])
                 out.append(lead)
+                if not _MARKED.search(body):
+                    out += [lead + x for x in self.events.starts(body)]
+                    at += len(line) + 1
+                    continue
                 g = gaps(body)
                 if g:
                     for p, (_, b) in zip(self.posteriors(featured(body, g)), g):
