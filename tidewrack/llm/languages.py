@@ -210,7 +210,7 @@ class LanguageField:
                 got = cache[w] = np.array(unit_features(w, self.lexicon), np.int64)
             return got
 
-        gain, gain_a = np.full(self.w.shape, 1e-2, np.float32), np.full(self.a.shape, 1e-1, np.float32)
+        gain, gain_a, gain_s = np.full(self.w.shape, 1e-2, np.float32), np.full(self.a.shape, 1e-1, np.float32), np.full(self.L, 1e-1, np.float32)
         n_batches = max(8, min(120, len(sents) // 60))
         for _ in range(epochs * n_batches):
             seqs = []
@@ -251,6 +251,9 @@ class LanguageField:
             grad = np.stack([np.bincount(inv, flat[own, k], len(u)) for k in range(self.L)], 1).astype(np.float32) / B + 2e-5 * self.w[u]
             gain[u] += grad * grad
             self.w[u] -= 0.25 * grad / np.sqrt(gain[u])
+            gs = g[:, 0].sum(0) / B + 1e-3 * self.start
+            gain_s += gs * gs
+            self.start -= 0.15 * gs / np.sqrt(gain_s)
             # transitions: expected minus observed counts of each kind of gap
             ga = np.zeros_like(self.a)
             for t in range(1, T):

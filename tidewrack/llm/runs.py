@@ -41,11 +41,11 @@ class RunStore:
                 self.runs[kind].append(run)
         put(self.spark, f"{self.path}/manifest", json.dumps({"settings": self.settings, "buckets": self.buckets, "runs": self.runs, "notes": self.notes, "count": self.count}))
 
-    def write(self, kind: str, df: DataFrame, level: int = 0) -> list:
-        """A run as files bucketed and sorted by its first column, so merging and grouping by it need no exchange; to be named by :meth:`commit`."""
+    def write(self, kind: str, df: DataFrame, level: int = 0, few: bool = False) -> list:
+        """A run as files bucketed and sorted by its first column, so merging and grouping by it need no exchange; to be named by :meth:`commit`. ``few`` rows are written by one task."""
         key, name, folder = df.columns[0], f"tidewrack_{os.urandom(8).hex()}", f"{kind}-{self.count:06d}-{os.urandom(4).hex()}"
         self.count += 1
-        df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{folder}").saveAsTable(name)
+        (df.coalesce(1) if few else df.repartition(self.buckets, key)).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{folder}").saveAsTable(name)
         self.tables[folder] = name
         return [level, folder]
 
