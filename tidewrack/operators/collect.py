@@ -90,6 +90,11 @@ def capture_text(url: Column, md: Column) -> Column:
     return F.concat(F.lit("# Source URL: "), url, F.lit("\n\n"), md)
 
 
+def answer_text(answer: Column) -> Column:
+    """An answer's struct as JSON, with its nulls; what :func:`parsed_answer` reads."""
+    return F.to_json(answer, {"ignoreNullFields": "false"})
+
+
 def parsed_answer(raw: Column) -> Column:
     """A model's answer as a struct; null if it is no JSON object, has a category or sentiment outside the enumerations, or a list that is null.
 

@@ -487,6 +487,22 @@ def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").select("ingest_seq", text.safe_name(F.col("url")).alias("name"))
 
 
+@query(r"""SELECT ingest_seq, '20250701_120000_' || CASE WHEN regexp_replace(string_split(url, '/')[-1], '[\\/*?:"<>|]', '', 'g') = '' THEN 'article' ELSE coalesce(regexp_replace(string_split(url, '/')[-1], '[\\/*?:"<>|]', '', 'g'), 'article') END || '.md' AS path,
+'# Source URL: ' || url || chr(10) || chr(10) || summary AS text FROM articles""")
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and texts of the files that captured pages are saved in."""
+    return table(spark, sf_dir, "articles").select("ingest_seq", collect.capture_path(F.col("url"), F.expr(CLOCK)).alias("path"), collect.capture_text(F.col("url"), F.col("summary")).alias("text"))
+
+
+@query("""SELECT ingest_seq, image_url AS url, CASE WHEN NOT coalesce(regexp_extract(image_url, '^https?://([^/?#]+)', 1) IN ('img.tuldoly1.example', 'img.sumevcon5.example'), false) THEN 400 WHEN contains(image_url, '7') THEN 502 ELSE 200 END::INTEGER AS status,
+CASE WHEN coalesce(regexp_extract(image_url, '^https?://([^/?#]+)', 1) IN ('img.tuldoly1.example', 'img.sumevcon5.example'), false) AND NOT contains(image_url, '7') THEN length(image_url) END::BIGINT AS size FROM (SELECT min(ingest_seq) AS ingest_seq, image_url FROM articles GROUP BY image_url)""")
+def image_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image asked of the proxy once, with a stand-in for the other side: addresses with a 7 are not found there, others are their own bytes."""
+    asked = table(spark, sf_dir, "articles").groupBy(F.col("image_url").alias("url")).agg(F.min("ingest_seq").alias("ingest_seq"))
+    answers = collect.proxied_images(asked.select("url"), HOSTS, lambda url: (404, None) if "7" in url else (200, url.encode()))
+    return asked.join(answers, asked["url"].eqNullSafe(answers["url"])).select("ingest_seq", asked["url"], answers["status"].cast("int").alias("status"), F.length(answers["body"]).cast("bigint").alias("size"))
+
+
 @query(r"""SELECT ingest_seq, nullif(regexp_extract(url, '^([A-Za-z]+)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1), '') AS authority, CASE WHEN regexp_matches(url, '^https?://') THEN url END AS accepted,
 CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]+') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/healthz' ELSE '' END AS health, coalesce(regexp_extract(image_url, '^https?://([^/?#]+)', 1) IN ('img.tuldoly1.example', 'img.sumevcon5.example'), false) AS proxyable FROM articles""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,7 +534,7 @@ _ANSWER = ("title", "source_url", "published_at", "language", "summary", "bullet
 SELECT summary_id, valid, {", ".join(f"CASE WHEN valid THEN {c} END AS {c}" for c in _ANSWER)} FROM v""")
 def strip_fences_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries written as fenced JSON answers, parsed and validated again, all nine fields."""
-    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(*_ANSWER), {"ignoreNullFields": "false"}), F.lit("\n```"))
+    raw = F.concat(F.lit("```json\n"), collect.answer_text(F.struct(*_ANSWER)), F.lit("\n```"))
     own = table(spark, sf_dir, "summaries").select("summary_id", collect.parsed_answer(raw).alias("s"))
     return own.select("summary_id", F.col("s").isNotNull().alias("valid"), *[F.col(f"s.{c}").alias(c) for c in _ANSWER])
 
@@ -551,6 +567,29 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").select("ingest_seq", text.escape_html(F.col("title")).alias("escaped"))
 
 
+@query("SELECT ingest_seq, title AS plain FROM articles")
+def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles escaped and read back, those that hold entities themselves included."""
+    return table(spark, sf_dir, "articles").select("ingest_seq", text.unescape(text.escape_html(F.col("title"))).alias("plain"))
+
+
+# --- store ---
+
+
+@query("SELECT url, n FROM (SELECT url, count(*) AS n FROM (SELECT url FROM articles UNION ALL SELECT url FROM incoming) WHERE url <> '' GROUP BY url)")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and incoming rows appended to a store, exported and read back: each seen address, once, with its stored rows."""
+    from tidewrack.sources.store import Store
+
+    path = scratch(spark, "store")
+    store = Store(spark, path)
+    for part in (table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming")):
+        store.append(part)
+    store.export(f"{path}/export")
+    rows = spark.read.schema("url string").json(f"{path}/export/articles").groupBy("url").agg(F.count("*").alias("n"))
+    return spark.read.schema("url string").json(f"{path}/export/seen_urls").join(rows, "url").select("url", "n")
+
+
 # --- stream, ops ---
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+# --- Fixed values: names, enumerations and formats that stored data and clients depend on.
 #: Categories in lexicon order, which decides ties; the three sentiments; the mark for an empty summary; the store's clock format.
 CATEGORIES = ("politics", "economy", "technology", "health", "environment", "society", "sports", "entertainment", "world")
 SENTIMENTS = ("positive", "neutral", "negative")
