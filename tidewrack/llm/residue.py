@@ -169,7 +169,7 @@ class ExemplarIndex:
             thai, wide = _RUNS_THAI.findall(low), _RUNS_WIDE.findall(low)
             n += sum(map(len, thai)) - 2 * len(thai) + 2 * sum(map(len, wide)) - len(wide)
             # runs too short for a token of the usual length count as known
-            known += sum(len(w) < 3 for w in thai) * 2 + sum(1 for _ in self._machine.iter(low))
+            known += sum(len(w) < 3 for w in thai) * 2 + len(list(self._machine.iter(low)))
         return known < self.cover * n
 
     _machine: ahocorasick.Automaton | None = None

@@ -61,7 +61,7 @@ def _frame(text: str, a: int, b: int) -> tuple[str, str]:
 
 def _joined(x: str, y: str) -> bool:
     """Whether two characters belong to one word of a script with spaces."""
-    return x.isalnum() and y.isalnum() and not _DENSE.match(x) and not _DENSE.match(y)
+    return x.isalnum() and y.isalnum() and (x < "\u0e00" or not _DENSE.match(x)) and (y < "\u0e00" or not _DENSE.match(y))
 
 
 def matches(machine: ahocorasick.Automaton, text: str) -> list[tuple[int, int, int, int]]:
@@ -162,20 +162,20 @@ class _Frames:
         if not len(self.lefts):
             return
         for end, (rights, machine) in self.lefts.iter(t):
-            bad = _BAD.search(t, end + 1, end + 49)
-            stop = (bad.start() if bad else min(len(t), end + 49)) - end - 1
-            if stop < 2:
-                continue
             window = t[end + 1 : end + 49]
             if machine is None:
-                at = {k: window.find(right) for right, k in rights}
+                at = [(k, c) for right, k in rights if (c := window.find(right)) > 1]
             else:
-                at = {}
+                first: dict[int, int] = {}
                 for e, (size, k) in machine.iter(window):
-                    at.setdefault(k, e - size + 1)
-            for k, c in at.items():
-                if 2 <= c <= stop and _good(filler := window[:c].strip()):
-                    yield filler, k
+                    first.setdefault(k, e - size + 1)
+                at = [(k, c) for k, c in first.items() if c > 1]
+            if at:
+                bad = _BAD.search(window)
+                stop = bad.start() if bad else len(window)
+                for k, c in at:
+                    if c <= stop and _good(filler := window[:c].strip()):
+                        yield filler, k
 
 
 def _fillers(shared, known, first: int):
@@ -328,6 +328,8 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
     labels = clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))])
     # documents without a phrase don't matter here
     flags = small(cut(hand.groupBy("doc").agg(*[F.max((F.col("subject") == k).cast("double")).alias(x) for k, x in enumerate(h)])))
+    # clamped phrases take no label back from their documents
+    open_edges = edges.join(small(cut(clamp.select("phrase"))), "phrase", "left_anti")
     for _ in range(rounds):
         mention = F.col("title") * TITLE + F.col("n")
         docs = edges.join(small(labels), "phrase").groupBy("doc").agg(*[F.sum(mention * F.col(x)).alias(p[k]) for k, x in enumerate(w)])
@@ -337,11 +339,11 @@ def propagate(edges: DataFrame, fixed: DataFrame, hand: DataFrame, rounds: int =
         borne = [F.coalesce(F.col(h[k]), F.lit(0.0)) * (F.coalesce(F.col(p[k]), F.lit(1.0)) >= bear).cast("double") for k in range(len(SUBJECTS))]
         trusted = sum(borne[1:], borne[0])
         docs = docs.select("doc", *[F.when(trusted > 0, borne[k] / trusted).otherwise(F.coalesce(F.col(p[k]), F.lit(0.0))).alias(p[k]) for k in range(len(SUBJECTS))])
-        sums = edges.join(docs, "doc").groupBy("phrase").agg(*[F.sum((F.col("title") + F.col("n")) * F.col(x)).alias(x) for x in p])
+        sums = open_edges.join(docs, "doc").groupBy("phrase").agg(*[F.sum((F.col("title") + F.col("n")) * F.col(x)).alias(x) for x in p])
         n = sum((F.col(x) for x in p[1:]), F.col(p[0]))
         shares = sums.withColumn("_n", n).where("_n > 0").select("phrase", *[(F.col(x) / F.col("_n")).alias(x) for x in p])
         cubes = sum((F.pow(F.col(x), 3) for x in p[1:]), F.pow(F.col(p[0]), 3))
-        free = shares.where(F.greatest(*p) > least).select("phrase", *[(F.pow(F.col(p[k]), 3) / cubes).alias(w[k]) for k in range(len(SUBJECTS))]).join(clamp.select("phrase"), "phrase", "left_anti")
+        free = shares.where(F.greatest(*p) > least).select("phrase", *[(F.pow(F.col(p[k]), 3) / cubes).alias(w[k]) for k in range(len(SUBJECTS))])
         new = cut(clamp.select("phrase", *[F.col(f"c{k}").alias(w[k]) for k in range(len(SUBJECTS))]).unionByName(free))
         before = labels.select("phrase", *[F.col(x).alias(f"_{x}") for x in w])
         change = F.greatest(*[F.abs(F.coalesce(F.col(x), F.lit(0.0)) - F.coalesce(F.col(f"_{x}"), F.lit(0.0))) for x in w])
