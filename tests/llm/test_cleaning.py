@@ -68,6 +68,15 @@ def test_held_out_wordings(spark):
                 assert found >= 0.9 * len(own), (kind, found, len(own))
 
 
+def test_hopeless_fields_are_told_by_their_folded_text():
+    """The short way and the full one agree, on residue, news, and texts with entities, zero-width characters, figures and the source's name."""
+    index = R.ExemplarIndex()
+    texts = [t for _, _, t in R.exemplars()] + ["Page not found", "หน้านี้ถูกลบแล้ว", "404 404 404", "Delta Wire", "Please wait | Delta Wire", "page&nbsp;not&nbsp;found", "pa\u200bge not found", "Divers mend the harbour wall for 1,234 crowns", "ชาวบ้าน 5 คน", "เก", "请稍候", "市议会讨论桥梁", "{{title}}", "x", "12 34"]
+    for t in texts:
+        for source in (None, "Delta Wire"):
+            assert index.is_residue(t, B.fold(t), source) == (index.judge(t, source) == "residue"), t
+
+
 def test_windows_find_residue_in_a_sentence_of_its_own_or_without_stops():
     index = R.ExemplarIndex()
     assert index.judge("page not found sorry the page you requested does not exist please go back to the home page please enable javascript to view this site") == "residue"
