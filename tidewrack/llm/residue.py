@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 from importlib.resources import files
 
@@ -150,6 +151,7 @@ class ExemplarIndex:
                 self.index.setdefault(w, []).append(len(self.kinds))
             self.kinds.append(kind)
         self.weights = None if df is None else _Weights(df, self.n)
+        self.known = {w: 1.0 if self.weights is None else self.weights[w] for w in self.index}
         #: What a token weighs that hardly any field holds; unknown without frequencies.
         self.most = math.inf if df is None else math.log(1 + 1 / max(CAP, 1 / self.n))
 
@@ -233,7 +235,7 @@ class ExemplarIndex:
         if len(words) >= 4 and self._invented(words, weights, total):
             return "residue"
         # what no exemplar holds can't be covered, so most fields need no window
-        if sum(x for w, x in zip(words, weights) if w in self.index) < self.cover * total:
+        if sum(map(self.known.__getitem__, filter(self.known.__contains__, words))) < self.cover * total:
             return None
         n = len(words)
         covered = [False] * n
@@ -263,7 +265,7 @@ def without_slots(text: str) -> str:
 
 @per_partition
 def _count():
-    held: dict[str, int] = {}
+    held: Counter = Counter()
     counts = np.zeros(BUCKETS, np.int64)
     n = 0
 
@@ -278,8 +280,7 @@ def _count():
             for t in column:
                 if t:
                     n += 1
-                    for w in set(tokens(clean(t))):
-                        held[w] = held.get(w, 0) + 1
+                    held.update(set(tokens(clean(t))))
             if len(held) > KNOWN:
                 flush()
         return {"bucket": [], "n": []}
