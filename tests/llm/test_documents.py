@@ -139,6 +139,28 @@ def test_leaks(spark, words):
     assert leaks.leaks(df.limit(0), it).count() == 0 and leaks.leaks(df, it.limit(0)).count() == 0
 
 
+def test_equal_texts_are_joined_once(spark, words, monkeypatch):
+    """Repeated documents and items come out with rows of their own, but go through nomination and alignment once, and windows outside the items stay behind."""
+    rnd = random.Random(9)
+    item, other = prose(words, rnd, 60), prose(words, rnd, 500)
+    df = spark.createDataFrame([(k, "Before. " + item) for k in range(6)] + [(9, other)], "doc_id bigint, text string")
+    it = spark.createDataFrame([(k, item) for k in range(3)], "item_id bigint, text string")
+    aligned, windows, plain = [], [], leaks.map_rows
+
+    def spied(rows, fn, schema):
+        out = plain(rows, fn, schema)
+        if "_align" in fn.__qualname__:
+            aligned.append(rows.count())
+        if "_windows" in fn.__qualname__:
+            windows.append({r.doc for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(leaks, "map_rows", spied)
+    found = leaks.leaks(df, it, item_chars=1).collect()
+    assert sorted((r.doc, r.item) for r in found) == [(d, i) for d in range(6) for i in range(3)]
+    assert aligned == [1] and windows == [set(range(6))]
+
+
 def test_leak_offsets():
     t = "Ünï—Çøde  ＡＢ İ"
     n = leaks.normal(t)
