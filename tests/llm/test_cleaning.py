@@ -154,6 +154,19 @@ def test_bylines_with_changing_names_are_one_template(spark, monkeypatch):
     assert L.learned_templates(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_are_fillings_of_merged_templates(spark, monkeypatch):
+    """Slots are learned and merged across tasks, but only fillings that many rows hold are cases, in any spacing, whether the trees are handed out or joined."""
+    rows = [(k, "A", f"Reporting by {'Ana Lim' if k % 4 else f'N{chr(97 + k % 23)} Kelm'} for Delta Wire\nbody {chr(97 + k % 26) * 3} {chr(97 + k % 19) * 4} {k}") for k in range(40)]
+    rows += [(50 + k, "A", "reporting  by ana lim forDelta Wire") for k in range(2)]
+    df = spark.createDataFrame(rows, "ingest_seq bigint, source string, summary string").repartition(5)
+    want = {(k, 0) for k in range(40) if k % 4} | {(50, 0), (51, 0)}
+    kept = L.repeated_fillings(df).collect()
+    assert {L.shown(r["key"]) for r in kept} == {"reporting by <*> <*> for delta wire", "reporting by ana lim fordelta wire"} and {bytes(r["leaf"]) for r in kept} == {L._name(L.template("Reporting by Ana Lim for Delta Wire"))}
+    for few in (True, False):
+        monkeypatch.setattr(L, "bounded", lambda df, few=few: few)
+        assert {(r.ingest_seq, r.line_no) for r in L.repeated_lines(df).collect()} == want
+
+
 def test_subjects(spark):
     rnd = random.Random(2)
     topics = {"sports": ["head coach", "relay team", "boxing bout", "league table", "penalty kick", "city marathon"], "health": ["flu season", "hospital beds", "vaccine drive", "nursing rota", "dengue cases", "outpatient clinic"]}

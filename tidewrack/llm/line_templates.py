@@ -5,9 +5,11 @@ templates. A line joins the template of its group that agrees with it in most pl
 where they differ become wildcard slots. Figures are slots from the start. The trees of all tasks are merged by distributed sums under the
 templates' 128-bit names; the templates that cover many rows of their source are the repeated ones.
 
-Two settings. ``similar = 1`` is strict: no slots but figures, so lines are the same if they differ in case, spacing, punctuation and figures only,
-whatever their tokens; this is the sameness of the project's data, and the sums are exact. Below 1 slots are learned: as tasks learn them apart,
-the sums only name candidates, all lines are then parsed against these (a line belongs to the most general one that it fits), and counted again.
+Two results. ``repeated_lines`` keeps the project's sameness: lines are the same if they differ in case, spacing, punctuation and figures only, so a
+template's line is repeated only with the fillings of its slots that many rows hold. Rows are summed by filling, which is exact however the tasks have learned their
+templates; the templates of repeated fillings, from all tasks, are merged into one tree a source, and every line is parsed against that: it is a case if a
+template that it fits has its filling. ``learned_templates`` counts templates whatever their fillings: as tasks learn them apart, the sums only name candidates, all
+lines are then parsed against these (a line belongs to the most general one that it fits), and counted again.
 
 Only names, counts and the templates that cover many rows leave a task, so one hot source costs as much as any other.
 
@@ -19,12 +21,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import PLACEHOLDER, map_rows, nfkc, per_partition
-from tidewrack.runtime import bounded, cut
+from tidewrack.runtime import bounded, cut, remove, scratch, small
 
 _WORD = re.compile(r"(?:[^\W_]|[ัิ-ฺ็-๎])+")
 _DIGITS = re.compile(r"\d+")
@@ -111,26 +114,30 @@ def _name(key: str) -> bytes:
     return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
 
 
-def _grow(similar: float = 1.0):
-    """``(source, leaf, n, key)`` of a task's trees: rows that hold a template; ``key`` is set where slots are learned.
+def _grow(similar: float = SIMILAR, fillings: bool = True):
+    """``(source, leaf, n, key)`` of a task's trees: rows that hold a line, by the name of its strict form, and the template ``key`` that it is a filling of; without
+    ``fillings`` rows that hold a template, by the template's name.
 
-    A row counts once for each template. Strict templates of other spacing have tokens of their own, but the same name, so a row's are told apart by that.
+    A row counts once for each. Lines of other spacing have tokens and a template of their own, but the same name, so a row's are told apart by that.
     """
 
     @per_partition
     def make():
         trees: dict[str, TokenTree] = {}
+        rows: dict[str, dict[tuple[str, ...], int]] = {}  # of each source's lines
         none: dict[str, list] = {"source": [], "leaf": [], "n": [], "key": []}
 
         def drain() -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in none}
             for source, tree in trees.items():
-                for key, n in tree.leaves():
+                met = ((_name(strict(w)), n, tree.exact[w][0]) for w, n in rows[source].items()) if fillings else ((_name("\n".join(key)), n, key) for key, n in tree.leaves())
+                for leaf, n, key in met:
                     out["source"].append(source)
-                    out["leaf"].append(_name(strict(key) if similar >= 1 else "\n".join(key)))
+                    out["leaf"].append(leaf)
                     out["n"].append(n)
-                    out["key"].append(None if similar >= 1 else list(key))
+                    out["key"].append(list(key))
             trees.clear()
+            rows.clear()
             return out
 
         def batch(sources, texts):
@@ -140,15 +147,17 @@ def _grow(similar: float = 1.0):
                     continue
                 tree = trees.get(s)
                 if tree is None:
-                    tree = trees[s] = TokenTree(similar)
+                    tree, rows[s] = trees.setdefault(s, TokenTree(similar)), {}
                 lines = [w for x in t.split("\n") if x != PLACEHOLDER and (w := tokens(x))]
-                if similar >= 1:
-                    for words in ({strict(w): w for w in lines} if len(lines) > 1 else {0: w for w in lines}).values():
-                        tree.add(words)
-                    continue
-                met = {id(x): x for x in (tree.add(w, 0) for w in set(lines))}
+                met = {id(x): x for x in (tree.add(w, 0) for w in dict.fromkeys(lines))}
                 for x in met.values():
                     x[1] += 1
+                if fillings:
+                    own, named = rows[s], set()
+                    for words in dict.fromkeys(lines):
+                        name = strict(words) if len(lines) > 1 else ""
+                        own[words] = own.get(words, 0) + (name not in named)
+                        named.add(name)
                 full = full or tree.widest > FLUSH_GROUP
             return drain() if full or sum(len(t.exact) for t in trees.values()) > FLUSH_LEAVES else none
 
@@ -162,16 +171,36 @@ def _totals(src: DataFrame) -> DataFrame:
     return src.where(F.trim("source") != "").groupBy("source").agg(F.count("*").alias("of"))
 
 
-def _grown(src: DataFrame, similar: float) -> DataFrame:
+def _grown(src: DataFrame, similar: float, fillings: bool) -> DataFrame:
     rows = src.where((F.col("source") != "") & F.col("text").isNotNull())
-    return map_rows(rows, _grow(similar), "source string, leaf binary, n bigint, key array<string>")
+    return map_rows(rows, _grow(similar, fillings), "source string, leaf binary, n bigint, key array<string>")
 
 
-def templates(df: DataFrame, source: str = "source", text: str = "summary", min_rows: int = 5, min_share: float = 0.03) -> DataFrame:
-    """``(source, leaf, n, of)``: the strict templates that stand in at least ``min_rows`` rows and ``min_share`` of all rows of their source."""
-    src = df.select(F.col(source).alias("source"), F.col(text).alias("text"))
-    counts = _grown(src, 1.0).groupBy("source", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
-    return counts.join(_totals(src), "source").where(F.col("n") >= F.col("of") * min_share)
+def _merged(similar: float):
+    def merge(table: pa.Table) -> pa.Table:
+        """The templates of one source from all tasks, put into one tree, where similar ones become one; a line that fits a template fits what that became."""
+        tree, keys = TokenTree(similar), [tuple(x) for x in table["key"].to_pylist()]
+        for key in sorted(set(keys), key=lambda x: (-x.count(SLOT), x)):
+            tree.add(key, 0)
+        out = pa.array([list(tree.exact[key][0]) for key in keys], pa.list_(pa.string()))
+        return pa.table({"source": table["source"], "leaf": table["leaf"], "key": out})
+
+    return merge
+
+
+def repeated_fillings(df: DataFrame, source: str = "source", text: str = "summary", min_rows: int = 5, min_share: float = 0.03, similar: float = SIMILAR) -> DataFrame:
+    """``(source, leaf, key)``: the merged templates, and by the names of their lines the fillings that stand in at least ``min_rows`` rows and ``min_share`` of all rows of their source."""
+    src, spark = df.select(F.col(source).alias("source"), F.col(text).alias("text")), df.sparkSession
+    # the trees of all tasks are read twice, so they are written once
+    path, own = scratch(spark, "lines"), _grown(src, similar, True)
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
+    counts = own.groupBy("source", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
+    kept = small(cut(counts.join(_totals(src), "source").where(F.col("n") >= F.col("of") * min_share).select("source", "leaf")))
+    own = own.join(kept, ["source", "leaf"], "left_semi").select("source", "leaf", "key").distinct()
+    merged = cut(own.groupBy("source").applyInArrow(_merged(similar), "source string, leaf binary, key array<string>").distinct())
+    remove(spark, path)
+    return merged
 
 
 def _fitted(shared):
@@ -211,7 +240,7 @@ def learned_templates(df: DataFrame, source: str = "source", text: str = "summar
     """
     src = df.select(F.col(source).alias("source"), F.col(text).alias("text"))
     totals = cut(_totals(src))
-    seen = _grown(src, similar).groupBy("source", "leaf").agg(F.sum("n").alias("n"), F.first("key").alias("key")).where(F.col("n") >= min_rows / 2)
+    seen = _grown(src, similar, False).groupBy("source", "leaf").agg(F.sum("n").alias("n"), F.first("key").alias("key")).where(F.col("n") >= min_rows / 2)
     found = seen.join(totals, "source").where(F.col("n") >= F.col("of") * min_share / 2).select("source", "key").limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"over {most} candidate templates; raise min_share")
@@ -242,16 +271,50 @@ def _lines(ids, sources, texts):
     return out
 
 
+def _parsed(shared):
+    """``(rec, line_no)`` of the lines that fit a merged template with a repeated filling."""
+
+    @per_partition
+    def make():
+        trees: dict[str, TokenTree] = {}
+        for source, key, names in shared.value:
+            trees.setdefault(source, TokenTree()).group(key).append((key, names))
+
+        def batch(ids, sources, texts):
+            out: dict[str, list] = {"rec": [], "line_no": []}
+            for i, s, t in zip(ids, sources, texts):
+                tree = trees.get(s)
+                if tree is None or not t:
+                    continue
+                for k, line in enumerate(t.split("\n")):
+                    words = tokens(line) if line != PLACEHOLDER else ()
+                    met = [names for key, names in tree.group(words, False) or () if fits(key, words)] if words else None
+                    if met and (name := _name(strict(words))) and any(name in names for names in met):
+                        out["rec"].append(i)
+                        out["line_no"].append(k)
+            return out
+
+        return batch
+
+    return make
+
+
 def repeated_lines(df: DataFrame, row_id: str = "ingest_seq", source: str = "source", text: str = "summary", min_rows: int = 5, min_share: float = 0.03) -> DataFrame:
     """``(<row_id>, line_no)`` of every repeated line.
 
-    A source has at most ``lines per row / min_share`` templates, so the kept templates are few; they are counted and broadcast up to
-    a bound, and joined by a shuffle beyond it.
+    A source has at most ``lines per row / min_share`` repeated fillings, so the merged trees are few; they are counted and handed to all tasks up to
+    a bound. Beyond it the lines are joined with the fillings by name in a shuffle, with the same result.
     """
-    kept = cut(templates(df, source, text, min_rows, min_share).select("source", "leaf"))
-    lines = map_rows(df.select(row_id, source, text), _lines, f"rec {dict(df.dtypes)[row_id]}, source string, line_no int, leaf binary")
-    side = F.broadcast(kept) if bounded(kept) else kept
-    return lines.join(side, ["source", "leaf"], "left_semi").select(F.col("rec").alias(row_id), "line_no")
+    kept, of = repeated_fillings(df, source, text, min_rows, min_share), dict(df.dtypes)[row_id]
+    if bounded(kept):
+        fillings: dict[tuple[str, tuple[str, ...]], set[bytes]] = {}
+        for r in kept.collect():
+            fillings.setdefault((r["source"], tuple(r["key"])), set()).add(bytes(r["leaf"]))
+        shared = df.sparkSession.sparkContext.broadcast([(s, key, names) for (s, key), names in fillings.items()])
+        lines = map_rows(df.select(row_id, source, text), _parsed(shared), f"rec {of}, line_no int")
+    else:
+        lines = map_rows(df.select(row_id, source, text), _lines, f"rec {of}, source string, line_no int, leaf binary").join(kept, ["source", "leaf"], "left_semi")
+    return lines.select(F.col("rec").alias(row_id), "line_no")
 
 
 def strip_lines(df: DataFrame, row_id: str = "ingest_seq", source: str = "source", text: str = "summary", **limits) -> DataFrame:
