@@ -80,6 +80,17 @@ def test_marks_and_quotes(model):
     assert S.gaps("「もう待てない。帰る。」と語った。次の日。") == [(12, 12), (17, 17)]
 
 
+def test_the_model_is_fitted_to_all_texts(spark):
+    """Sums made by tasks give the model of the same texts at hand, and no text is left out of them, however many there are."""
+    texts = [joined(d) for d in corpus()]
+    df = spark.createDataFrame([(x,) for x in texts + texts[:3] + [None, " "]], "t string").repartition(3)
+    a, b = S.BoundaryModel().fit(texts), S.fit([df, df.limit(2)])
+    assert a.left.keys() == b.left.keys() and a.events.met[0].keys() == b.events.met[0].keys()
+    assert max(abs(a.left[f] - b.left[f]) for f in a.left) < 1e-3
+    many = spark.range(12_000).selectExpr("concat('Mr. Lim spoke of ', id, '. He left.') as t")
+    assert S.fit([many]).events.met[1]["spoke",][1] == 12_000
+
+
 def test_sentences_operator(spark, model):
     df = spark.createDataFrame([(1, "Residents counted 5 complaints about the road. The index fell by 1.2 points in May.", "x"), (2, None, "x"), (3, "", "x"), (4, " \n", "x")], "id bigint, t string, start_pos string")
     rows = sorted((r.id, r.start_pos) for r in S.sentences(df, model, "id", "t").collect())
