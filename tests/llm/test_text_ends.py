@@ -129,6 +129,16 @@ def test_truncated_operator(spark):
     assert T.truncated(df.limit(0)).count() == 0
 
 
+def test_cut_texts_are_found_by_the_query(spark):
+    """``p3_found`` fits its model to texts of its own choice, not to a model's of whole tables, and takes a bound on them."""
+    from tidewrack.llm import queries
+
+    found = queries.QUERIES["p3_found"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["ingest_seq"] and 0 < found.count() < 100
+    df = spark.createDataFrame([(k, f"Text {k}. It ends.") for k in range(50)] + [(50, None), (51, " ")], "ingest_seq bigint, summary string")
+    assert len(set(T.sample_of(df, "ingest_seq", "summary"))) == 50 and len(T.sample_of(df, "ingest_seq", "summary", 7)) <= 7
+
+
 def test_limits(spark):
     rows = [(k, "x" * 100, "A") for k in range(50)] + [(100 + k, "x" * (41 + k), "B") for k in range(50)] + [(200, "y" * 100, None)]
     got = {(r.source, r.unit, r.len) for r in T.limits(spark.createDataFrame(rows, "ingest_seq bigint, summary string, source string"), "summary", "source").collect()}

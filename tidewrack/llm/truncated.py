@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm import residue
-from tidewrack.llm.common import PLACEHOLDER, latin_digits, map_rows, per_partition
+from tidewrack.llm.common import PLACEHOLDER, chosen, latin_digits, map_rows, per_partition
 from tidewrack.llm.sentences import BoundaryModel, closed_spans
-from tidewrack.llm.sentences import fit as sample_of
 from tidewrack.runtime import bounded, cut
 
 SAMPLE, BITS, EPOCHS = 8_000, 18, 6
@@ -189,6 +188,11 @@ def _score(shared):
     return make
 
 
+def sample_of(df: DataFrame, row_id: str, text: str, sample: int = SAMPLE) -> list[str]:
+    """At most ``sample`` texts to fit the model to, the same at each call."""
+    return [r[0] for r in chosen(df.where(F.length(F.trim(text)) > 0), row_id, sample).select(text).collect()]
+
+
 def scores(df: DataFrame, row_id: str = "ingest_seq", text: str = "summary", source: str = "source", sample: int = SAMPLE) -> DataFrame:
     """``(<row_id>, source, p)``: the probability that a text is cut, for every row with one."""
     texts = sample_of(df, row_id, text, sample)
