@@ -91,6 +91,24 @@ def test_the_model_is_fitted_to_all_texts(spark):
     assert S.fit([many]).events.met[1]["spoke",][1] == 12_000
 
 
+def test_only_contexts_that_matter_are_held():
+    """Contexts of lines without marks whose core never stood at a boundary change nothing, and the driver doesn't hold them."""
+    rnd = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "prst"]
+    many = S.BoundaryModel().fit(["Then " + " ".join(rnd.choice(words) for _ in range(40)) + " ends. Next it starts.\nNext it starts." for _ in range(500)])
+    left, right = many.events.met
+    assert right["Next",] == (1000.0, 1000.0) and left["ends",] == (500.0, 500.0) and right["it",] == (0.0, 1000.0)
+    assert len(left) < 700 and len(right) < 1_000  # of 20,000 pairs of words a side
+
+
+def test_lines_are_looked_at_together(model):
+    texts = [joined(d) for d in corpus(60, 4)] + ["", "- One\n\n  two", "Residents counted 5 complaints about the road the index fell by 1.2 points in May"]
+    assert model.all_starts(texts, S._Codes()) == [model.starts(x) for x in texts]
+    rows = S._featured_lines(texts)
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(rows[k], type=t) for k, t in S._ROW.items()], names=list(S._ROW))
+    assert np.allclose(model._all_posteriors(S._Gaps(batch)), [p for line in rows["line"] for p in model.posteriors(S.featured(line, S.gaps(line)))])
+
+
 def test_sentences_operator(spark, model):
     df = spark.createDataFrame([(1, "Residents counted 5 complaints about the road. The index fell by 1.2 points in May.", "x"), (2, None, "x"), (3, "", "x"), (4, " \n", "x")], "id bigint, t string, start_pos string")
     rows = sorted((r.id, r.start_pos) for r in S.sentences(df, model, "id", "t").collect())
