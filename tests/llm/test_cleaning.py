@@ -221,6 +221,14 @@ def test_blocks_of_phrases_equal_one(spark, monkeypatch):
     assert {(r.ingest_seq, r.subject): round(r.share, 9) for r in B.subjects(df, lexicon, hand).collect()} == want
 
 
+def test_texts_are_folded_once_for_all_scans(spark):
+    df = spark.createDataFrame([(1, "A", "ＰＬＡＮ for 1,234 Miles", None), (2, None, None, "Straße 5\nงานน้ำ")], "ingest_seq bigint, source string, title string, summary string")
+    docs = B.folded(df, "ingest_seq", "title", "summary", "source")
+    got = {r.doc: (r.ft, r.fs, r.title, r.summary, r.source) for r in docs.collect()}
+    assert got[1] == ("plan for 0 miles", "", "ＰＬＡＮ for 1,234 Miles", None, "A") and got[2] == ("", B.fold("Straße 5\nงานน้ำ"), None, "Straße 5\nงานน้ำ", None)
+    assert list(B._joint(["plan", ""], ["", "b"])) == ["plan\n", "\nb"]
+
+
 def test_trusted_hand_labels_stand_in_the_result(spark):
     df, lexicon, _ = rare_phrases(spark, 3)
     more = [(300, "A", "An evening with the archive", "Nothing known here."), (301, "A", "{{title}}", "Page not found"), (302, "A", None, " "), (303, "A", "No label either", "")]

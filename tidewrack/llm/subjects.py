@@ -71,7 +71,7 @@ def matches(machine: ahocorasick.Automaton, text: str) -> list[tuple[int, int, i
         return hits
     for end, (size, value) in machine.iter(text):
         a, b = end - size + 1, end + 1
-        if a and _joined(text[a - 1], text[a]) or b < len(text) and _joined(text[b - 1], text[b]):
+        if a and text[a - 1].isalnum() and _joined(text[a - 1], text[a]) or b < len(text) and text[b].isalnum() and _joined(text[b - 1], text[b]):
             continue
         hits.append((a, -size, b, value))
     hits.sort()
@@ -108,9 +108,18 @@ def _cut_back(left: str, right: str) -> tuple[str, str]:
     return " ".join(left.split()[-1:]) + " ", re.match(r"[^\w\s]*\s*\S*", right).group()
 
 
+def _folded(ids, titles, summaries, sources):
+    return {"doc": ids, "title": titles, "summary": summaries, "source": sources, "ft": [fold(t or "") for t in titles], "fs": [fold(s or "") for s in summaries]}
+
+
+def folded(df: DataFrame, row_id: str, title: str, text: str, source: str) -> DataFrame:
+    """``(doc, title, summary, source, ft, fs)``: the documents with title and text as :func:`fold` gives them."""
+    rows = df.select(F.col(row_id).cast("bigint").alias("doc"), F.col(title).alias("title"), F.col(text).alias("summary"), F.col(source).alias("source"))
+    return map_rows(rows, _folded, "doc bigint, title string, summary string, source string, ft string, fs string")
+
+
 def _joint(titles, texts) -> Iterator[str]:
-    for t, s in zip(titles, texts):
-        yield fold((t or "") + "\n" + (s or ""))
+    return map("\n".join, zip(titles, texts))
 
 
 def _keyword_frames(shared):
@@ -156,11 +165,13 @@ class _Frames:
         for left, rights in by_left.items():
             self.lefts.add_word(left, (list(rights.items()), machine_of(rights) if len(rights) > self.FEW else None))
         self.lefts.make_automaton()
+        self.judged: dict[str, bool] = {}
 
     def fillers(self, t: str) -> Iterator[tuple[str, int]]:
         """``(filler, frame)`` for each left side and the first place of each of its right sides after it."""
         if not len(self.lefts):
             return
+        judged = self.judged
         for end, (rights, machine) in self.lefts.iter(t):
             window = t[end + 1 : end + 49]
             if machine is None:
@@ -174,8 +185,15 @@ class _Frames:
                 bad = _BAD.search(window)
                 stop = bad.start() if bad else len(window)
                 for k, c in at:
-                    if c <= stop and _good(filler := window[:c].strip()):
-                        yield filler, k
+                    if c <= stop:
+                        filler = window[:c].strip()
+                        good = judged.get(filler)
+                        if good is None:
+                            if len(judged) >= FLUSH:
+                                judged.clear()
+                            good = judged[filler] = _good(filler)
+                        if good:
+                            yield filler, k
 
 
 def _fillers(shared, known, first: int):
@@ -207,10 +225,10 @@ def _blocks(df: DataFrame) -> Iterator[list[tuple]]:
         yield sorted(tuple(r) for r in df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == k).collect())
 
 
-def induced(df: DataFrame, known: dict[str, int], title: str, text: str) -> DataFrame:
-    """``(phrase)``: what stands where keywords stand, at least 4 times and in 2 frames, counted over all rows; the keywords themselves are left out."""
-    sc = df.sparkSession.sparkContext
-    words, rows = sc.broadcast(known), df.select(title, text)
+def induced(docs: DataFrame, known: dict[str, int]) -> DataFrame:
+    """``(phrase)``: what stands where keywords stand, at least 4 times and in 2 frames, counted over all of :func:`folded`; the keywords themselves are left out."""
+    sc = docs.sparkSession.sparkContext
+    words, rows = sc.broadcast(known), docs.select("ft", "fs")
     seen = map_rows(rows, _keyword_frames(words), "whole boolean, lft string, rgt string, k int").distinct()
     counts = seen.groupBy("whole", "lft", "rgt").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("whole"), 3).otherwise(4))
     found, first = [], 0
@@ -218,7 +236,7 @@ def induced(df: DataFrame, known: dict[str, int], title: str, text: str) -> Data
         found.append(map_rows(rows, _fillers(sc.broadcast(block), words, first), "phrase string, frame bigint, n bigint"))
         first += len(block)
     if not found:
-        return df.sparkSession.createDataFrame([], "phrase string")
+        return docs.sparkSession.createDataFrame([], "phrase string")
     by_frame = reduce(DataFrame.unionByName, found).groupBy("phrase", "frame").agg(F.sum("n").alias("n"))
     return cut(by_frame.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("frames")).where("n >= 4 and frames >= 2").select("phrase"))
 
@@ -237,14 +255,13 @@ def _edges(shared):
         machine = machine_of(shared.value)
         judge = residue.ExemplarIndex()
 
-        def batch(ids, titles, summaries, sources):
+        def batch(ids, titles, summaries, sources, ft, fs):
             out: dict[str, list] = {"doc": [], "phrase": [], "title": [], "n": []}
-            for i, t, s, src in zip(ids, titles, summaries, sources):
+            for i, t, s, src, low_t, low_s in zip(ids, titles, summaries, sources, ft, fs):
                 got: dict[int, list[int]] = {}
-                for text, at in ((t, 0), (s, 1)):
-                    folded = fold(text) if text else ""
-                    hits = list(find(machine, folded))
-                    if hits and not judge.is_residue(text, folded, src):
+                for text, low, at in ((t, low_t, 0), (s, low_s, 1)):
+                    hits = list(find(machine, low))
+                    if hits and not judge.is_residue(text, low, src):
                         for _, _, k in hits:
                             got.setdefault(k, [0, 0])[at] += 1
                 for k, (a, b) in got.items():
@@ -267,13 +284,12 @@ def _block_hits(shared):
         machine = machine_of(shared.value)
         judge = residue.ExemplarIndex()
 
-        def batch(ids, names, titles, summaries, sources):
+        def batch(ids, names, titles, summaries, sources, ft, fs):
             out: dict[str, list] = {x: [] for x in ("doc", "name", "at", "a", "size", "phrase")}
-            for i, name, t, s, src in zip(ids, names, titles, summaries, sources):
-                for text, at in ((t, 0), (s, 1)):
-                    folded = fold(text) if text else ""
-                    hits = matches(machine, folded)
-                    if hits and not judge.is_residue(text, folded, src):
+            for i, name, t, s, src, low_t, low_s in zip(ids, names, titles, summaries, sources, ft, fs):
+                for text, low, at in ((t, low_t, 0), (s, low_s, 1)):
+                    hits = matches(machine, low)
+                    if hits and not judge.is_residue(text, low, src):
                         for a, size, _, k in hits:
                             for x, v in zip(out, (i, name, at, a, size, k)):
                                 out[x].append(v)
@@ -302,14 +318,19 @@ def _marks(prefix: str) -> list[str]:
 
 
 def document_phrases(df: DataFrame, blocks: list, row_id: str, title: str, text: str, source: str) -> DataFrame:
+    """:func:`folded_phrases` of documents as they are stored."""
+    return folded_phrases(folded(df, row_id, title, text, source), blocks)
+
+
+def folded_phrases(docs: DataFrame, blocks: list) -> DataFrame:
     """The graph's edges ``(doc, phrase, title, n)``: how often a document's title and text hold a phrase.
 
     ``blocks`` are broadcasts of phrases with their numbers. The documents are scanned once for each block.
     """
-    rows = df.select(F.col(row_id).cast("bigint").alias("doc"), title, text, source)
+    own = ["title", "summary", "source"]
     if len(blocks) == 1:
-        return map_rows(rows, _edges(blocks[0]), "doc bigint, phrase int, title int, n int")
-    named = rows.select("doc", F.xxhash64(title, text, source).alias("name"), title, text, source)
+        return map_rows(docs.select("doc", *own, "ft", "fs"), _edges(blocks[0]), "doc bigint, phrase int, title int, n int")
+    named = docs.select("doc", F.xxhash64(*own).alias("name"), *own, "ft", "fs")
     hits = reduce(DataFrame.unionByName, [map_rows(named, _block_hits(b), "doc bigint, name bigint, at int, a int, size int, phrase int") for b in blocks])
     texts = hits.groupBy("doc", "name", "at").agg(F.collect_list(F.struct("a", "size", "phrase")).alias("hits"))
     return map_rows(texts.select("doc", "at", "hits"), _settle, "doc bigint, phrase int, title int, n int")
@@ -423,7 +444,11 @@ def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "
     for k, _ in words:
         at.setdefault(fold(k), len(at))
     blocks, n = [at], len(at)
-    for block in _blocks(induced(df, at, title, text)) if at else ():
+    # written once for all scans
+    texts, docs = scratch(spark, "subject-texts"), folded(df, row_id, title, text, source)
+    docs.write.parquet(texts)
+    docs = spark.read.schema(docs.schema).parquet(texts)
+    for block in _blocks(induced(docs, at)) if at else ():
         own = {p: n + k for k, (p,) in enumerate(block)}
         n += len(own)
         blocks.append(own)
@@ -433,8 +458,9 @@ def subjects(df: DataFrame, lexicon: DataFrame, hand: DataFrame, row_id: str = "
     marks = hand.select(F.col(row_id).cast("bigint").alias("doc"), *[F.col("subject")]).join(F.broadcast(spark.createDataFrame(list(number.items()), "subject string, k int")), "subject").select("doc", F.col("k").alias("subject"))
     # a document's edges lie together once and for all, so no round moves them: only the phrases' sums are shuffled
     parts, path, name = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), scratch(spark, "subject-edges"), f"tidewrack_{os.urandom(8).hex()}"
-    raw = document_phrases(df, [spark.sparkContext.broadcast(b) for b in blocks], row_id, title, text, source)
+    raw = folded_phrases(docs, [spark.sparkContext.broadcast(b) for b in blocks])
     raw.repartition(parts, "doc").write.bucketBy(parts, "doc").sortBy("doc").option("path", path).saveAsTable(name)
+    remove(spark, texts)
     edges = spark.table(name)
     labels = propagate(edges, fixed, marks)
     rows = df.select(F.col(row_id).cast("bigint").alias("doc"), title, text, source)
