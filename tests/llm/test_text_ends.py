@@ -222,3 +222,18 @@ def test_an_open_mark_silences_as_much_in_long_lines_as_in_short_ones(model):
     assert len(model.starts('He called it "odd. ' + long)) >= 8 and S.closed_spans('He said: "' + long + " Nobody cam") == [(9, len(long) + 21)]
     deep = "a (b [c «d ‹e “f. G” h› i» j] k) l. Residents counted 15 complaints about the road."
     assert S.gaps(deep) and S.closed_spans(deep) == [(2, deep.index(")"))]
+
+
+def test_forms_of_a_word_are_worked_out_once(monkeypatch):
+    """However often a word stands beside a gap; and a figure still takes the word before it."""
+    from tidewrack.llm import sentences as S
+
+    asked, real = [], S._shape
+    monkeypatch.setattr(S, "_shape", lambda w: asked.append(w) or real(w))
+    line = "The quillharbour closed. Quorvane left. " * 20
+    for end in [k + 1 for k, c in enumerate(line) if c == "."]:
+        S.left_features(line, end)
+        S.right_features(line, end - 5)
+    assert asked.count("closed") <= 1 and asked.count("left") <= 2
+    assert S.left_features("am 3.", 5) == ("wam 0.", "sabbr|.") and S.left_features("3.", 2) == ("w0.", "sabbr|.")
+    assert S.left_features("ไทย", 3) == ("dไทย", "dไทย") and S.right_features('"ไทย', 0)[0] == 'd"ไทย'
